@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, sharding
+from corpusloom.llm import mixing, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.taken().select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -30,6 +35,30 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_substring_dedup": op2_substring_dedup,
     "op7_rendezvous_shards": op7_rendezvous_shards,
 }
-ORACLES: dict[str, str] = {}
+
+OP2_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)
+), firsts AS (
+    SELECT s, min(doc_id) AS low FROM windows GROUP BY s
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS p
+    FROM (SELECT doc_id, i, unnest(range(50)) AS k FROM windows JOIN firsts USING (s) WHERE doc_id > low)
+), words AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s
+    FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL}
