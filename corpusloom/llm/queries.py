@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, sharding, simhash, substring_dedup
+from corpusloom.llm import decontamination, mixing, sharding, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.digest(decontamination.find_contamination(docs, benchmark))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -42,6 +48,7 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_rendezvous_shards": op7_rendezvous_shards,
 }
@@ -68,4 +75,35 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL}
+OP3_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM items WHERE len(w) > 0)
+), lengths AS (
+    SELECT DISTINCT n FROM windows
+), parts AS (
+    SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, lengths)
+), found AS (
+    SELECT doc_id, i, n, item_id FROM parts JOIN windows USING (n, s)
+), hit AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_hit
+    FROM (SELECT doc_id, i, unnest(range(n)) AS k FROM found) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL}
