@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, langid, mixing, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filter
+from corpusloom.llm import decontamination, langid, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_url_templates": op5_url_templates,
+    "op6_lm_score": op6_lm_score,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
