@@ -1,4 +1,579 @@
 """Registered queries over the provided tables, with their SQL equivalents."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import entities
+from corpusloom.functions.vectors import cosine
+from corpusloom.operators import dedup, diff, placeholders, predicates, rewrites, sampling, scoring, suffixes
+from corpusloom.plans.pipeline import Pipeline
+from corpusloom.sources import catalog, corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+LINES = r"""
+lines AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no,
+                 unnest(string_split(text, chr(10))) AS src FROM documents),
+pairs AS (SELECT * FROM (SELECT *, lead(src) OVER (PARTITION BY doc_id ORDER BY line_no) AS trg FROM lines)
+          WHERE trg IS NOT NULL)
+"""
+TURNS = r"""
+turns AS (SELECT conv_id, turn AS line_no, role, lag(role) OVER w AS before,
+                 lag(replace(text, chr(10), ' ')) OVER w AS src, replace(text, chr(10), ' ') AS trg
+          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+answers AS (SELECT conv_id, line_no, src, trg FROM turns WHERE before = 'user' AND role = 'assistant')
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pairs_of_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def register(name: str, sql: str | None = None, lines: bool = True):
+    def put(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLES[name] = (f"WITH {LINES} " if lines else "") + sql
+        return query
+
+    return put
+
+
+def recipe(*steps) -> Pipeline:
+    return Pipeline.from_json([{"filter": f, "parameters": p, "language": lang} for f, p, lang in steps])
+
+
+def filled(spec: str, **given) -> dict:
+    return rewrites_registry().get(spec).fill(given)[0]
+
+
+def rewrites_registry():
+    from corpusloom.operators import REGISTRY
+
+    return REGISTRY
+
+
+def filter_query(name: str, condition: str | None, spec: str, source: Query = pairs, cte: str = LINES, view: str = "pairs", **given) -> None:
+    """A query that runs one bilingual step over pairs; `condition` is its SQL."""
+    one = recipe((spec, filled(spec, **given), None))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return one.run(source(spark, sf_dir), ["src", "trg"])
+
+    QUERIES[name] = query
+    if condition is not None:
+        ORACLES[name] = f"WITH {cte} SELECT * FROM {view} WHERE {condition}"
+
+
+def words(c: str) -> str:
+    return rf"len(list_filter(string_split_regex({c}, '\s+'), lambda t: t <> ''))"
+
+
+register("line_pairs", "SELECT * FROM pairs")(pairs)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pairs_of_turns(table(spark, sf_dir, "conversations"))
+
+
+register("turn_pairs", f"WITH {TURNS} SELECT conv_id, line_no, src, trg FROM answers", lines=False)(answers)
+
+# Predicates on lengths and shapes.
+filter_query("max_length", f"{words('src')} BETWEEN 1 AND 20 AND {words('trg')} BETWEEN 1 AND 20", "max_length", MAXLENGTH=20)
+filter_query(
+    "max_word_length",
+    "list_max(list_transform(string_split(src, ' '), lambda t: length(t))) <= 20"
+    " AND list_max(list_transform(string_split(trg, ' '), lambda t: length(t))) <= 20",
+    "max_word_length",
+    MAXWORDLENGTH=20,
+)
+filter_query("remove_empty_lines", r"regexp_matches(src, '\S') AND regexp_matches(trg, '\S')", "remove_empty_lines")
+filter_query("src_trg_ratio_linear", f"{words('src')}::DOUBLE / nullif({words('trg')}, 0) BETWEEN 0.6 AND 1 / 0.6::DOUBLE", "src_trg_ratio")
+filter_query(
+    "src_trg_ratio_log",
+    f"log10(least({words('src')}, {words('trg')}) + 1) / nullif(log10(greatest({words('src')}, {words('trg')}) + 1), 0) >= 0.8",
+    "src_trg_ratio",
+    RATIO=0.8,
+    LOG=True,
+)
+filter_query(
+    "src_trg_ratio_not_identical",
+    f"{words('src')}::DOUBLE / nullif({words('trg')}, 0) BETWEEN 0.1 AND 1 / 0.1::DOUBLE AND lower(src) <> lower(trg)",
+    "src_trg_ratio",
+    answers,
+    TURNS,
+    "answers",
+    RATIO=0.1,
+    IDENTICAL=True,
+)
+filter_query(
+    "opus_length_characters", "length(src) BETWEEN 50 AND 400 AND length(trg) BETWEEN 50 AND 400",
+    "opus.LengthFilter", min_length=50, max_length=400, unit="character",
+)
+filter_query(
+    "opus_length_ratio",
+    f"CASE WHEN least({words('src')}, {words('trg')}) = 0 THEN greatest({words('src')}, {words('trg')}) = 0"
+    f" ELSE greatest({words('src')}, {words('trg')}) < 2 * least({words('src')}, {words('trg')}) END",
+    "opus.LengthRatioFilter",
+    threshold=2,
+)
+
+
+def longest(c: str) -> str:
+    return rf"coalesce(list_max(list_transform(list_filter(string_split_regex({c}, '\s+'), lambda t: t <> ''), lambda t: length(t))), 0)"
+
+
+def mean_word(c: str) -> str:
+    total = rf"list_sum(list_transform(list_filter(string_split_regex({c}, '\s+'), lambda t: t <> ''), lambda t: length(t)))"
+    return f"coalesce({total}::DOUBLE / nullif({words(c)}, 0), 0)"
+
+
+def letters(c: str, kind: str = r"\p{L}") -> str:
+    return f"len(regexp_extract_all({c}, '{kind}'))"
+
+
+filter_query("opus_long_word", f"{longest('src')} < 15 AND {longest('trg')} < 15", "opus.LongWordFilter", threshold=15)
+filter_query(
+    "opus_average_word", f"{mean_word('src')} BETWEEN 4 AND 6 AND {mean_word('trg')} BETWEEN 4 AND 6",
+    "opus.AverageWordLengthFilter", min_length=4, max_length=6,
+)
+filter_query(
+    "opus_alphabet_ratio",
+    f"coalesce({letters('src')}::DOUBLE / nullif(length(src), 0), 1) >= 0.8 AND coalesce({letters('trg')}::DOUBLE / nullif(length(trg), 0), 1) >= 0.8",
+    "opus.AlphabetRatioFilter",
+    threshold=0.8,
+)
+filter_query(
+    "opus_character_score",
+    " AND ".join(rf"coalesce({letters(c, r'\p{Latin}')}::DOUBLE / nullif({letters(c)}, 0), 1) >= 1" for c in ("src", "trg")),
+    "opus.CharacterScoreFilter",
+)
+filter_query(
+    "opus_regexp", "NOT regexp_matches(src, '[0-9]') AND NOT regexp_matches(trg, '[|]')",
+    "opus.RegExpFilter", regexps=("[0-9]", "[|]"),
+)
+filter_query("bicleaner_hardrules", None, "bicleaner_hardrules", answers)
+filter_query("laser_similarity", None, "laser_similarity", answers, THRESHOLD=0.6)
+filter_query("langid", None, "langid", SRC_LANG="de", TRG_LANG="de", ALLOW_UNKNOWN=False)
+filter_query("langid_heliport", None, "langid_heliport", SRC_LANG="fr", TRG_LANG="fr")
+filter_query("fasttext_filter", None, "fasttext_filter", LANG1="es", LANG2="es")
+
+
+def numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers(spark, sf_dir).withColumn("line_no", F.col("conv_id") * 100_000 + F.col("line_no"))
+
+
+filter_query("bifixer", None, "bifixer", numbered_answers)
+
+
+def html_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("src"), F.col("html").alias("trg"))
+
+
+@register("opus_html_tags", r"SELECT page_id, part FROM (SELECT page_id, unnest(string_split(html, '<')) AS part FROM pages) WHERE NOT regexp_matches(part, '(?is)<(?:/?[A-Za-z][^<>]*|!--.*?--|!DOCTYPE[^<>]*)>')", lines=False)
+def html_tags(spark, sf_dir):
+    parts = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "<", -1)).alias("part"))
+    return recipe(("opus.HtmlTagFilter", {}, None)).run(parts, ["part"])
+
+
+# Alphabets, by language of the document; thresholds at which many lines go.
+def alpha_query(lang: str, letters_of: str) -> None:
+    given = {"LANG1": lang, "LANG2": lang, "SRCWORDRAT": 0.9, "TRGWORDRAT": 0.9, "SRCALPHARAT": 0.95, "TRGALPHARAT": 0.95}
+    one = recipe(("alpha_ratio", given, None))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text")
+        return one.run(corpus.pairs_of_lines(docs), ["src", "trg"])
+
+    def side(c: str) -> str:
+        kept = rf"list_filter(string_split_regex({c}, '\s+'), lambda t: t <> '')"
+        begin = f"len(list_filter({kept}, lambda t: regexp_matches(t, '^{letters_of}', 'i')))"
+        characters = f"len(regexp_extract_all({c}, '{letters_of}', 0, 'i'))"
+        return (
+            f"{begin}::DOUBLE / nullif({words(c)}, 0) >= 0.9"
+            f" AND {characters}::DOUBLE / nullif(length(replace({c}, ' ', '')), 0) >= 0.95"
+        )
+
+    QUERIES[f"alpha_ratio_{lang}"] = query
+    ORACLES[f"alpha_ratio_{lang}"] = (
+        f"WITH {LINES} SELECT p.* FROM pairs p JOIN documents d USING (doc_id) WHERE lang = '{lang}' AND "
+        + " AND ".join(side(f"nfc_normalize({c})") for c in ("src", "trg"))
+    )
+
+
+for _lang in ("en", "de", "fr", "es"):
+    alpha_query(_lang, predicates.alphabet(_lang))
+
+# Numbers, urls, currencies.
+filter_query("num_mismatch", None, "num_mismatch", RATIO=0.5)
+
+
+@register(
+    "numbers_unsigned",
+    r"""SELECT doc_id, line_no, list_sort(list_distinct(list_transform(
+            regexp_extract_all(src, '\b0*(\d+(?:[.,:]\d+)*)\b', 1), lambda x: regexp_replace(x, '[^0-9]+', '*', 'g'))))::VARCHAR AS numbers
+        FROM pairs WHERE regexp_matches(src, '\d')""",
+)
+def numbers_unsigned(spark, sf_dir):
+    found = F.transform(entities.numbers(F.col("src")), lambda n: F.regexp_replace(n, "^[-+]", ""))
+    rows = pairs(spark, sf_dir).where(F.col("src").rlike("[0-9]"))
+    listed = F.array_sort(F.array_distinct(found))
+    return rows.select("doc_id", "line_no", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("numbers"))
+
+
+_URL = entities.URL.removeprefix("(?Ui)").replace("'", "''")
+
+
+@register("urls", f"SELECT page_id, array_to_string(regexp_extract_all(html, '{_URL}', 0, 'i'), ' ') AS urls, len(regexp_extract_all(url, '{_URL}', 0, 'i'))::BIGINT AS n FROM pages", lines=False)
+def urls(spark, sf_dir):
+    every = F.regexp_extract_all("html", F.lit(entities.URL), F.lit(0))
+    n = F.size(F.regexp_extract_all("url", F.lit(entities.URL), F.lit(0))).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(every, " ").alias("urls"), n.alias("n"))
+
+
+filter_query("url_mismatch", None, "url_mismatch", html_pairs)
+filter_query("currency_mismatch", None, "currency_mismatch")
+filter_query("currency_mismatch_fix", None, "currency_mismatch", FIX=True)
+
+
+# Rewrites.
+def rewrite_query(name: str, value: str, spec: str, source: Query, view: str, key: str, cte: str = "", **given) -> None:
+    """A query that runs one monolingual step over a column `text`; `value` is its SQL."""
+    one = recipe((spec, filled(spec, **given), "text"))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return one.run(source(spark, sf_dir), ["text"])
+
+    QUERIES[name] = query
+    if value:
+        ORACLES[name] = f"{cte} SELECT {key}, {value} AS text FROM {view}"
+
+
+def html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+_deescape = "html"
+for _escape, _character in rewrites.ESCAPES:
+    _deescape = f"replace({_deescape}, '{_escape}', '{_character.replace(chr(39), chr(39) * 2)}')"
+rewrite_query("deescape_special_chars", _deescape, "deescape-special-chars", html, "pages", "page_id")
+rewrite_query("normalize_whitespace", r"trim(regexp_replace(text, '\s+', ' ', 'g'))", "normalize_whitespace", texts, "documents", "doc_id")
+rewrite_query("sed", r"regexp_replace(text, '([aeiou])([0-9n])', '\2\1', 'g')", "sed", texts, "documents", "doc_id", PATTERN="([aeiou])([0-9n])", REPLACEMENT=r"\2\1")
+rewrite_query("regexp_first", r"regexp_replace(text, 'th(e|a)', '<\1>')", "regexp", texts, "documents", "doc_id", PATTERN="s/th(e|a)/<$1>/")
+rewrite_query("regexp_all", r"translate(regexp_replace(text, 'TH(e|a)', '<\1>', 'gi'), 'abc', 'xyz')", "regexp", texts, "documents", "doc_id", PATTERN="s/TH(e|a)/<$1>/gi; tr/a-c/x-z/")
+rewrite_query(
+    "opus_regexp_sub", r"regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '([.!?])', ' \1', 'g')", "opus.RegExpSub", texts, "documents", "doc_id",
+    patterns=[(r"\d+", "#", 0, ""), (r"([.!?])", r" \1", 0, "")],
+)
+rewrite_query("fix_elitr_eca", f"replace(translate(text, '{rewrites.WRONG}', '{rewrites.RIGHT.replace(chr(39), chr(39) * 2)}'), '¬ ', '')", "fix_elitr_eca", texts, "documents", "doc_id")
+rewrite_query("detokenizer", "", "detokenizer", texts, "documents", "doc_id")
+rewrite_query("segment_chinese", "", "segment_chinese", texts, "documents", "doc_id")
+
+
+@register(
+    "fix_un_chinese",
+    r"""SELECT doc_id, line_no, CASE WHEN right(b, 1) = '.' THEN left(b, length(b) - 1) || '。' ELSE b END AS text FROM (
+        SELECT doc_id, line_no, replace(CASE WHEN right(a, 1) = '，' THEN left(a, length(a) - 1) || '。' ELSE a END, ',', '，') AS b
+        FROM (SELECT doc_id, line_no, trim(src || CASE WHEN line_no % 2 = 0 THEN '，' ELSE '' END) AS a FROM pairs))""",
+)
+def fix_un_chinese(spark, sf_dir):
+    ending = F.when(F.col("line_no") % 2 == 0, "，").otherwise("")
+    rows = pairs(spark, sf_dir).select("doc_id", "line_no", F.concat("src", ending).alias("text"))
+    return recipe(("fix_un_chinese", {}, "text")).run(rows, ["text"])
+
+
+@register(
+    "deescape_tsv",
+    r"""SELECT doc_id, line_no, replace(src, chr(34) || chr(34), chr(34)) AS src, trg
+        FROM (SELECT doc_id, line_no, src || chr(34) || chr(34) AS src, trg FROM pairs)""",
+)
+def deescape_tsv(spark, sf_dir):
+    quoted = F.concat(F.lit('"'), "src", F.lit('""'), F.lit('"'))
+    return recipe(("deescape_tsv", {}, None)).run(pairs(spark, sf_dir).withColumn("src", quoted), ["src", "trg"])
+
+
+@register(
+    "fix_quotes",
+    r"""SELECT doc_id, line_no, src, trg FROM (SELECT doc_id, line_no, trim(regexp_replace(src, '^[''‘"“„](.+?)["”;]*$', '\1')) AS src, trim(trg) AS trg
+        FROM (SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN '„' || src || '”;' ELSE src END AS src, trg FROM pairs)) WHERE src <> '' AND trg <> ''""",
+)
+def fix_quotes(spark, sf_dir):
+    quoted = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("„"), "src", F.lit("”;"))).otherwise(F.col("src"))
+    return recipe(("fix_quotes", {}, None)).run(pairs(spark, sf_dir).withColumn("src", quoted), ["src", "trg"])
+
+
+_MARKS = "(" + ", ".join("'" + m.replace("'", "''") + "'" for m in rewrites.FINAL) + ")"
+_G = "('»', '«')"
+
+
+@register(
+    "fix_final_punctuation",
+    f""", m0 AS (SELECT doc_id, line_no, src || CASE line_no % 4 WHEN 0 THEN ' !' WHEN 1 THEN ' ».' WHEN 2 THEN '»' ELSE '' END AS s, trg AS t FROM pairs),
+    m1 AS (SELECT *, length(s) > 0 AND length(t) > 0 AS ok FROM m0),
+    m2 AS (SELECT doc_id, line_no, ok,
+        CASE WHEN ok AND length(s) >= 2 AND right(s, 1) IN {_MARKS} AND left(right(s, 2), 1) = ' ' AND right(s, 1) NOT IN {_G} THEN left(s, length(s) - 2) || right(s, 1) ELSE s END AS s,
+        CASE WHEN ok AND length(t) >= 2 AND right(t, 1) IN {_MARKS} AND left(right(t, 2), 1) = ' ' AND right(t, 1) NOT IN {_G} THEN left(t, length(t) - 2) || right(t, 1) ELSE t END AS t FROM m1),
+    m3 AS (SELECT doc_id, line_no, ok, s, CASE WHEN ok AND length(s) >= 2 AND length(t) >= 2 AND left(right(s, 2), 1) = right(t, 1) AND right(s, 1) = left(right(t, 2), 1)
+        THEN left(t, length(t) - 2) || right(s, 2) ELSE t END AS t FROM m2),
+    m4 AS (SELECT doc_id, line_no, ok,
+        CASE WHEN ok AND length(s) >= 3 AND right(s, 1) IN {_MARKS} AND left(right(s, 3), 2) = ' »' THEN left(s, length(s) - 3) || right(s, 1) || ' »' ELSE s END AS s,
+        CASE WHEN ok AND length(t) >= 3 AND right(t, 1) IN {_MARKS} AND left(right(t, 3), 2) = ' »' THEN left(t, length(t) - 3) || right(t, 1) || ' »' ELSE t END AS t FROM m3),
+    m5 AS (SELECT *, right(s, 1) AS a, right(t, 1) AS b FROM m4),
+    m6 AS (SELECT *, CASE WHEN NOT ok THEN 0 WHEN a IN {_G} AND b NOT IN {_MARKS} THEN 1 WHEN b IN {_G} AND a NOT IN {_MARKS} THEN 2
+        WHEN a IN {_MARKS} AND b NOT IN {_MARKS} THEN 3 WHEN b IN {_MARKS} AND a NOT IN {_MARKS} THEN 4
+        WHEN a IN {_MARKS} AND b IN {_MARKS} AND a <> b AND a NOT IN {_G} AND b NOT IN {_G} AND left(s, 1) NOT IN ('–', '—') AND left(t, 1) NOT IN ('–', '—') THEN 5 ELSE 0 END AS k FROM m5)
+    SELECT doc_id, line_no, CASE k WHEN 2 THEN s || chr(34) WHEN 4 THEN s || b ELSE s END AS src,
+        CASE k WHEN 1 THEN t || chr(34) WHEN 3 THEN t || a WHEN 5 THEN left(t, length(t) - 1) || a ELSE t END AS trg FROM m6""",
+)
+def fix_final_punctuation(spark, sf_dir):
+    kind = F.col("line_no") % 4
+    ending = F.when(kind == 0, " !").when(kind == 1, " ».").when(kind == 2, "»").otherwise("")
+    rows = pairs(spark, sf_dir).withColumn("src", F.concat("src", ending))
+    return recipe(("fix_sent_final_punct", {}, None)).run(rows, ["src", "trg"])
+
+
+@register(
+    "fix_wiki",
+    r"""SELECT doc_id, line_no, trim(CASE WHEN line_no % 2 = 0 THEN regexp_replace(src, '\[[0-9]+\]', '', 'g') ELSE src END) AS src,
+            trim(CASE WHEN line_no % 2 = 0 THEN regexp_replace(trg, '\[[0-9]+\]', '', 'g') ELSE trg END) AS trg
+        FROM (SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN src || '[12] x[3]' ELSE src END AS src, trg FROM pairs)
+        WHERE trim(src) <> '' AND trim(trg) <> ''""",
+)
+def fix_wiki(spark, sf_dir):
+    marked = F.when(F.col("line_no") % 2 == 0, F.concat("src", F.lit("[12] x[3]"))).otherwise(F.col("src"))
+    one = recipe(("fix_wiki", filled("fix_wiki", URLS=False, WIKILINKS=False, HEADINGS=False), None))
+    return one.run(pairs(spark, sf_dir).withColumn("src", marked), ["src", "trg"])
+
+
+@register("frequent_patterns", r"""SELECT doc_id, line_no, regexp_replace(src, '^• *', '') AS src, trg FROM (SELECT doc_id, line_no, src, regexp_replace(trg, '^ -', '') AS trg FROM pairs)""")
+def frequent_patterns(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("src", F.concat(F.lit("• "), "src")).withColumn("trg", F.concat(F.lit(" -"), "trg"))
+    return recipe(("remove_frequent_patterns", {"PATTERN_FILE": "remove_frequent_patterns.txt"}, None)).run(rows, ["src", "trg"])
+
+
+@register("tokenizer")
+def tokenizer(spark, sf_dir):
+    return recipe(("opus.Tokenizer", filled("opus.Tokenizer"), None)).run(answers(spark, sf_dir), ["src", "trg"])
+
+
+@register(
+    "split_sentences",
+    r"""SELECT doc_id, line_no, part, src, trg FROM (SELECT doc_id, line_no, unnest(range(len(s))) AS part, unnest(s) AS src, unnest(t) AS trg
+        FROM (SELECT doc_id, line_no, string_split(src || '. Xx zz.', '. Xx') AS s0,
+              [src || ' xx.', 'Xx zz.'] AS s, [trg || ' xx.', 'Yy zz.'] AS t FROM pairs
+              WHERE NOT regexp_matches(src || trg, '[.!?…][^a-z]* ')))""",
+)
+def split_sentences(spark, sf_dir):
+    rows = pairs(spark, sf_dir).where(~F.concat("src", "trg").rlike("[.!?…][^a-z]* "))
+    rows = rows.withColumn("src", F.concat("src", F.lit(" xx. Xx zz."))).withColumn("trg", F.concat("trg", F.lit(" xx. Yy zz.")))
+    out = recipe(("split_sentences", {"LANG1": "en", "LANG2": "en", "KEEPUNBALANCED": False}, None)).run(rows, ["src", "trg"])
+    return out.withColumn("part", F.col("part").cast("long"))
+
+
+# Duplicates.
+_FIRSTS = """
+, keyed AS (SELECT *, {k}(src) AS a, {k}(trg) AS b FROM pairs)
+SELECT doc_id, line_no, src, trg FROM keyed
+QUALIFY row_number() OVER (PARTITION BY a ORDER BY doc_id, line_no) = 1 AND row_number() OVER (PARTITION BY b ORDER BY doc_id, line_no) = 1
+"""
+
+
+@register("dedup_exact", _FIRSTS.format(k=""))
+def dedup_exact(spark, sf_dir):
+    return dedup.keep_first(pairs(spark, sf_dir), ["src", "trg"], ("doc_id", "line_no"))
+
+
+@register("dedup_aggressive", _FIRSTS.replace("{k}(src)", r"regexp_replace(lower(src), '\P{L}', '', 'g')").replace("{k}(trg)", r"regexp_replace(lower(trg), '\P{L}', '', 'g')"))
+def dedup_aggressive(spark, sf_dir):
+    return dedup.keep_first(pairs(spark, sf_dir), ["src", "trg"], ("doc_id", "line_no"), "plain")
+
+
+@register("dedup_latin")
+def dedup_latin(spark, sf_dir):
+    return dedup.keep_first(pairs(spark, sf_dir), ["src", "trg"], ("doc_id", "line_no"), "latin")
+
+
+@register("dedup_known", r"SELECT doc_id, line_no, src, trg FROM pairs WHERE doc_id % 2 = 1 AND src NOT IN (SELECT src FROM pairs WHERE doc_id % 2 = 0) AND trg NOT IN (SELECT trg FROM pairs WHERE doc_id % 2 = 0)")
+def dedup_known(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    known = dedup.known_keys(rows.where("doc_id % 2 = 0"), ["src", "trg"])
+    return dedup.drop_known(rows.where("doc_id % 2 = 1"), known, ["src", "trg"])
+
+
+@register(
+    "best_of_duplicates",
+    r"""SELECT doc_id, checksum, quality, first_place FROM (
+        SELECT d.doc_id, md5(regexp_replace(lower(text), '\P{L}', '', 'g')) AS checksum, quality FROM documents d JOIN labels USING (doc_id))
+        QUALIFY row_number() OVER (PARTITION BY checksum ORDER BY quality DESC, doc_id) = 1""".replace(
+        "quality, first_place FROM", "quality, min(doc_id) OVER (PARTITION BY checksum) AS first_place FROM"
+    ),
+    lines=False,
+)
+def best_of_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = docs.select("doc_id", F.md5(dedup.plain_key(F.col("text"))).alias("checksum"), "quality")
+    return dedup.best_of_duplicates(rows, "checksum", "quality", "doc_id").select("doc_id", "checksum", "quality", "first_place")
+
+
+# Samples, suffixes.
+@register("sample_head_tail", "SELECT doc_id, n_chars FROM documents WHERE doc_id < 25 OR doc_id >= (SELECT max(doc_id) + 1 - 25 FROM documents)", lines=False)
+def sample_head_tail(spark, sf_dir):
+    return sampling.sample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 25, "doc_id", middle=False)
+
+
+@register("sample_three")
+def sample_three(spark, sf_dir):
+    return sampling.sample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 25, "doc_id")
+
+
+@register("first_lines", "SELECT doc_id, source FROM documents WHERE doc_id < 100", lines=False)
+def first_lines(spark, sf_dir):
+    return sampling.first_lines(table(spark, sf_dir, "documents").select("doc_id", "source"), 100, "doc_id")
+
+
+def _with_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("text"), (F.col("doc_id") % 4).alias("dataset"))
+    return rows.withColumn("text", F.when(F.expr("doc_id div 50 % 2 = 0"), F.concat("text", F.lit(" | Home page"))).otherwise(F.col("text")))
+
+
+@register("strip_suffix")
+def strip_suffix(spark, sf_dir):
+    return suffixes.strip_suffixes(_with_suffix(spark, sf_dir), ["text"], order="doc_id", within=("dataset",))
+
+
+@register("suffix_counts")
+def suffix_counts(spark, sf_dir):
+    return suffixes.suffix_counts(_with_suffix(spark, sf_dir), "text", order="doc_id", within=("dataset",))
+
+
+# Scores.
+for _name, _sql in (("ge", ">="), ("gt", ">"), ("le", "<="), ("lt", "<"), ("eq", "="), ("ne", "<>")):
+
+    def _threshold(spark, sf_dir, how=_name):
+        rows = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+        return scoring.threshold(rows.withColumn("score", F.col("quality") - F.col("toxic")), "score", 0, how)
+
+    register(f"threshold_{_name}", f"SELECT * FROM (SELECT doc_id, quality, toxic, quality - toxic AS score FROM labels) WHERE score {_sql} 0", lines=False)(_threshold)
+
+
+@register("score_distinct", "SELECT conv_id, line_no, src, trg, round(coalesce(least(length(src), length(trg))::DOUBLE / nullif(greatest(length(src), length(trg)), 0), 0), 9) AS score FROM answers".join([f"WITH {TURNS} ", ""]), lines=False)
+def score_distinct(spark, sf_dir):
+    scored = scoring.with_score(answers(spark, sf_dir), ["src", "trg"], scoring.length_agreement)
+    return scored.select("conv_id", "line_no", "src", "trg", F.round("score", 9).alias("score"))
+
+
+@register(
+    "cosine",
+    "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    lines=False,
+)
+def cosine_query(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(following, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+# Placeholders, differences, catalogs.
+@register("placeholders_round_trip", "SELECT doc_id AS line_no, text FROM documents", lines=False)
+def placeholders_round_trip(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
+    coded = placeholders.encode(rows, ["text"])
+    return coded.select("line_no", placeholders.decode(F.col("text"), F.col("mapping")).alias("text"))
+
+
+@register("placeholders_vocabulary", "SELECT '@'[1:0] || i || '@' AS name FROM range(20) t(i)", lines=False)
+def placeholders_vocabulary(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in placeholders.vocabulary()], "name string")
+
+
+@register(
+    "diff_counts",
+    rf"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN {words('text')} > 200 THEN 'removed'
+         WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = text THEN 'identical' ELSE 'changed' END AS status FROM documents) GROUP BY status""",
+    lines=False,
+)
+def diff_counts(spark, sf_dir):
+    rows = texts(spark, sf_dir).withColumnRenamed("doc_id", "line_no")
+    steps = recipe(("normalize_whitespace", {"COLLAPSE": True}, "text"), ("max_length", {"MAXLENGTH": 200, "MINLENGTH": 0}, None))
+    return diff.diff_counts(diff.diff_rows(rows, steps.run(rows, ["text"]), ["text"]))
+
+
+RECIPE = (
+    ("remove_empty_lines", {}, None),
+    ("normalize_whitespace", {"COLLAPSE": True}, "src,trg"),
+    ("max_length", {"MAXLENGTH": 150, "MINLENGTH": 1}, None),
+    ("src_trg_ratio", {"RATIO": 0.6, "LOG": False, "IDENTICAL": False}, None),
+    ("num_mismatch", {"RATIO": 1.0}, None),
+)
+_PLAIN = r"regexp_replace(lower({c}), '\P{{L}}', '', 'g')"
+
+
+@register("step_counts", f"""
+, s1 AS (SELECT trim(regexp_replace(src, '\\s+', ' ', 'g')) AS src, trim(regexp_replace(trg, '\\s+', ' ', 'g')) AS trg FROM pairs
+         WHERE regexp_matches(src, '\\S') AND regexp_matches(trg, '\\S')),
+s2 AS (SELECT * FROM s1 WHERE {words('src')} BETWEEN 1 AND 150 AND {words('trg')} BETWEEN 1 AND 150),
+s3 AS (SELECT * FROM s2 WHERE {words('src')}::DOUBLE / nullif({words('trg')}, 0) BETWEEN 0.6 AND 1 / 0.6::DOUBLE)
+SELECT 0 AS step, 'remove_empty_lines' AS filter, (SELECT count(*) FROM pairs) AS rows_in, (SELECT count(*) FROM s1) AS rows_out
+UNION ALL SELECT 1, 'normalize_whitespace', (SELECT count(*) FROM s1), (SELECT count(*) FROM s1)
+UNION ALL SELECT 2, 'max_length', (SELECT count(*) FROM s1), (SELECT count(*) FROM s2)
+UNION ALL SELECT 3, 'src_trg_ratio', (SELECT count(*) FROM s2), (SELECT count(*) FROM s3)""")
+def step_counts(spark, sf_dir):
+    return recipe(*RECIPE[:4]).stats(pairs(spark, sf_dir), ["src", "trg"])
+
+
+@register("annotated", f"""SELECT doc_id, line_no, CASE WHEN NOT ({words('src')} BETWEEN 1 AND 20 AND {words('trg')} BETWEEN 1 AND 20) THEN 'max_length'
+    WHEN NOT coalesce({words('src')}::DOUBLE / nullif({words('trg')}, 0) BETWEEN 0.6 AND 1 / 0.6::DOUBLE, false) THEN 'src_trg_ratio' END AS rejected_by FROM pairs""")
+def annotated(spark, sf_dir):
+    steps = recipe(("max_length", {"MAXLENGTH": 20, "MINLENGTH": 1}, None), RECIPE[3])
+    return steps.annotate(pairs(spark, sf_dir), ["src", "trg"]).select("doc_id", "line_no", "rejected_by")
+
+
+@register("full_recipe")
+def full_recipe(spark, sf_dir):
+    """The flagship recipe, then first occurrences of both sides."""
+    cleaned = recipe(*RECIPE).run(pairs(spark, sf_dir), ["src", "trg"])
+    return dedup.keep_first(cleaned, ["src", "trg"], ("doc_id", "line_no"), "plain")
+
+
+flagship = full_recipe
+
+_ENTRIES = (
+    (1, "news", "v1", "de", "en", "10", 5), (2, "news", "v2", "de", "en", "12", 6), (3, "news", "v10", "de", "en", "", 7),
+    (4, "web", "v3", "de", "", "", 9), (5, "Laws", "v1", "de", "en", "3", 1),
+)
+
+
+@register(
+    "catalog_latest",
+    """SELECT * FROM (VALUES (2::BIGINT, 'news', 'v2', 12::BIGINT, 6144::BIGINT, 'news-v2.de-en'), (4, 'web', 'v3', -1, 9216, 'web-v3.de'), (5, 'Laws', 'v1', 3, 1024, 'Laws-v1.de-en'))
+       t(id, corpus, version, pairs, size, basename)""",
+    lines=False,
+)
+def catalog_latest(spark, sf_dir):
+    names = ("id", "corpus", "version", "source", "target", "alignment_pairs", "size")
+    rows = spark.createDataFrame(_ENTRIES, "id long, corpus string, version string, source string, target string, alignment_pairs string, size long")
+    lines = rows.select(F.to_json(F.struct(*names)).alias("value"))
+    listed = catalog.list_entries(catalog.entries_from_json(lines))
+    return listed.select("id", "corpus", "version", F.coalesce("pairs", F.lit(-1)).cast("long").alias("pairs"), "size", "basename")
+
+
+@register("category_members", "SELECT name, categories FROM (VALUES ('a', 'clean dirty'), ('b', 'clean'), ('c', '')) t(name, categories)", lines=False)
+def category_members(spark, sf_dir):
+    mapping = '{"categories": [{"name": "clean"}, {"name": "dirty"}], "mapping": {"clean": ["a", "b"], "dirty": ["a"]}}'
+    corpora = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    joined = catalog.in_category(corpora, catalog.categories(spark, mapping))
+    return joined.select("name", F.array_join("categories", " ").alias("categories"))
