@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut
@@ -48,7 +49,20 @@ def _text_key(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.sha256(b" ".join(words)).digest()[:8], "big", signed=True)
 
 
+def _rows_of(first: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row, the smallest of `first` among the rows that agree with it in `keys`."""
+    order = np.lexsort((first, *keys))
+    new = np.concatenate(([True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])))
+    low = np.empty_like(first)
+    low[order] = first[order][new][np.cumsum(new) - 1]
+    return low
+
+
 def _anchors(window: int):
+    """Rows (anchor, id, place, known). Where an anchor is in several documents of a batch, its rows
+    are known to be shared, and only those of the smallest id go on under the anchor's name, to
+    meet the other batches; the others get a name of their own. A frequent anchor so has few rows
+    for each batch, however many documents have it."""
     length = window - PERIOD + 1
     at_cover = np.zeros(PERIOD, bool)
     at_cover[list(COVER)] = True
@@ -57,40 +71,51 @@ def _anchors(window: int):
         codes = Codes()
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            hashes, owners, at = [], [], []
             for start, _, texts in grouped(batch):
-                hashes, owners = [], []
                 for k, text in enumerate(texts):
                     words = text.split()
                     if len(words) < window:
                         continue
                     found = rolled(codes.of(words), length)
                     places = np.flatnonzero(at_cover[np.arange(len(found)) % PERIOD])
-                    hashes.append((found[places], places))
+                    hashes.append(found[places])
                     owners.append(np.full(len(places), ids[start + k]))
-                if hashes:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([h for h, _ in hashes]).view(np.int64)),
-                            pa.array(np.concatenate(owners)),
-                            pa.array(np.concatenate([p for _, p in hashes]).astype(np.int32)),
-                        ],
-                        ["anchor", "id", "place"],
-                    )
+                    at.append(places.astype(np.uint64))
+            if not hashes:
+                continue
+            anchor, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(at)
+            low, high = _rows_of(owner, anchor), ~_rows_of(~owner, anchor)
+            name = np.where(owner == low, anchor, combine(owner.view(np.uint64), place))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name.view(np.int64)), pa.array(owner), pa.array(place.astype(np.int32)), pa.array(low < high)],
+                ["anchor", "id", "place", "known"],
+            )
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that are about to be shuffled, compressed."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [packer.compress(text) for _, _, texts in grouped(batch) for text in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+
+
 def _windows(window: int):
-    """Hashes of the windows that contain one of the anchors at `places`."""
+    """Rows (h1, h2, id, text_key, at, gone) for the windows that contain an anchor at `places`. Where
+    a window is in several documents of a batch, it is gone from all but the smallest id, and only
+    the rows of that id go on under the window's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        codes, unpacker = Codes(), zstandard.ZstdDecompressor()
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for start, _, texts in grouped(batch):
-                columns = []
+            columns = []
+            for start, _, texts in grouped(batch, "packed"):
                 for k, text in enumerate(texts):
-                    words = text.split()
+                    words = unpacker.decompress(text).split()
                     if len(words) < window:
                         continue
                     own = codes.of(words)
@@ -101,31 +126,38 @@ def _windows(window: int):
                     np.add.at(edges, np.clip(places + 1, 0, len(first)), -1)
                     at = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
                     second = rolled(combine(own, own), window)[at] >> np.uint64(32)
-                    columns.append((first[at], second, np.full(len(at), ids[start + k]), np.full(len(at), _text_key(words)), at))
-                if columns:
-                    h1, h2, owner, key, at = (np.concatenate(c) for c in zip(*columns, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h1.view(np.int64)),
-                            pa.array(h2.astype(np.uint32).view(np.int32)),
-                            pa.array(owner),
-                            pa.array(key),
-                            pa.array(at.astype(np.int32)),
-                        ],
-                        ["h1", "h2", "id", "text_key", "at"],
+                    columns.append(
+                        (first[at], second, np.full(len(at), ids[start + k]), np.full(len(at), _text_key(words)), at)
                     )
+            if not columns:
+                continue
+            h1, h2, owner, key, at = (np.concatenate(c) for c in zip(*columns, strict=True))
+            gone = owner > _rows_of(owner, h1, h2)
+            h1 = np.where(gone, combine(key.view(np.uint64), at.astype(np.uint64)), h1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h1.view(np.int64)),
+                    pa.array(h2.astype(np.uint32).view(np.int32)),
+                    pa.array(owner),
+                    pa.array(key),
+                    pa.array(at.astype(np.int32)),
+                    pa.array(gone),
+                ],
+                ["h1", "h2", "id", "text_key", "at", "gone"],
+            )
 
     return run
 
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             ids, keys = batch.column("id").to_numpy(), batch.column("text_key").to_numpy()
             rows, removed, digests, spans, kept_texts = [], [], [], [], []
-            for start, _, texts in grouped(batch):
+            for start, _, texts in grouped(batch, "packed"):
                 for k, text in enumerate(texts):
-                    words = text.split()
+                    words = unpacker.decompress(text).split()
                     if _text_key(words) != keys[start + k]:  # another text with the same id
                         continue
                     rows.append(start + k)
@@ -175,21 +207,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     #: A window has at least window words and window - 1 separators.
     long_rows = rows.where(F.octet_length("text") >= 2 * window - 1)
-    anchors = long_rows.mapInArrow(_anchors(window), "anchor long, id long, place int")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = cut(shared.where("low < high").select("anchor"))
-    places = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("place").alias("places"))
+    anchors = long_rows.mapInArrow(_anchors(window), "anchor long, id long, place int, known boolean")
+    same = Window.partitionBy("anchor")
+    shared = F.col("known") | (F.min("id").over(same) < F.max("id").over(same))
+    places = anchors.withColumn("shared", shared).where("shared").groupBy("id").agg(F.collect_list("place").alias("places"))
     places = places.join(owners.select(F.col("owner").alias("id")).distinct(), "id", "left_semi")
-    candidates = cut(long_rows.join(places, "id").select("id", "places", "text"))
+    packed = long_rows.mapInArrow(_pack, "id long, packed binary")
+    candidates = cut(packed.join(places, "id").select("id", "places", "packed"))
 
-    windows = candidates.mapInArrow(_windows(window), "h1 long, h2 int, id long, text_key long, at int")
-    least = cut(windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
-    repeats = windows.join(least, ["h1", "h2"]).where("id > low")
+    windows = candidates.mapInArrow(_windows(window), "h1 long, h2 int, id long, text_key long, at int, gone boolean")
+    gone = F.col("gone") | (F.col("id") > F.min("id").over(Window.partitionBy("h1", "h2")))
+    repeats = windows.withColumn("gone", gone).where("gone")
     repeats = repeats.groupBy("id", "text_key").agg(F.array_distinct(F.collect_list("at")).alias("removed"))
     cleaned = (
-        candidates.select("id", "text")
+        candidates.select("id", "packed")
         .join(repeats, "id")
-        .select("id", "text_key", "text", "removed")
+        .select("id", "text_key", "packed", "removed")
         .mapInArrow(
             _remove(window),
             "id long, text_key long, n_removed long, sha256 string, spans array<struct<from: long, to: long>>, kept_text string",
