@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, cut
+from corpusloom.llm.common import WORD, cut, let
 
 #: A source's words are numbered in so many runs, so a hot source is no single sort.
 RUNS = 4096
@@ -210,24 +210,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     joined by single spaces, and `n_chars`, where there is one, its new length.
     """
     plan = mix_sources(docs, **options)
-    spans = plan.spans()
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text"))
-    copies = Window.partitionBy("row_key").orderBy("row_key")
-    keyed = keyed.withColumn("copy", F.row_number().over(copies))
-    total = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    chosen = F.element_at(
-        F.transform(
-            F.array(words),
-            lambda w: F.flatten(
-                F.transform("parts", lambda p: F.slice(w, (p["from"] + 1).cast("int"), p["length"].cast("int")))
-            ),
-        ),
-        1,
+    spans = plan.spans().select(
+        F.col("row_key").alias("__key"), F.col("copy").alias("__copy"), F.col("size").alias("__size"), F.col("parts").alias("__parts")
     )
-    whole = total == F.col("size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(chosen, " "))
-    joined = keyed.join(spans, ["row_key", "copy"]).withColumn("text", text)
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
+    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    total = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+    def cut_out(w: Column) -> Column:
+        pieces = F.transform("__parts", lambda p: F.slice(w, (p["from"] + 1).cast("int"), p["length"].cast("int")))
+        return F.array_join(F.flatten(pieces), " ")
+
+    text = F.when(total == F.col("__size"), F.col("text")).otherwise(let(words, cut_out))
+    joined = keyed.join(spans, ["__key", "__copy"]).withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*docs.columns)
