@@ -35,8 +35,13 @@ def numbers(text: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """(|a ∩ b| + 1) / (|a △ b| + 1) of two arrays of distinct values; 1 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return (both + 1).cast("double") / (F.size(F.array_union(a, b)) - both + 1)
+    pair = F.array(F.struct(a.alias("a"), b.alias("b")))  # evaluated once
+
+    def share(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"]))
+        return (both + 1).cast("double") / (F.size(F.array_union(p["a"], p["b"])) - both + 1)
+
+    return F.element_at(F.transform(pair, share), 1)
 
 
 def urls(text: Column) -> Column:

@@ -45,12 +45,11 @@ def keep_first(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ("l
     """Rows in which the key of every one of `columns` occurs for the first time in `order`. A row that
     is dropped for one column still counts as the first for the others. `order` must tell all rows
     apart."""
-    keyed = with_keys(df, columns, key)
-    out = df
-    for c in columns:
-        firsts = keyed.groupBy(f"{c}_key").agg(F.min(F.struct(*order)).alias("__first")).select("__first.*")
-        out = out.join(firsts, list(order), "left_semi")
-    return out
+    keys = F.array(*[F.struct(F.lit(k).alias("column"), KEYS[key](F.col(c)).alias("key")) for k, c in enumerate(columns)])
+    keyed = df.select(F.struct(*order).alias("order"), F.explode(keys).alias("k"))
+    firsts = keyed.groupBy("k").agg(F.min("order").alias("order"))
+    everywhere = firsts.groupBy("order").count().where(F.col("count") == len(columns)).select("order.*")
+    return df.join(everywhere, list(order), "left_semi")
 
 
 def drop_known(df: DataFrame, seen: DataFrame, columns: Sequence[str], key: str = "exact") -> DataFrame:

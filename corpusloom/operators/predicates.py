@@ -88,7 +88,9 @@ def alpha_ratio(p, columns):
 
 @define("num_mismatch", BILINGUAL, "Keep pairs with much the same numbers.", "keep", RATIO=Param("float", 1.0))
 def num_mismatch(p, columns):
-    return entities.overlap(entities.numbers(columns[0]), entities.numbers(columns[1])) >= p["RATIO"]
+    some = columns[0].rlike(r"(?U)\d") | columns[1].rlike(r"(?U)\d")
+    same = entities.overlap(entities.numbers(columns[0]), entities.numbers(columns[1])) >= p["RATIO"]
+    return F.when(some, same).otherwise(p["RATIO"] <= 1)
 
 
 @define("url_mismatch", BILINGUAL, "Keep pairs with the same urls in the same order.", "keep")
