@@ -167,7 +167,7 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Where benchmark windows occur in documents.
 
