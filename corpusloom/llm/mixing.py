@@ -54,6 +54,7 @@ class Mix:
         uses = self.slots.groupBy("sid", "block").agg(
             F.count(F.when(whole, 1)).alias("uses"), F.max("words").alias("part")
         )
+        uses = uses.hint("merge")  # grows with the data, though it comes from the short list of sources
         part = F.coalesce(F.col("part"), F.lit(0))
         words = F.col("uses") * F.col("length") + F.greatest(
             F.least(part, F.col("offset") + F.col("length")) - F.col("offset"), F.lit(0)
@@ -72,7 +73,7 @@ class Mix:
     def spans(self) -> DataFrame:
         """For each input row and round that takes words of it: `parts`, an array of (from, length),
         in words of the document, in order."""
-        uses = self.slots.select("sid", "block", "round", "words")
+        uses = self.slots.select("sid", "block", "round", "words").hint("merge")
         end = F.least(F.col("offset") + F.col("length"), F.coalesce("words", F.lit(self.block_words)))
         at = F.col("block") * self.block_words + F.col("offset") - F.col("start")
         part = F.struct(at.alias("from"), (end - F.col("offset")).alias("length"))
