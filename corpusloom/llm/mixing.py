@@ -184,7 +184,9 @@ def mix_sources(
     )
 
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOT_CHUNK}")))
-    seeds = sources.where("slots > 0").withColumn("chunk", chunk).repartition("sid", "chunk")
+    # A given number of partitions, as the few rows of the seed grow into all slots.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeds = sources.where("slots > 0").withColumn("chunk", chunk).repartition(tasks, "sid", "chunk")
     low = F.col("chunk") * SLOT_CHUNK
     high = F.least(low + SLOT_CHUNK, F.col("slots")) - 1
     slots = seeds.withColumn("slot", F.explode(F.sequence(low, high)))
