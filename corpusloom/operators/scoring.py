@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine
@@ -37,7 +38,7 @@ def with_score(
         return df.withColumn(name, scorer(*[F.col(c) for c in columns]).cast("double"))
     spark = df.sparkSession
     texts = df.select(*columns).distinct()
-    known = _read(spark, cache)
+    known = read_if_present(spark, cache)
     if known is not None:
         new = texts.join(known, columns, "left_anti")
         fresh = new.select(*columns, scorer(*[F.col(c) for c in columns]).cast("double").alias("score"))
@@ -50,12 +51,16 @@ def with_score(
     return df.drop(name).join(scored, columns, "left")
 
 
-def _read(spark, path: str | None) -> DataFrame | None:
+def read_if_present(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The Parquet table at `path`, or None if there is none yet."""
     if path is None:
         return None
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.parquet(path) if exists else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def threshold(df: DataFrame, score: Column | str, value: float, comparison: str = "ge") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.dedup import drop_known, keep_first, known_keys
-from corpusloom.operators.scoring import _read
+from corpusloom.operators.scoring import read_if_present
 from corpusloom.plans.pipeline import Pipeline
 from corpusloom.sources.corpus import split_columns
 
@@ -37,7 +37,7 @@ def dedup_stream(
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.withColumn("line_no", F.monotonically_increasing_id()).persist()
-        known = _read(df.sparkSession, seen)
+        known = read_if_present(df.sparkSession, seen)
         fresh = df if known is None else drop_known(df, known.where(F.col("batch") < number), columns, key)
         first = keep_first(fresh, columns, ("line_no",), key).drop("line_no")
         first.write.mode("overwrite").parquet(f"{output}/batch={number}")
