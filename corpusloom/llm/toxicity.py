@@ -9,12 +9,14 @@ windows are calibrated against labels by a monotone table of rates.
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from corpusloom.llm.words import grouped
 
 LEVEL = 6
 #: Words of a window, and from one window to the next.
-WIDTH, STRIDE = 12, 11
+WIDTH, STRIDE = 8, 7
 MARKS = b".,;:!?\"'()#*$%&|<>"
 
 
@@ -63,12 +65,27 @@ class Model:
 
 def savings_of(text: bytes, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> float:
     """What the toxic dictionary saves over a document: the largest saving of a window, and a quarter
-    of all that are above the noise of a byte."""
+    of all savings."""
     found = [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows_of(text)]
-    return max(found) + sum(s for s in found if s > 1) / 4 if found else 0.0
+    return max(found) + sum(s for s in found if s > 0) / 4 if found else 0.0
 
 
-def toxic_strings(toxic: list[bytes], ordinary: list[bytes], least_share: float = 0.02, ratio: float = 10.0) -> bytes:
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    """The texts but those that share a smallest hash of four words, under one of two seeds, with an
+    earlier one: copies would make any of their words look typical."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for text in texts:
+        words = plain_words(text)
+        shingles = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+        sketch = {(seed, min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in (1, 2)}
+        if not sketch & seen:
+            kept.append(text)
+        seen |= sketch
+    return kept
+
+
+def toxic_strings(toxic: list[bytes], ordinary: list[bytes], least_share: float = 0.015, ratio: float = 10.0) -> bytes:
     """The strings, each between spaces, that are in `least_share` of the toxic documents or more (4
     at least), and there `ratio` times as often as in ordinary ones; the most frequent come last."""
     in_toxic = Counter(w for t in toxic for w in set(plain_words(t)))
@@ -80,9 +97,24 @@ def toxic_strings(toxic: list[bytes], ordinary: list[bytes], least_share: float
     return b"".join(b" " + w + b" " for _, w in sorted(marks))
 
 
+def lookalikes(marks: list[bytes], ordinary: list[bytes], near: int = 6) -> list[bytes]:
+    """Words of ordinary documents that begin or end like a mark: its neighbours in order, and in order
+    of the reversed words. With them in both dictionaries, only whole marks save bytes."""
+    starts, ends = {m[:3] for m in marks}, {m[-3:] for m in marks}
+    like: dict[bytes, None] = {}
+    found = {w for t in ordinary for w in plain_words(t) if w[:3] in starts or w[-3:] in ends}.difference(marks)
+    for turn in (lambda w: w, lambda w: w[::-1]):
+        ordered = sorted(turn(w) for w in found)
+        for m in marks:
+            at = bisect.bisect(ordered, turn(m))
+            like.update(dict.fromkeys(turn(w) for w in ordered[max(0, at - near) : at + near]))
+    return list(like)
+
+
 def train(toxic: list[bytes], ordinary: list[bytes], size: int = 32_768) -> Model:
     """Dictionaries from three quarters of the documents, calibration from the rest. The samples must
     keep the proportion in which the classes occur, for the scores to be rates."""
+    toxic, ordinary = without_copies(toxic), without_copies(ordinary)
     cut_toxic, cut_ordinary = 3 * len(toxic) // 4, 3 * len(ordinary) // 4
     windows = [w for t in ordinary[: min(cut_ordinary, 2000)] for w in windows_of(t)]
     try:
@@ -90,7 +122,9 @@ def train(toxic: list[bytes], ordinary: list[bytes], size: int = 32_768) -> Mode
     except zstandard.ZstdError:  # too few windows to train on
         base = b"".join(windows)[-size:]
     extra = toxic_strings(toxic[:cut_toxic], ordinary[:cut_ordinary])[-size:]
-    filler = b"".join(windows[-(len(extra) // 8 + 1) :])[: len(extra)].ljust(len(extra))
+    like = b"".join(b" " + w + b" " for w in lookalikes(extra.split(), ordinary[:cut_ordinary]))
+    base = like[-size:] + base
+    filler = (like[: len(extra)] or b"".join(windows[:50])[: len(extra)]).ljust(len(extra))
     model = Model(filler + base, extra + base, np.zeros(0), np.zeros(1))
     compressors = model.compressors()
     marked = [(savings_of(t, *compressors), 1.0) for t in toxic[cut_toxic:]]
