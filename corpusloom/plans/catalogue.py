@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import entities
 from corpusloom.functions.vectors import cosine
-from corpusloom.operators import dedup, diff, placeholders, predicates, rewrites, sampling, scoring, suffixes
+from corpusloom.operators import REGISTRY, dedup, diff, placeholders, predicates, rewrites, sampling, scoring, suffixes
 from corpusloom.plans.pipeline import Pipeline
 from corpusloom.sources import catalog, corpus
 
@@ -54,13 +54,7 @@ def recipe(*steps) -> Pipeline:
 
 
 def filled(spec: str, **given) -> dict:
-    return rewrites_registry().get(spec).fill(given)[0]
-
-
-def rewrites_registry():
-    from corpusloom.operators import REGISTRY
-
-    return REGISTRY
+    return REGISTRY.get(spec).fill(given)[0]
 
 
 def filter_query(name: str, condition: str | None, spec: str, source: Query = pairs, cte: str = LINES, view: str = "pairs", **given) -> None:
