@@ -79,6 +79,14 @@ class Gru:
             setattr(self, n, vector[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
+    def view(self, vector: np.ndarray) -> None:
+        """Parameters that share the memory of `vector` (single precision)."""
+        at = 0
+        for n in self.NAMES:
+            old = getattr(self, n)
+            setattr(self, n, vector[at : at + old.size].reshape(old.shape))
+            at += old.size
+
     def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
         """The states before each of the symbols `ids` (time by stream), the last state, and, to
         `keep`, what the gradients need."""
@@ -126,58 +134,88 @@ class Gru:
         """Gradients of the mean loss over a window of `ids`, and the state to carry on with."""
         states, last, kept = self.steps(ids, h)
         time, streams, n = states.shape
-        flat, targets = states.reshape(-1, n), ids.reshape(-1)
-        classes, members = targets // CLASS_SIZE, targets % CLASS_SIZE
-        share = np.float32(1 / len(targets))
+        targets = ids.reshape(-1)
+        order = np.argsort(targets // CLASS_SIZE, kind="stable")
+        flat, classes, members = states.reshape(-1, n)[order], targets[order] // CLASS_SIZE, targets[order] % CLASS_SIZE
+        rows, share = np.arange(len(targets)), np.float32(1 / len(targets))
         g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        error = np.exp(_log_softmax(flat @ self.c + self.cb))
-        error[np.arange(len(targets)), classes] -= 1
-        error *= share
+
+        def errors(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """In place: the loss's gradient by the logits."""
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits *= share / logits.sum(axis=1, keepdims=True)
+            logits[rows, at] -= share
+            return logits
+
+        error = errors(flat @ self.c + self.cb, classes)
         g["c"], g["cb"] = flat.T @ error, error.sum(axis=0)
-        back = error @ self.c.T
-        for k in np.unique(classes):
-            rows = np.flatnonzero(classes == k)
-            error = np.exp(_log_softmax(flat[rows] @ self.o[k] + self.ob[k]))
-            error[np.arange(len(rows)), members[rows]] -= 1
-            error *= share
-            g["o"][k], g["ob"][k] = flat[rows].T @ error, error.sum(axis=0)
-            back[rows] += error @ self.o[k].T
+        by_class = error @ self.c.T
+        bounds = np.searchsorted(classes, np.arange(len(self.cb) + 1))
+        inside = [(k, slice(bounds[k], bounds[k + 1])) for k in range(len(self.cb)) if bounds[k] < bounds[k + 1]]
+        error = self.ob[classes]
+        for k, own in inside:
+            error[own] += flat[own] @ self.o[k]
+        errors(error, members)
+        for k, own in inside:
+            g["o"][k] = flat[own].T @ error[own]
+            by_class[own] += error[own] @ self.o[k].T
+        present = [k for k, _ in inside]
+        g["ob"][present] = np.add.reduceat(error, bounds[present], axis=0)
+        back = np.empty_like(by_class)
+        back[order] = by_class
         back = back.reshape(states.shape)
-        inward = np.empty((time, streams, 3 * n), np.float32)
+        r, z, candidate, recurrent = (np.stack(part) for part in zip(*kept, strict=True))
+        going = (ids != self.end).astype(np.float32)[:, :, None]
+        by_c = (1 - z) * (1 - candidate**2)
+        by_r = by_c * recurrent * r * (1 - r)
+        by_z = (states - candidate) * z * (1 - z)
+        through = np.concatenate((by_r, by_z, by_c * r), axis=2)
+        dhs = np.empty_like(states)
         dh = np.zeros((streams, n), np.float32)
+        wide, turned = through.reshape(time, streams, 3, n), self.u.T.copy()
         for t in reversed(range(time)):
-            r, z, candidate, recurrent = kept[t]
-            dh = dh * (ids[t] != self.end)[:, None]
-            dc = dh * (1 - z) * (1 - candidate**2)
-            dr = dc * recurrent * r * (1 - r)
-            dz = dh * (states[t] - candidate) * z * (1 - z)
-            inward[t] = np.concatenate((dr, dz, dc), axis=1)
-            through = np.concatenate((dr, dz, dc * r), axis=1)
-            g["u"] += states[t].T @ through
-            dh = dh * z + through @ self.u.T + back[t]
+            dh = np.multiply(dh, going[t], out=dhs[t])
+            wide[t] *= dh[:, None, :]
+            dh = dh * z[t]
+            dh += through[t] @ turned
+            dh += back[t]
+        g["u"] = states.reshape(-1, n).T @ through.reshape(-1, 3 * n)
+        inward = through
+        inward[:, :, 2 * n :] = dhs * by_c
         g["x"] = _sum_by(targets, inward.reshape(-1, 3 * n), self.symbols)
         return g, last
 
     def train(self, documents: list[np.ndarray], streams: int = 64, window: int = 20, rate: float = 0.01) -> int:
         """One pass of Adam over documents (symbols, each with its end), end to end and cut into streams
-        of equal length: as many as `streams`, or fewer where that would leave under 100 windows."""
+        of equal length: as many as `streams`, or fewer where that would leave under 100 windows. The
+        last stream is filled up with the first symbols."""
         flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
         streams = int(np.clip(len(flat) // (100 * window), min(8, max(1, len(flat) // 2)), streams))
-        length = len(flat) // streams
+        length = -(-len(flat) // streams)
         if length < 2:
             return 0
-        ids = flat[: length * streams].reshape(streams, length).T
+        ids = np.resize(flat, (streams, length)).T
         state = np.zeros((streams, self.hidden), np.float32)
-        moments = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.NAMES}
+        vector = self.vector()
+        self.view(vector)
+        m, v, rise = np.zeros_like(vector), np.zeros_like(vector), np.empty_like(vector)
         for step, t in enumerate(range(0, length, window), 1):
             g, state = self.gradients(ids[t : t + window], state)
-            norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
-            for k, (m, v) in moments.items():
-                grad = g[k] / max(1.0, norm)
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad**2 - v)
-                rise = np.sqrt(v / (1 - 0.99**step)) + 1e-6
-                setattr(self, k, getattr(self, k) - rate * (m / (1 - 0.9**step)) / rise)
+            grad = np.concatenate([g[n].ravel() for n in self.NAMES])
+            grad *= np.float32(1 / max(1.0, float(np.sqrt(grad @ grad))))
+            m *= np.float32(0.9)
+            m += np.multiply(grad, np.float32(0.1), out=rise)
+            v *= np.float32(0.99)
+            grad *= grad
+            grad *= np.float32(0.01)
+            v += grad
+            np.multiply(v, np.float32(1 / (1 - 0.99**step)), out=rise)
+            np.sqrt(rise, out=rise)
+            rise += np.float32(1e-6)
+            np.divide(m, rise, out=rise)
+            rise *= np.float32(rate / (1 - 0.9**step))
+            vector -= rise
         return length * streams
 
     def score(self, documents: list[np.ndarray], streams: int = 512, window: int = 32) -> np.ndarray:

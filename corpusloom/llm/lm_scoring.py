@@ -3,9 +3,9 @@
 All tokens of the training documents are counted. The most frequent words, an end, and symbols for
 the others by their last letters are the model's symbols; a word outside takes its symbol's
 probability times its share of that symbol's counts, so the model gives every text a
-probability. The model starts as the unigram model. In each round every task trains a copy on its
-part of the training sample, a fixed share of all training documents taken by a hash of the id, by
-truncated backpropagation, and Spark averages the copies. Whole documents are then scored with the
+probability. The model starts as the unigram model. The training documents are dealt over the rounds
+by a hash of the id, so that every one of them is learned from. In each round every task trains a
+copy on its part by truncated backpropagation, and Spark averages the copies. Whole documents are then scored with the
 state carried from window to window.
 
 Only bounded data is broadcast: the model and the counts of the `lookup` most frequent words. The
@@ -139,10 +139,19 @@ def lexicon_of(training: DataFrame, vocabulary: int, lookup: int) -> tuple[Lexic
     return Lexicon(symbols, known, np.maximum(others, ALPHA), documents, total + documents, types + (documents > 0)), counts
 
 
-def train(training: DataFrame, lexicon: Lexicon, hidden: int = 16, rounds: int = 2, share: int = 24) -> Gru:
-    """The model after `rounds` rounds, each on another 1 / `share` of `training` (id, text)."""
+def portions(training: DataFrame, rounds: int = 2, share: int = 2) -> list[DataFrame]:
+    """The rows (id, text) that each of the rounds learns from: 1 / `share` of all, by a hash of the
+    id, another for each round. All rows are in one of them at least."""
+    if share > rounds:
+        raise ValueError("rows would be left out: share must not exceed rounds")
+    slot = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(share))
+    return [training.where(slot == k % share) for k in range(rounds)]
+
+
+def train(training: DataFrame, lexicon: Lexicon, hidden: int = 16, rounds: int = 2, share: int = 2) -> Gru:
+    """The model after `rounds` rounds, each on its portion of `training` (id, text)."""
     model = Gru(lexicon.weights(), hidden)
-    for k in range(rounds):
+    for portion in portions(training, rounds, share):
         shared = training.sparkSession.sparkContext.broadcast((lexicon, model))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -170,8 +179,7 @@ def train(training: DataFrame, lexicon: Lexicon, hidden: int = 16, rounds: int =
                     ["piece", "weight", "part"],
                 )
 
-        sample = training.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(share)) == k % share).select("text")
-        parts = sample.mapInArrow(run, "piece int, weight double, part array<double>")
+        parts = portion.select("text").mapInArrow(run, "piece int, weight double, part array<double>")
         mean = Summarizer.mean(array_to_vector("part"), F.col("weight"))
         found = parts.groupBy("piece").agg(vector_to_array(mean).alias("part")).orderBy("piece").collect()
         shared.unpersist()
@@ -189,7 +197,7 @@ def score_documents(
     lookup: int = 100_000,
     hidden: int = 16,
     rounds: int = 2,
-    share: int = 24,
+    share: int = 2,
 ) -> DataFrame:
     """Language-model scores of each row of `docs`, learned from the rows outside fold 0.
 

@@ -128,6 +128,22 @@ def test_no_training_rows(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == pytest.approx(0) for r in got)
 
 
+def test_every_training_row_is_learned_from(frame):
+    found = [r.id for p in lm_scoring.portions(frame.selectExpr("doc_id as id", "text")) for r in p.select("id").collect()]
+    assert sorted(found) == list(range(600))
+    with pytest.raises(ValueError):
+        lm_scoring.portions(frame.selectExpr("doc_id as id", "text"), rounds=2, share=24)
+
+
+def test_no_symbol_is_left_out_of_training():
+    model, seen = small_model(), []
+    inner = model.gradients
+    model.gradients = lambda ids, state: (seen.extend(ids.ravel()), inner(ids, state))[1]
+    documents = [np.array([1, 2, 3, 149]), np.array([4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 149])]
+    model.train(documents)
+    assert set(seen) >= set(np.concatenate(documents).tolist())
+
+
 def small_model(n=150):
     model = Gru(np.arange(1, n + 1, dtype=float), hidden=5)
     rng = np.random.default_rng(0)
