@@ -378,6 +378,12 @@ def split_sentences(spark, sf_dir):
     return out.withColumn("part", F.col("part").cast("long"))
 
 
+@register("split_sentences_all")
+def split_sentences_all(spark, sf_dir):
+    """Every pair, cut at its own sentence ends; `split_sentences` has only pairs without any."""
+    return recipe(("split_sentences", {"LANG1": "en", "LANG2": "en", "KEEPUNBALANCED": False}, None)).run(pairs(spark, sf_dir), ["src", "trg"])
+
+
 # Duplicates.
 _FIRSTS = """
 , keyed AS (SELECT *, {k}(src) AS a, {k}(trg) AS b FROM pairs)

@@ -40,3 +40,42 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def by_hand(text):
+    """The sentences of a line, read character by character."""
+    abbreviations = "Mr Mrs Ms Dr Prof St No vs etc e.g i.e z.B bzw usw Hr Fr Nr M Mme Sr Sra Ud pág cf".split()
+    out, start, k = [], 0, 0
+    while k < len(text):
+        end = k
+        while k < len(text) and text[k].isspace():
+            k += 1
+        if k == end:
+            k += 1
+            continue
+        before, after = text[:end], text[k:].lstrip("\"'“‘„«([¿¡")
+        closed = next((n for n in range(3) if len(before) > n and before[-n - 1] in ".!?…" and all(c in "\"'”’»)]" for c in before[len(before) - n :])), None)
+        word = before[:-1].split(" ")[-1].lstrip("(\"'“„«[") if before.endswith(".") else ""
+        short = word in abbreviations or (len(word) == 1 and word.isupper())
+        if closed is not None and after and (after[0].isupper() or after[0].isdigit()) and not short:
+            out.append(text[start:end].strip())
+            start = k
+    return [s for s in [*out, text[start:].strip()] if s]
+
+
+def test_all_pairs_are_cut_into_sentences(spark, tmp_path):
+    texts = [
+        "One here. Two there! (Three.) Four\nEins da. Zwei dort! (Drei.) Vier\nOnly one",
+        "Dr. A. Smith went. He left\nHr. B. Schmidt ging. Er blieb\n\"Stop!\" He said. 3 times\n»Halt!« Er rief. 3 mal",
+        "no end at all\nkein Ende\nx. lower case stays\ny. klein",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, text in enumerate(texts):
+        lines = text.split("\n")
+        for n, (a, b) in enumerate(zip(lines, lines[1:])):
+            a, b = by_hand(a), by_hand(b)
+            want += [(k, n, part, x, y) for part, (x, y) in enumerate(zip(a, b))] if len(a) == len(b) else []
+    got = catalogue.QUERIES["split_sentences_all"](spark, str(tmp_path)).select("doc_id", "line_no", "part", "src", "trg").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert max(r.part for r in got) == 3
