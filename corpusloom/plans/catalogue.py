@@ -180,6 +180,19 @@ def html_tags(spark, sf_dir):
     return recipe(("opus.HtmlTagFilter", {}, None)).run(parts, ["part"])
 
 
+@register(
+    "opus_html_tags_whole",
+    r"""SELECT * FROM (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)
+        WHERE NOT regexp_matches(text, '(?is)<(?:/?[A-Za-z][^<>]*|!--.*?--|!DOCTYPE[^<>]*)>')""",
+    lines=False,
+)
+def html_tags_whole(spark, sf_dir):
+    """Whole pages and documents; the parts of `opus_html_tags` have no tags."""
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    return recipe(("opus.HtmlTagFilter", {}, None)).run(pages.union(docs), ["text"])
+
+
 # Alphabets, by language of the document; thresholds at which many lines go.
 def alpha_query(lang: str, letters_of: str) -> None:
     given = {"LANG1": lang, "LANG2": lang, "SRCWORDRAT": 0.9, "TRGWORDRAT": 0.9, "SRCALPHARAT": 0.95, "TRGALPHARAT": 0.95}

@@ -79,3 +79,9 @@ def test_all_pairs_are_cut_into_sentences(spark, tmp_path):
     got = catalogue.QUERIES["split_sentences_all"](spark, str(tmp_path)).select("doc_id", "line_no", "part", "src", "trg").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert max(r.part for r in got) == 3
+
+
+def test_rows_with_tags_are_dropped(spark):
+    whole = sum(catalogue.table(spark, FOLDER, name).count() for name in ("pages", "documents"))
+    kept = catalogue.QUERIES["opus_html_tags_whole"](spark, FOLDER)
+    assert 0 < kept.count() < whole and kept.where("text rlike '<p>'").count() == 0
