@@ -459,18 +459,21 @@ def first_lines(spark, sf_dir):
 
 
 def _with_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("text"), (F.col("doc_id") % 4).alias("dataset"))
+    """Every line of the documents, `line` in the order of documents and lines, in four datasets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("dataset"))
+    rows = docs.select("doc_id", "dataset", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
+    rows = rows.select("doc_id", (F.col("doc_id") * (1 << 24) + F.col("at")).alias("line"), "text", "dataset")
     return rows.withColumn("text", F.when(F.expr("doc_id div 50 % 2 = 0"), F.concat("text", F.lit(" | Home page"))).otherwise(F.col("text")))
 
 
 @register("strip_suffix")
 def strip_suffix(spark, sf_dir):
-    return suffixes.strip_suffixes(_with_suffix(spark, sf_dir), ["text"], order="doc_id", within=("dataset",))
+    return suffixes.strip_suffixes(_with_suffix(spark, sf_dir), ["text"], order="line", within=("dataset",))
 
 
 @register("suffix_counts")
 def suffix_counts(spark, sf_dir):
-    return suffixes.suffix_counts(_with_suffix(spark, sf_dir), "text", order="doc_id", within=("dataset",))
+    return suffixes.suffix_counts(_with_suffix(spark, sf_dir), "text", order="line", within=("dataset",))
 
 
 # Scores.

@@ -85,3 +85,11 @@ def test_rows_with_tags_are_dropped(spark):
     whole = sum(catalogue.table(spark, FOLDER, name).count() for name in ("pages", "documents"))
     kept = catalogue.QUERIES["opus_html_tags_whole"](spark, FOLDER)
     assert 0 < kept.count() < whole and kept.where("text rlike '<p>'").count() == 0
+
+
+def test_suffixes_of_later_lines_are_stripped(spark, tmp_path):
+    texts = [(200 + 4 * k + 50, "\n".join(f"{c} {k} line" for c in "abcdefghijkl")) for k in range(2)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["strip_suffix"](spark, str(tmp_path)).orderBy("line").collect()
+    assert [r.text for r in got] == [c for k in range(2) for c in (f"{c}" for c in "abcdefghijkl")]
+    assert {r.suffix: r.n for r in catalogue.QUERIES["suffix_counts"](spark, str(tmp_path)).collect()} == {" 0 line": 12, " 1 line": 12}
