@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def top(counts: DataFrame, n_col: str, name_col: str, limit: int) -> pa.Table:
+    """The rows of `counts` with the largest `n_col`, about `limit` at most. The least count that is
+    needed is read from a short table of how many rows have counts of each size (64 sizes between a
+    number and its double), so that only rows that are wanted leave their tasks; of the least size,
+    those with the smallest hash of `name_col` are taken."""
+    size = F.floor(F.log2(F.col(n_col).cast("double")) * 64)
+    spread = counts.groupBy(size.alias("size")).agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect()
+    left, least, part = limit, -1, 1.0
+    for r in spread:
+        least, part = r["size"], min(1.0, left / r["rows"])
+        left -= r["rows"]
+        if left <= 0:
+            break
+    turn = F.pmod(F.xxhash64(name_col), F.lit(1 << 30))
+    return counts.where((size > least) | ((size == least) & (turn < int(part * (1 << 30))))).toArrow()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
