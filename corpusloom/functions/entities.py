@@ -1,4 +1,7 @@
-"""Numbers, urls and currencies in text, as array columns."""
+"""Numbers, urls and currencies in text, as array columns.
+
+The patterns are put together from named parts, each a piece of the described grammar.
+"""
 
 from __future__ import annotations
 
@@ -7,71 +10,94 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"(?U)(?:((?:(?<=\s)|^)[-+])|\b)(?:0*)(\d+(?:[.,:]\d+)*)\b"
-
-URL = (
-    r"(?Ui)\b(?:([a-z][a-z0-9+.-]*)://)?(?:([a-zA-Z0-9._~%!$&'()*+,;=:-]+)@)?"
-    r"((?:(?:[a-zA-Z0-9-]{1,63}\.)+[a-zA-Z]{2,63})|(?:\d{1,3}\.){3}\d{1,3}|\[[0-9a-fA-F:.]+\])"
-    r"(?::(\d{2,5}))?((?:/[a-zA-Z0-9._~%!$&'()*+,;=:@-]*)*)(?:\?([a-zA-Z0-9._~%!$&'()*+,;=:@/?-]*))?"
-    r"(?:#([a-zA-Z0-9._~%!$&'()*+,;=:@/?-]*))?\b"
-)
-
-#: ISO codes and the symbols by which English text has them.
-CURRENCIES = {
-    "AUD": "A$", "BRL": "R$", "CAD": "CA$", "CNY": "CN¥", "EUR": "€", "GBP": "£", "HKD": "HK$", "ILS": "₪", "INR": "₹",
-    "JPY": "¥", "KRW": "₩", "MXN": "MX$", "NZD": "NZ$", "PHP": "₱", "TWD": "NT$", "USD": "$", "VND": "₫", "XCD": "EC$",
-    "BGN": "BGN", "CHF": "CHF", "CZK": "CZK", "DKK": "DKK", "EEK": "EEK", "HUF": "HUF", "ISK": "ISK", "LTL": "LTL",
-    "LVL": "LVL", "NOK": "NOK", "PLN": "PLN", "RON": "RON", "RUB": "RUB", "SEK": "SEK", "TRY": "TRY", "UAH": "UAH",
-    "ZAR": "ZAR",
-}
+from corpusloom.functions import locale
+
+# A number is a chain of words that are all digits, held together by single separators. A sign belongs
+# to it if nothing but white space or the start of the text is before the sign.
+DIGITS = r"(?<!\w)\d+(?!\w)"
+SEPARATOR = r"[.,:]"
+SIGN = r"(?<!\S)[-+]"
+NUMBER = rf"(?U)(?:{SIGN})?{DIGITS}(?:{SEPARATOR}{DIGITS})*"
+
+# A url by the generic syntax: scheme, user, host, port, path, query, fragment; all but the host may lack.
+UNRESERVED = r"a-z0-9._~\-"
+SUB_DELIMITERS = "!$&'()*+,;="
+IN_PATH = f"{UNRESERVED}{SUB_DELIMITERS}%:@"
+SCHEME = "[a-z][a-z0-9+.-]*://"
+USER = f"[{UNRESERVED}{SUB_DELIMITERS}%:]+@"
+NAME = "(?:[a-z0-9-]{1,63}[.])+[a-z]{2,63}"
+ADDRESS = r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}|\[[0-9a-f:.]+\]"
+PORT = ":[0-9]{2,5}"
+PATH = f"(?:/[{IN_PATH}]*)*"
+QUERY = rf"[?][{IN_PATH}/?]*"
+FRAGMENT = f"#[{IN_PATH}/?]*"
+URL = rf"(?Ui)\b(?:{SCHEME})?(?:{USER})?(?:{NAME}|{ADDRESS})(?:{PORT})?{PATH}(?:{QUERY})?(?:{FRAGMENT})?\b"
+
+#: Web addresses that name their protocol: a name with a dot and a short ending, and all that follows.
+WEB_NAME = "[-A-Za-z0-9@:%._+~#=]{1,256}[.][0-9A-Za-z()]{1,6}"
+WEB = rf"(?Ud)https?://(?={WEB_NAME}\b)[-A-Za-z0-9@:%._+~#=()?&/]+"
+
+#: Where locale data cannot be read: symbols of currencies in English text.
+SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CNY": "CN¥", "INR": "₹", "KRW": "₩", "ILS": "₪", "CAD": "CA$", "AUD": "A$"}
+AMOUNT = r"\d[\d.,]*"
 
 
 def numbers(text: Column) -> Column:
     """The distinct numbers, signs kept, leading zeros dropped, separators as `*`."""
-    signs = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(2))
-    return F.array_distinct(F.zip_with(signs, values, lambda s, v: F.concat(s, F.regexp_replace(v, r"(?U)[^\d]+", "*"))))
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+
+    def plain(n: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(n, SEPARATOR, "*"), r"(?U)^([-+]?)0+(?=\d)", "$1")
+
+    return F.array_distinct(F.transform(found, plain))
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """(|a ∩ b| + 1) / (|a △ b| + 1) of two arrays of distinct values; 1 if both are empty."""
+    """(|a ∩ b| + 1) / (|a △ b| + 1) of two arrays of distinct values; null if both are empty."""
     pair = F.array(F.struct(a.alias("a"), b.alias("b")))  # evaluated once
 
     def share(p: Column) -> Column:
         both = F.size(F.array_intersect(p["a"], p["b"]))
-        return (both + 1).cast("double") / (F.size(F.array_union(p["a"], p["b"])) - both + 1)
+        either = F.size(F.array_union(p["a"], p["b"]))
+        return F.when(either > 0, (both + 1).cast("double") / (either - both + 1))
 
     return F.element_at(F.transform(pair, share), 1)
 
 
+def host(url: Column) -> Column:
+    """The host in a url that `URL` matches."""
+    bare = F.regexp_replace(F.regexp_replace(url, f"(?i)^{SCHEME}", ""), f"(?i)^{USER}", "")
+    return F.regexp_extract(bare, rf"(?i)^(?:{NAME}|{ADDRESS})", 0)
+
+
 def urls(text: Column) -> Column:
     """The urls in order; hosts like `end.Start`, where a space is missing, are none."""
     found = F.regexp_extract_all(text, F.lit(URL), F.lit(0))
-    hosts = F.regexp_extract_all(text, F.lit(URL), F.lit(3))
-    pairs = F.filter(F.zip_with(found, hosts, lambda u, h: F.struct(u.alias("u"), h.alias("h"))), lambda p: ~p["h"].rlike(r"[a-z0-9]\.[A-Z]"))
-    return F.transform(pairs, lambda p: p["u"])
+    return F.filter(found, lambda u: ~host(u).rlike(r"[a-z0-9][.][A-Z]"))
 
 
 def currency_codes(currencies: dict[str, str] | None = None) -> dict[str, list[str]]:
-    """What each code and symbol may stand for."""
+    """What each code and symbol may stand for; `currencies` (code: symbol) are those of the locale data
+    unless given. A plain dollar stands for all currencies that have one in their symbol."""
     out: dict[str, set[str]] = {}
-    for code, symbol in (currencies or CURRENCIES).items():
+    for code, symbol in (currencies or locale.currencies() or SYMBOLS).items():
         for name in {code, symbol, "$"} if "$" in symbol else {code, symbol}:
             out.setdefault(name, set()).add(code)
     return {k: sorted(v) for k, v in out.items()}
 
 
 def currency_pattern(currencies: dict[str, str] | None = None) -> str:
+    """A code or symbol, of which no letter is cut off, next to an amount."""
     names = sorted(currency_codes(currencies), key=lambda n: (-len(n), n))
-    one = "|".join(re.escape(n) for n in names)
-    return rf"(?U)(?<![A-Za-z])(?:({one})\s*\d[\d.,]*|\d[\d.,]*\s*({one}))(?![A-Za-z])"
+    name = "|".join(map(re.escape, names))
+    first, second = rf"(?:{name})\s*{AMOUNT}", rf"{AMOUNT}\s*(?:{name})"
+    return f"(?U)(?<![A-Za-z])(?:{first}|{second})(?![A-Za-z])"
 
 
 def currencies_of(text: Column, currencies: dict[str, str] | None = None) -> Column:
-    """The codes and symbols next to a number, in order."""
-    pattern = F.lit(currency_pattern(currencies))
-    before, after = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
-    return F.zip_with(before, after, lambda a, b: F.concat(a, b))
+    """The codes and symbols next to an amount, in order."""
+    found = F.regexp_extract_all(text, F.lit(currency_pattern(currencies)), F.lit(0))
+    return F.transform(found, lambda m: F.regexp_replace(m, rf"(?U)^{AMOUNT}\s*|\s*{AMOUNT}$", ""))
 
 
 def currency_keys(names: Column, currencies: dict[str, str] | None = None) -> Column:

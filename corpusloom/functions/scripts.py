@@ -1,81 +1,37 @@
-"""Alphabets: the characters of a language's writing."""
+"""Alphabets: the characters of a language's writing, from public locale data."""
 
 from __future__ import annotations
 
-#: Main exemplar characters of languages (CLDR), as lower-case character classes.
-ALPHABETS = {
-    "ar": r"[ء-غف-\u0652\u0670]",
-    "bg": r"[а-ъью-я]",
-    "ca": r"[a-z·àç-éíïò-óúü]",
-    "cs": r"[a-záéíóúýčďěňřšťůž]",
-    "da": r"[a-zå-æø]",
-    "de": r"[a-zßäöü]",
-    "el": r"[ΐά-ώ]",
-    "en": r"[a-z]",
-    "es": r"[a-záéíñóúü]",
-    "et": r"[a-zäõ-öüšž]",
-    "fi": r"[a-zä-åöšž]",
-    "fr": r"[a-zàâæ-ëî-ïôùû-üÿœ]",
-    "ga": r"[a-il-pr-uáéíóú]",
-    "he": r"[א-ת]",
-    "hi": r"[\u0901-\u0903अ-ऍए-ऑओ-नप-रल-ळव-ह\u093C-\u0943\u0945\u0947-\u0949\u094B-\u094Dॐ]",
-    "hr": r"[a-pr-vzćčđšž]",
-    "hu": r"[a-pr-vy-záéíóöúüőű]",
-    "is": r"[a-bd-pr-vx-yáæéíðóöúý-þ]",
-    "it": r"[a-zàè-éìòù]",
-    "lt": r"[a-pr-vy-ząčėęįšūųž]",
-    "lv": r"[a-pr-vzāčēģīķļņšūž]",
-    "mt": r"[a-bd-xzàèìòùċġħż]",
-    "nl": r"[a-záäéëíïóöúü\u0301]",
-    "pl": r"[a-pr-uwy-zóąćęłńśźż]",
-    "pt": r"[a-zà-ãçé-êíò-õú]",
-    "ro": r"[a-zâîășț]",
-    "ru": r"[а-яё]",
-    "sk": r"[a-záäéíó-ôúýčďĺľňŕšťž]",
-    "sl": r"[a-pr-vzčšž]",
-    "sv": r"[a-zàä-åéö]",
-    "tr": r"[a-pr-vy-zçöüğİ-ış]",
-    "uk": r"[ʼа-щью-яєі-їґ]",
-}
+from corpusloom.functions import locale
 
-#: Languages by script; any language listed here and not above has its script's letters.
+#: Languages by script, for languages without exemplar characters in the locale data (or where that data cannot be read).
 SCRIPTS = {
-    "Arabic": "fa ur ps ckb sd ug",
-    "Armenian": "hy",
-    "Bengali": "bn as",
-    "Cyrillic": "be mk sr kk ky tg mn tt ba",
-    "Devanagari": "mr ne sa mai bho",
-    "Ethiopic": "am ti",
-    "Georgian": "ka",
-    "Gujarati": "gu",
-    "Gurmukhi": "pa",
+    "Arabic": "ar fa ur ps ckb sd ug",
+    "Cyrillic": "ru uk bg be mk sr kk ky tg mn tt ba",
+    "Devanagari": "hi mr ne sa mai bho",
+    "Greek": "el",
     "Han": "zh yue",
     "Hangul": "ko",
-    "Hebrew": "yi",
-    "Kannada": "kn",
-    "Khmer": "km",
-    "Lao": "lo",
-    "Latin": "af az bs cy eo eu fo fy gl gd ht id jv ku la lb mg mi ms nb nn no oc rw so sq sw tl uz vi wo xh yo zu",
-    "Malayalam": "ml",
-    "Myanmar": "my",
-    "Oriya": "or",
-    "Sinhala": "si",
-    "Tamil": "ta",
-    "Telugu": "te",
-    "Thai": "th",
-    "Tibetan": "bo",
+    "Hebrew": "he yi",
+    "Latin": "en de fr es it pt nl sv da nb nn no fi et lv lt pl cs sk sl hr hu ro tr la fo gl ht jv ku oc rw so sq sw tl uz vi wo xh yo zu",
 }
 
+Extra = dict[str, str] | None
+
+
+def char_class(characters: str) -> str:
+    """A character class of single characters and ranges, as a user writes it; brackets may lack."""
+    return characters if characters.startswith("[") else f"[{characters}]"
+
 
-def alphabet(language: str, extra: dict[str, str] | None = None) -> str | None:
-    """The character class of a language's letters, or None if it is unknown. `extra` adds to or
-    overrides the known ones."""
+def alphabet(language: str, extra: Extra = None) -> str | None:
+    """The character class of a language's letters, or None if it is unknown. `extra` ({language: class})
+    adds to or overrides the known ones."""
     if extra and language in extra:
-        return extra[language]
-    if language in ALPHABETS:
-        return ALPHABETS[language]
-    if language == "ja":
-        return r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+        return char_class(extra[language])
+    characters = locale.exemplars(language) if language else None
+    if characters:
+        return f"[{characters}]"
     for script, languages in SCRIPTS.items():
         if language in languages.split():
             return rf"\p{{Is{script}}}"

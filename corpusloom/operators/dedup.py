@@ -24,13 +24,14 @@ def plain_key(c: Column) -> Column:
 
 
 def latin_key(c: Column) -> Column:
-    """As `plain_key`, without diacritics; texts beyond ASCII go through a pandas UDF."""
+    """As `plain_key`, without diacritics; only texts beyond ASCII are handed to a pandas UDF, others travel
+    as null."""
     @F.pandas_udf("string")
     def bare(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
 
     special = F.translate(c, "ßøłđðþæœıØŁĐÐÞÆŒ", "sold" + "dtaoiOLDDTAO")
-    return plain_key(F.when(c.rlike(r"[^\x00-\x7f]"), bare(special)).otherwise(c))
+    return plain_key(F.coalesce(bare(F.when(c.rlike(r"[^\x00-\x7f]"), special)), c))
 
 
 KEYS = {"exact": lambda c: c, "plain": plain_key, "latin": latin_key}

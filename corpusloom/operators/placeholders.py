@@ -2,28 +2,25 @@
 
 Matches of the rules become placeholders of a fixed vocabulary; text that looks like one becomes a
 placeholder too. Each distinct match of a line gets its own; repeats share it. Lines with more
-matches than placeholders keep the rest as text. The mapping comes back as a map column.
+matches than placeholders keep the rest as text. The mapping comes back as a map column. All is done
+with column expressions: a text is split at its matches and joined again with their placeholders.
 """
 
 from __future__ import annotations
 
-import hashlib
-import random
 import re
-from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Urls and mail addresses.
+WORD_IN_ADDRESS = "[A-Za-z0-9_-]+"
+#: Web addresses (with a protocol, or beginning with www) and mail addresses.
 RULES = (
-    r"https?://www\.\w{1,63}\.\w{1,63}(?:/\w{0,63})*",
-    r"www\.\w{1,63}\.\w{1,63}(?:/\w{0,63})*",
-    r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+",
+    rf"(?:https?://|\bwww[.]){WORD_IN_ADDRESS}(?:[.]{WORD_IN_ADDRESS})+(?:/[\w~%+-]*)*",
+    rf"[\w.+-]+@{WORD_IN_ADDRESS}(?:[.]{WORD_IN_ADDRESS})+",
 )
-EMOJI = r"[\U0001F000-\U0001FAFF☀-➿]"
+EMOJI = r"[\x{1F000}-\x{1FAFF}☀-➿]"
 
 
 def vocabulary(symbol: str = "@", n: int = 20) -> list[str]:
@@ -31,53 +28,52 @@ def vocabulary(symbol: str = "@", n: int = 20) -> list[str]:
     return [f"{symbol[:-1]}{i}{symbol[-1]}" for i in range(n)]
 
 
-def _pattern(rules: Sequence[str], names: Sequence[str]) -> re.Pattern:
-    return re.compile("|".join([*(re.escape(n) for n in sorted(names, key=len, reverse=True)), *(f"(?:{r})" for r in rules)]))
+def _pattern(rules: Sequence[str], names: Sequence[str]) -> str:
+    """What is replaced: the names themselves, longest first, and what the rules match."""
+    literal = [re.escape(n) for n in sorted(names, key=len, reverse=True)]
+    return "|".join([*literal, *(f"(?:{r})" for r in rules)])
 
 
-def _encode(text: str, pattern: re.Pattern, names: list[str], seed: str) -> tuple[str, dict[str, str]]:
-    free = names[:]
-    random.Random(int(hashlib.sha256(seed.encode()).hexdigest()[:12], 16)).shuffle(free)
-    given: dict[str, str] = {}
-
-    def put(match: re.Match) -> str:
-        found = match[0]
-        if found not in given:
-            if not free:
-                return found
-            given[found] = free.pop()
-        return given[found]
-
-    return pattern.sub(put, text), {v: k for k, v in given.items()}
+def _rejoined(c: Column, pattern: str, mapping: Column) -> Column:
+    """The text with its matches replaced by what `mapping` (match: placeholder) has for them."""
+    between = F.split(c, pattern, -1)
+    matches = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    put_in = F.transform(matches, lambda m: F.coalesce(F.try_element_at(mapping, m), m))
+    return F.array_join(F.zip_with(between, put_in, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def encode(
     df: DataFrame, columns: Sequence[str], rules: Sequence[str] = RULES, symbol: str = "@", n: int = 20,
     seed: int = 0, strict: bool = False, order: str = "line_no", mapping: str = "mapping",
 ) -> DataFrame:
-    """`df` with placeholders in `columns`, and their `mapping`. The sides of a line share one mapping,
-    which depends on the line number and the seed alone. With `strict`, a placeholder that is not as
-    often on each side goes back to its text."""
+    """`df` with placeholders in `columns`, and their `mapping`. The sides of a line share one mapping:
+    the placeholders in an order by a hash of the seed, the line number and each placeholder, given
+    to the distinct matches from first to last. With `strict`, a match that is not as often on each
+    side stays as text. A null text stays null and has no matches."""
     names, columns = vocabulary(symbol, n), list(columns)
     pattern = _pattern(rules, names)
-    put_in = _pattern((), names)
-    schema = f"struct<{', '.join(f'`{c}`: string' for c in columns)}, `{mapping}`: map<string, string>>"
-
-    @F.pandas_udf(schema)
-    def put(numbers: pd.Series, *texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for number, *sides in zip(numbers, *texts, strict=True):
-            whole, found = _encode("\x00".join(s or "" for s in sides), pattern, names, f"{seed}/{number}")
-            parts = whole.split("\x00")
-            if strict:
-                counts = [Counter(put_in.findall(p)) for p in parts]
-                uneven = {m: found.pop(m) for m in list(found) if len({c[m] for c in counts}) > 1}
-                parts = [put_in.sub(lambda m: uneven.get(m[0], m[0]), p) for p in parts]  # noqa: B023
-            rows.append([*parts, found])
-        return pd.DataFrame(rows, columns=[*columns, mapping])
-
-    done = df.withColumn("__done", put(F.col(order), *[F.col(c) for c in columns]))
-    return done.withColumns({c: F.col(f"__done.{c}") for c in [*columns, mapping]}).drop("__done")
+
+    def matches(c: str) -> Column:
+        return F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+
+    drawn = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.col(order), F.lit(name)).alias("turn"), F.lit(name).alias("name")) for name in names])
+    given = F.array_distinct(F.flatten(F.array(*[matches(c) for c in columns])))
+    entries = F.arrays_zip(F.slice(given, 1, n).alias("found"), F.array_sort(drawn).alias("drawn"))
+    entries = F.filter(entries, lambda e: e["found"].isNotNull())
+    out = df.withColumn("__entries", entries)
+    if strict:
+        def times(c: str, found: Column) -> Column:
+            return F.size(F.filter(matches(c), lambda m: m == found))
+
+        def even(e: Column) -> Column:
+            counts = F.array(*[times(c, e["found"]) for c in columns])
+            return F.array_min(counts) == F.array_max(counts)
+
+        out = out.withColumn("__entries", F.filter("__entries", even))
+    names_of = F.map_from_entries(F.transform("__entries", lambda e: F.struct(e["found"], e["drawn"]["name"])))
+    back = F.map_from_entries(F.transform("__entries", lambda e: F.struct(e["drawn"]["name"], e["found"])))
+    out = out.withColumn("__names", names_of).withColumn(mapping, back)
+    return out.withColumns({c: _rejoined(F.col(c), pattern, F.col("__names")) for c in columns}).drop("__entries", "__names")
 
 
 def decode(c: Column, mapping: Column) -> Column:

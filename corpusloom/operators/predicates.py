@@ -52,12 +52,13 @@ def remove_empty_lines(p, columns):
 
 
 def composed(c: Column) -> Column:
-    """Unicode normal form C; only texts that can change go through Python."""
+    """Unicode normal form C; only texts that can change are handed to Python, others travel as null."""
     @F.pandas_udf("string")
     def nfc(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFC")
 
-    return F.when(c.rlike("[^\\x{0}-\\x{2ff}]"), nfc(c)).otherwise(c)
+    needed = F.when(c.rlike("[^\\x{0}-\\x{2ff}]"), c)
+    return F.coalesce(nfc(needed), c)
 
 
 def in_alphabet(c: Column, letters: str, words: float, characters: float) -> Column:
@@ -73,14 +74,16 @@ def in_alphabet(c: Column, letters: str, words: float, characters: float) -> Col
 @define(
     "alpha_ratio", BILINGUAL, "Keep rows with enough words and characters of the languages' alphabets.", "keep",
     LANG1=Param("str", ""), LANG2=Param("str", ""), SRCWORDRAT=Param("float", 0.4), TRGWORDRAT=Param("float", 0.4),
-    SRCALPHARAT=Param("float", 0.5), TRGALPHARAT=Param("float", 0.5),
+    SRCALPHARAT=Param("float", 0.5), TRGALPHARAT=Param("float", 0.5), ALPHABET1=Param("str", ""), ALPHABET2=Param("str", ""),
 )
 def alpha_ratio(p, columns):
-    """A side whose language is unknown is not looked at."""
+    """A side whose language is unknown is not looked at. ALPHABET1 and ALPHABET2, character classes,
+    stand in for the alphabets of the languages."""
     sides = (("LANG1", "SRCWORDRAT", "SRCALPHARAT"), ("LANG2", "TRGWORDRAT", "TRGALPHARAT"))
     keep = F.lit(True)
     for c, (language, words, characters) in zip(columns[-2:], sides, strict=False):
-        letters = alphabet(p[language])
+        own = p.get(language.replace("LANG", "ALPHABET"))
+        letters = alphabet(p[language], {p[language]: own} if own else None)
         if letters:
             keep = keep & in_alphabet(composed(text.strip(c)), letters, p[words], p[characters])
     return keep
@@ -88,9 +91,10 @@ def alpha_ratio(p, columns):
 
 @define("num_mismatch", BILINGUAL, "Keep pairs with much the same numbers.", "keep", RATIO=Param("float", 1.0))
 def num_mismatch(p, columns):
+    """A pair without numbers stays, whatever the ratio."""
     some = columns[0].rlike(r"(?U)\d") | columns[1].rlike(r"(?U)\d")
     same = entities.overlap(entities.numbers(columns[0]), entities.numbers(columns[1])) >= p["RATIO"]
-    return F.when(some, same).otherwise(p["RATIO"] <= 1)
+    return F.when(some, F.coalesce(same, F.lit(True))).otherwise(True)
 
 
 @define("url_mismatch", BILINGUAL, "Keep pairs with the same urls in the same order.", "keep")

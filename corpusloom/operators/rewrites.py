@@ -142,7 +142,8 @@ def fix_sent_final_punct(df: DataFrame, langs: list[str], p: dict) -> DataFrame:
 
 
 # fix_wiki: what is looked for, what it becomes, and how the sides are compared.
-FOOTNOTE, LINK, HEADING, CODE = r"\[[0-9]+\]", r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"(==+)[^=]+\1", ".mw-parser-output"
+#: Footnotes, wiki links (with the label as group 1), headings, and what marks code.
+FOOTNOTE, LINK, HEADING, CODE = r"\[[0-9]+\]", r"(?d)\[\[(?:.+?\|)?(.+?)\]\]", r"(?d)(==+)(.+?)\1", ".mw-parser-output"
 
 
 def _differ_in_set(a: Column, b: Column) -> Column:
@@ -166,7 +167,7 @@ def fix_wiki(df: DataFrame, langs: list[str], p: dict) -> DataFrame:
     src, trg = langs[0], langs[-1] if len(langs) < 2 else langs[1]
     kinds = (
         ("FOOTNOTES", FOOTNOTE, "", _differ_in_set),
-        ("URLS", entities.URL, "", _differ_in_set),
+        ("URLS", entities.WEB, "", _differ_in_set),
         ("WIKILINKS", LINK, "$1", _differ_in_count),
         ("HEADINGS", HEADING, "", _differ_in_count),
     )

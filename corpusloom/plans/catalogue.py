@@ -91,7 +91,18 @@ filter_query(
     "max_word_length",
     MAXWORDLENGTH=20,
 )
-filter_query("remove_empty_lines", r"regexp_matches(src, '\S') AND regexp_matches(trg, '\S')", "remove_empty_lines")
+
+
+def bare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of pages between tags, each with the next; many are blank."""
+    parts = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    return corpus.pairs_of_lines(parts, "page_id")
+
+
+BARE = LINES.replace("text FROM documents", "text").replace("doc_id", "page_id").replace(
+    "AS src FROM documents", "AS src FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages)"
+)
+filter_query("remove_empty_lines", r"regexp_matches(src, '\S') AND regexp_matches(trg, '\S')", "remove_empty_lines", bare_pages, BARE)
 filter_query("src_trg_ratio_linear", f"{words('src')}::DOUBLE / nullif({words('trg')}, 0) BETWEEN 0.6 AND 1 / 0.6::DOUBLE", "src_trg_ratio")
 filter_query(
     "src_trg_ratio_log",
@@ -147,10 +158,22 @@ filter_query(
     "opus.AlphabetRatioFilter",
     threshold=0.8,
 )
+
+
+def mixed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in which every third source has some of its letters in Greek."""
+    greek = F.when(F.col("line_no") % 3 == 0, F.translate("src", "aeio", "αειο")).otherwise(F.col("src"))
+    return pairs(spark, sf_dir).withColumn("src", greek)
+
+
 filter_query(
     "opus_character_score",
-    " AND ".join(rf"coalesce({letters(c, r'\p{Latin}')}::DOUBLE / nullif({letters(c)}, 0), 1) >= 1" for c in ("src", "trg")),
+    " AND ".join(rf"coalesce({letters(c, r'\p{Latin}')}::DOUBLE / nullif({letters(c)}, 0), 1) >= {t}" for c, t in (("src", 0.7), ("trg", 1))),
     "opus.CharacterScoreFilter",
+    mixed_scripts,
+    LINES + ", mixed AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN translate(src, 'aeio', 'αειο') ELSE src END AS src, trg FROM pairs)",
+    "mixed",
+    thresholds=(0.7, 1.0),
 )
 filter_query(
     "opus_regexp", "NOT regexp_matches(src, '[0-9]') AND NOT regexp_matches(trg, '[|]')",
@@ -170,13 +193,15 @@ def numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 filter_query("bifixer", None, "bifixer", numbered_answers)
 
 
-def html_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("src"), F.col("html").alias("trg"))
-
-
-@register("opus_html_tags", r"SELECT page_id, part FROM (SELECT page_id, unnest(string_split(html, '<')) AS part FROM pages) WHERE NOT regexp_matches(part, '(?is)<(?:/?[A-Za-z][^<>]*|!--.*?--|!DOCTYPE[^<>]*)>')", lines=False)
+@register(
+    "opus_html_tags",
+    r"SELECT page_id, part FROM (SELECT page_id, unnest(string_split(replace(html, '>', '>' || chr(10)), chr(10))) AS part FROM pages) WHERE NOT regexp_matches(part, '(?is)<(?:/?[A-Za-z][^<>]*|!--.*?--|!DOCTYPE[^<>]*)>')",
+    lines=False,
+)
 def html_tags(spark, sf_dir):
-    parts = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "<", -1)).alias("part"))
+    """Pages with a line break after each tag: lines with a tag go, text before the next tag stays."""
+    lines = F.split(F.replace("html", F.lit(">"), F.lit(">\n")), "\n", -1)
+    parts = table(spark, sf_dir, "pages").select("page_id", F.explode(lines).alias("part"))
     return recipe(("opus.HtmlTagFilter", {}, None)).run(parts, ["part"])
 
 
@@ -187,55 +212,77 @@ def html_tags(spark, sf_dir):
     lines=False,
 )
 def html_tags_whole(spark, sf_dir):
-    """Whole pages and documents; the parts of `opus_html_tags` have no tags."""
+    """Whole pages and documents."""
     pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     return recipe(("opus.HtmlTagFilter", {}, None)).run(pages.union(docs), ["text"])
 
 
-# Alphabets, by language of the document; thresholds at which many lines go.
-def alpha_query(lang: str, letters_of: str) -> None:
+# Alphabets: all documents against the letters of a language, at thresholds at which many lines go.
+#: Main exemplar characters of the languages of the documents, for SQL.
+LETTERS = {"en": "[a-z]", "de": "[a-zßäöü]", "fr": "[a-zàâæ-ëîïôùûüÿœ]", "es": "[a-záéíñóúü]"}
+
+
+def alpha_query(lang: str) -> None:
     given = {"LANG1": lang, "LANG2": lang, "SRCWORDRAT": 0.9, "TRGWORDRAT": 0.9, "SRCALPHARAT": 0.95, "TRGALPHARAT": 0.95}
-    one = recipe(("alpha_ratio", given, None))
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text")
-        return one.run(corpus.pairs_of_lines(docs), ["src", "trg"])
+        return recipe(("alpha_ratio", filled("alpha_ratio", **given), None)).run(pairs(spark, sf_dir), ["src", "trg"])
 
     def side(c: str) -> str:
         kept = rf"list_filter(string_split_regex({c}, '\s+'), lambda t: t <> '')"
-        begin = f"len(list_filter({kept}, lambda t: regexp_matches(t, '^{letters_of}', 'i')))"
-        characters = f"len(regexp_extract_all({c}, '{letters_of}', 0, 'i'))"
+        begin = f"len(list_filter({kept}, lambda t: regexp_matches(t, '^{LETTERS[lang]}', 'i')))"
+        characters = f"len(regexp_extract_all({c}, '{LETTERS[lang]}', 0, 'i'))"
         return (
             f"{begin}::DOUBLE / nullif({words(c)}, 0) >= 0.9"
             f" AND {characters}::DOUBLE / nullif(length(replace({c}, ' ', '')), 0) >= 0.95"
         )
 
     QUERIES[f"alpha_ratio_{lang}"] = query
-    ORACLES[f"alpha_ratio_{lang}"] = (
-        f"WITH {LINES} SELECT p.* FROM pairs p JOIN documents d USING (doc_id) WHERE lang = '{lang}' AND "
-        + " AND ".join(side(f"nfc_normalize({c})") for c in ("src", "trg"))
-    )
+    ORACLES[f"alpha_ratio_{lang}"] = f"WITH {LINES} SELECT * FROM pairs WHERE " + " AND ".join(side(f"nfc_normalize({c})") for c in ("src", "trg"))
 
 
-for _lang in ("en", "de", "fr", "es"):
-    alpha_query(_lang, predicates.alphabet(_lang))
+for _lang in LETTERS:
+    alpha_query(_lang)
 
 # Numbers, urls, currencies.
-filter_query("num_mismatch", None, "num_mismatch", RATIO=0.5)
+
+def numbers_sql(c: str) -> str:
+    """The numbers of a text: signs after a character are cut off, then chains of digits are taken."""
+    cut = rf"regexp_replace(regexp_replace({c}, '(\S)[-+]', '\1 ', 'g'), '(\S)[-+]', '\1 ', 'g')"
+    found = rf"regexp_extract_all({cut}, '[-+]?\b\d+(?:[.,:]\d+)*\b')"
+    plain = r"lambda x: regexp_replace(regexp_replace(x, '[.,:]', '*', 'g'), '^([-+]?)0+([0-9])', '\1\2')"
+    return f"list_distinct(list_transform({found}, {plain}))"
+
+
+def overlap_sql(ratio: float) -> str:
+    both = "len(list_intersect(a, b))"
+    either = "len(list_distinct(list_concat(a, b)))"
+    return f"({either} = 0 OR ({both} + 1)::DOUBLE / ({either} - {both} + 1) >= {ratio})"
+
+
+_NUMBERED = LINES + f", numbered AS (SELECT *, {numbers_sql('src')} AS a, {numbers_sql('trg')} AS b FROM pairs)"
+for _name, _ratio in (("num_mismatch", 0.5), ("num_mismatch_strict", 2.0)):
+    filter_query(_name, None, "num_mismatch", RATIO=_ratio)
+    ORACLES[_name] = f"WITH {_NUMBERED} SELECT doc_id, line_no, src, trg FROM numbered WHERE {overlap_sql(_ratio)}"
+
+
+@register("numbers_signed", f"SELECT doc_id, line_no, array_to_string(list_sort({numbers_sql('src')}), ' ') AS numbers FROM pairs")
+def numbers_signed(spark, sf_dir):
+    found = F.array_join(F.array_sort(entities.numbers(F.col("src"))), " ")
+    return pairs(spark, sf_dir).select("doc_id", "line_no", found.alias("numbers"))
 
 
 @register(
     "numbers_unsigned",
     r"""SELECT doc_id, line_no, list_sort(list_distinct(list_transform(
             regexp_extract_all(src, '\b0*(\d+(?:[.,:]\d+)*)\b', 1), lambda x: regexp_replace(x, '[^0-9]+', '*', 'g'))))::VARCHAR AS numbers
-        FROM pairs WHERE regexp_matches(src, '\d')""",
+        FROM pairs""",
 )
 def numbers_unsigned(spark, sf_dir):
     found = F.transform(entities.numbers(F.col("src")), lambda n: F.regexp_replace(n, "^[-+]", ""))
-    rows = pairs(spark, sf_dir).where(F.col("src").rlike("[0-9]"))
     listed = F.array_sort(F.array_distinct(found))
-    return rows.select("doc_id", "line_no", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("numbers"))
+    return pairs(spark, sf_dir).select("doc_id", "line_no", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("numbers"))
 
 
 _URL = entities.URL.removeprefix("(?Ui)").replace("'", "''")
@@ -248,7 +295,50 @@ def urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(every, " ").alias("urls"), n.alias("n"))
 
 
-filter_query("url_mismatch", None, "url_mismatch", html_pairs)
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each url in a sentence, on the other side the same, one without www, or none."""
+    url = F.col("url")
+    other = F.when(F.col("page_id") % 3 == 0, url).when(F.col("page_id") % 3 == 1, F.replace(url, F.lit("www."), F.lit(""))).otherwise("")
+    src, trg = F.concat(F.lit("See.This "), url, F.lit(" now.")), F.concat(F.lit("Voir.Ici "), other, F.lit(" tout."))
+    return table(spark, sf_dir, "pages").select("page_id", src.alias("src"), trg.alias("trg"))
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def urls_sql(c: str) -> str:
+    bare = f"regexp_replace(regexp_replace(u, '(?i)^{_q(entities.SCHEME)}', ''), '(?i)^{_q(entities.USER)}', '')"
+    host = f"regexp_extract({bare}, '(?i)^(?:{_q(entities.NAME)}|{_q(entities.ADDRESS)})', 0)"
+    return f"list_filter(regexp_extract_all({c}, '{_URL}', 0, 'i'), lambda u: NOT regexp_matches({host}, '[a-z0-9][.][A-Z]'))"
+
+
+_LINKED = """linked AS (SELECT page_id, 'See.This ' || url || ' now.' AS src,
+    'Voir.Ici ' || CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN replace(url, 'www.', '') ELSE '' END || ' tout.' AS trg FROM pages)"""
+filter_query("url_mismatch", f"{urls_sql('src')} = {urls_sql('trg')}", "url_mismatch", linked_pages, _LINKED, "linked")
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their price in a currency, and on the other side in the same or another one."""
+    price, turn = F.col("p_retailprice").cast("string"), F.col("p_partkey") % 5
+    src = F.when(turn < 3, F.concat(F.lit("It is $"), price)).otherwise(F.concat(F.lit("It is "), price, F.lit(" THB")))
+    trg = (
+        F.when(turn == 0, F.concat(price, F.lit(" $ kostet es")))
+        .when(turn == 1, F.concat(price, F.lit(" € kostet es")))
+        .when(turn == 2, F.concat(price, F.lit(" USD kostet es")))
+        .when(turn == 3, F.concat(F.lit("THB"), price))
+        .otherwise(price)
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", src.alias("src"), trg.alias("trg"))
+
+
+_PRICED = """priced AS (SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN 'It is $' || p_retailprice::VARCHAR ELSE 'It is ' || p_retailprice::VARCHAR || ' THB' END AS src,
+    CASE p_partkey % 5 WHEN 0 THEN p_retailprice::VARCHAR || ' $ kostet es' WHEN 1 THEN p_retailprice::VARCHAR || ' € kostet es'
+        WHEN 2 THEN p_retailprice::VARCHAR || ' USD kostet es' WHEN 3 THEN 'THB' || p_retailprice::VARCHAR ELSE p_retailprice::VARCHAR END AS trg FROM part)"""
+filter_query("currency_of_prices", "p_partkey % 5 IN (0, 3)", "currency_mismatch", priced, _PRICED, "priced")
+filter_query("currency_of_prices_fixed", None, "currency_mismatch", priced, FIX=True)
+ORACLES["currency_of_prices_fixed"] = f"WITH {_PRICED} SELECT p_partkey, src, replace(trg, '€', '$') AS trg FROM priced WHERE p_partkey % 5 IN (0, 1, 3)"
 filter_query("currency_mismatch", None, "currency_mismatch")
 filter_query("currency_mismatch_fix", None, "currency_mismatch", FIX=True)
 
@@ -305,11 +395,12 @@ def fix_un_chinese(spark, sf_dir):
 
 @register(
     "deescape_tsv",
-    r"""SELECT doc_id, line_no, replace(src, chr(34) || chr(34), chr(34)) AS src, trg
-        FROM (SELECT doc_id, line_no, src || chr(34) || chr(34) AS src, trg FROM pairs)""",
+    r"""SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN src || chr(34) ELSE chr(34) || src END AS src, trg FROM pairs""",
 )
 def deescape_tsv(spark, sf_dir):
-    quoted = F.concat(F.lit('"'), "src", F.lit('""'), F.lit('"'))
+    """Even rows are quoted and have a doubled quote inside; odd ones begin with a quote that none ends."""
+    quote = F.lit('"')
+    quoted = F.when(F.col("line_no") % 2 == 0, F.concat(quote, "src", quote, quote, quote)).otherwise(F.concat(quote, "src"))
     return recipe(("deescape_tsv", {}, None)).run(pairs(spark, sf_dir).withColumn("src", quoted), ["src", "trg"])
 
 
@@ -353,22 +444,45 @@ def fix_final_punctuation(spark, sf_dir):
     return recipe(("fix_sent_final_punct", {}, None)).run(rows, ["src", "trg"])
 
 
-@register(
-    "fix_wiki",
-    r"""SELECT doc_id, line_no, trim(CASE WHEN line_no % 2 = 0 THEN regexp_replace(src, '\[[0-9]+\]', '', 'g') ELSE src END) AS src,
-            trim(CASE WHEN line_no % 2 = 0 THEN regexp_replace(trg, '\[[0-9]+\]', '', 'g') ELSE trg END) AS trg
-        FROM (SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN src || '[12] x[3]' ELSE src END AS src, trg FROM pairs)
-        WHERE trim(src) <> '' AND trim(trg) <> ''""",
-)
+_WIKI_MARKS = ("", " [12] x[3]", " [[A page|the label]]", " http://www.example.org/a?b=c", " == Head ==", " Hello.World example.com")
+
+
+def _wiki_sql() -> str:
+    """Each kind of markup: what is found on both sides, whether they differ, and what is taken out."""
+    web = r"https?://[-A-Za-z0-9@:%._+~#=()?&/]+"
+    marks = " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_WIKI_MARKS))
+    last, ctes = "w0", [f"w0 AS (SELECT doc_id, line_no, src || CASE line_no % 6 {marks} END AS src, trg || CASE WHEN line_no % 4 = 1 THEN ' [[Other]]' ELSE '' END AS trg FROM pairs)"]
+    kinds = ((r"\[[0-9]+\]", "", True), (web, "", True), (r"\[\[(?:.+?\|)?(.+?)\]\]", r"\1", False), (r"==+.+?==+", "", False))
+    for k, (pattern, new, exact) in enumerate(kinds, 1):
+        found = [f"list_distinct(regexp_extract_all({c}, '{pattern}'))" for c in ("src", "trg")]
+        both = f"len(list_intersect({found[0]}, {found[1]}))"
+        apart = f"len({found[0]}) + len({found[1]}) - 2 * {both}"
+        differ = f"{both} < {apart}" if exact else f"len({found[0]}) <> len({found[1]})"
+        sides = ", ".join(f"CASE WHEN {differ} THEN regexp_replace({c}, '{pattern}', '{new}', 'g') ELSE {c} END AS {c}" for c in ("src", "trg"))
+        ctes.append(f"w{k} AS (SELECT doc_id, line_no, {sides} FROM {last})")
+        last = f"w{k}"
+    return f", {', '.join(ctes)} SELECT doc_id, line_no, trim(src) AS src, trim(trg) AS trg FROM {last} WHERE trim(src) <> '' AND trim(trg) <> ''"
+
+
+@register("fix_wiki", _wiki_sql())
 def fix_wiki(spark, sf_dir):
-    marked = F.when(F.col("line_no") % 2 == 0, F.concat("src", F.lit("[12] x[3]"))).otherwise(F.col("src"))
-    one = recipe(("fix_wiki", filled("fix_wiki", URLS=False, WIKILINKS=False, HEADINGS=False), None))
-    return one.run(pairs(spark, sf_dir).withColumn("src", marked), ["src", "trg"])
+    """All kinds of markup on the source side, links also on some targets."""
+    mark = F.element_at(F.array(*map(F.lit, _WIKI_MARKS)), (F.col("line_no") % 6 + 1).cast("int"))
+    link = F.when(F.col("line_no") % 4 == 1, " [[Other]]").otherwise("")
+    rows = pairs(spark, sf_dir).withColumn("src", F.concat("src", mark)).withColumn("trg", F.concat("trg", link))
+    return recipe(("fix_wiki", filled("fix_wiki"), None)).run(rows, ["src", "trg"])
 
 
-@register("frequent_patterns", r"""SELECT doc_id, line_no, regexp_replace(src, '^• *', '') AS src, trg FROM (SELECT doc_id, line_no, src, regexp_replace(trg, '^ -', '') AS trg FROM pairs)""")
+@register(
+    "frequent_patterns",
+    """SELECT doc_id, line_no, CASE WHEN line_no % 3 = 1 THEN '• ' || src ELSE src END AS src, CASE WHEN line_no % 3 = 1 THEN '• ' || trg ELSE trg END AS trg FROM pairs""",
+)
 def frequent_patterns(spark, sf_dir):
-    rows = pairs(spark, sf_dir).withColumn("src", F.concat(F.lit("• "), "src")).withColumn("trg", F.concat(F.lit(" -"), "trg"))
+    """Bullets on one side go, bullets on both stay; a dash at the start goes."""
+    turn = F.col("line_no") % 3
+    src = F.concat(F.when(turn < 2, "• ").otherwise(""), "src")
+    trg = F.concat(F.when(turn == 1, "• ").when(turn == 2, " -").otherwise(""), "trg")
+    rows = pairs(spark, sf_dir).withColumns({"src": src, "trg": trg})
     return recipe(("remove_frequent_patterns", {"PATTERN_FILE": "remove_frequent_patterns.txt"}, None)).run(rows, ["src", "trg"])
 
 
@@ -377,26 +491,18 @@ def tokenizer(spark, sf_dir):
     return recipe(("opus.Tokenizer", filled("opus.Tokenizer"), None)).run(answers(spark, sf_dir), ["src", "trg"])
 
 
-@register(
-    "split_sentences",
-    r"""SELECT doc_id, line_no, part, src, trg FROM (SELECT doc_id, line_no, unnest(range(len(s))) AS part, unnest(s) AS src, unnest(t) AS trg
-        FROM (SELECT doc_id, line_no, string_split(src || '. Xx zz.', '. Xx') AS s0,
-              [src || ' xx.', 'Xx zz.'] AS s, [trg || ' xx.', 'Yy zz.'] AS t FROM pairs
-              WHERE NOT regexp_matches(src || trg, '[.!?…][^a-z]* ')))""",
-)
-def split_sentences(spark, sf_dir):
-    rows = pairs(spark, sf_dir).where(~F.concat("src", "trg").rlike("[.!?…][^a-z]* "))
-    rows = rows.withColumn("src", F.concat("src", F.lit(" xx. Xx zz."))).withColumn("trg", F.concat("trg", F.lit(" xx. Yy zz.")))
-    out = recipe(("split_sentences", {"LANG1": "en", "LANG2": "en", "KEEPUNBALANCED": False}, None)).run(rows, ["src", "trg"])
-    return out.withColumn("part", F.col("part").cast("long"))
-
-
 @register("split_sentences_all")
 def split_sentences_all(spark, sf_dir):
-    """Every pair, cut at its own sentence ends; `split_sentences` has only pairs without any."""
+    """Every pair, cut at its own sentence ends."""
     return recipe(("split_sentences", {"LANG1": "en", "LANG2": "en", "KEEPUNBALANCED": False}, None)).run(pairs(spark, sf_dir), ["src", "trg"])
 
 
+@register("split_sentences")
+def split_sentences(spark, sf_dir):
+    """As `split_sentences_all`, but pairs whose sides have unequal numbers of sentences stay whole."""
+    return recipe(("split_sentences", {"LANG1": "en", "LANG2": "en", "KEEPUNBALANCED": True}, None)).run(pairs(spark, sf_dir), ["src", "trg"])
+
+
 # Duplicates.
 _FIRSTS = """
 , keyed AS (SELECT *, {k}(src) AS a, {k}(trg) AS b FROM pairs)
@@ -511,6 +617,33 @@ def placeholders_round_trip(spark, sf_dir):
     return coded.select("line_no", placeholders.decode(F.col("text"), F.col("mapping")).alias("text"))
 
 
+_MATCHES = placeholders._pattern(placeholders.RULES, placeholders.vocabulary()).replace("'", "''")
+
+
+@register(
+    "placeholders_found",
+    f"""SELECT doc_id AS line_no, array_to_string(list_sort(found), ' ') AS found, len(found)::BIGINT AS n, length(text) AS length FROM (
+        SELECT doc_id, list_distinct(regexp_extract_all(text, '{_MATCHES}')) AS found, regexp_replace(text, '{_MATCHES}', '', 'g') AS text FROM documents) WHERE len(found) BETWEEN 1 AND 20""",
+    lines=False,
+)
+def placeholders_found(spark, sf_dir):
+    """What the placeholders stand for, and how much text is left beside them."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
+    coded = placeholders.encode(rows, ["text"]).where("size(mapping) > 0")
+    whole = F.regexp_extract_all("text", F.lit(r"[0-9]{1,2}@"), F.lit(0))
+    put_in = F.aggregate(F.filter(whole, lambda m: F.map_contains_key("mapping", m)), F.lit(0), lambda n, m: n + F.length(m))
+    found = F.array_join(F.array_sort(F.map_values("mapping")), " ")
+    few = coded.where(F.size(F.array_distinct(F.map_values("mapping"))) <= 20)
+    return few.select("line_no", found.alias("found"), F.size("mapping").cast("long").alias("n"), (F.length("text") - put_in).cast("long").alias("length"))
+
+
+@register("placeholders_strict")
+def placeholders_strict(spark, sf_dir):
+    return placeholders.encode(pairs(spark, sf_dir).withColumn("key", F.struct("doc_id", "line_no")), ["src", "trg"], strict=True, order="key").select(
+        "doc_id", "line_no", "src", "trg", F.size("mapping").alias("n")
+    )
+
+
 @register("placeholders_vocabulary", "SELECT '@'[1:0] || i || '@' AS name FROM range(20) t(i)", lines=False)
 def placeholders_vocabulary(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in placeholders.vocabulary()], "name string")
@@ -558,7 +691,14 @@ def annotated(spark, sf_dir):
     return steps.annotate(pairs(spark, sf_dir), ["src", "trg"]).select("doc_id", "line_no", "rejected_by")
 
 
-@register("full_recipe")
+@register("full_recipe", f"""
+, s1 AS (SELECT doc_id, line_no, trim(regexp_replace(src, '\\s+', ' ', 'g')) AS src, trim(regexp_replace(trg, '\\s+', ' ', 'g')) AS trg FROM pairs
+         WHERE regexp_matches(src, '\\S') AND regexp_matches(trg, '\\S')),
+s2 AS (SELECT *, {numbers_sql('src')} AS a, {numbers_sql('trg')} AS b FROM s1 WHERE {words('src')} BETWEEN 1 AND 150 AND {words('trg')} BETWEEN 1 AND 150
+       AND {words('src')}::DOUBLE / nullif({words('trg')}, 0) BETWEEN 0.6 AND 1 / 0.6::DOUBLE),
+s3 AS (SELECT doc_id, line_no, src, trg, {_PLAIN.format(c='src')} AS k, {_PLAIN.format(c='trg')} AS m FROM s2 WHERE {overlap_sql(1.0)})
+SELECT doc_id, line_no, src, trg FROM s3
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, line_no) = 1 AND row_number() OVER (PARTITION BY m ORDER BY doc_id, line_no) = 1""")
 def full_recipe(spark, sf_dir):
     """The flagship recipe, then first occurrences of both sides."""
     cleaned = recipe(*RECIPE).run(pairs(spark, sf_dir), ["src", "trg"])
@@ -567,29 +707,73 @@ def full_recipe(spark, sf_dir):
 
 flagship = full_recipe
 
-_ENTRIES = (
-    (1, "news", "v1", "de", "en", "10", 5), (2, "news", "v2", "de", "en", "12", 6), (3, "news", "v10", "de", "en", "", 7),
-    (4, "web", "v3", "de", "", "", 9), (5, "Laws", "v1", "de", "en", "3", 1),
-)
 
 
 @register(
     "catalog_latest",
-    """SELECT * FROM (VALUES (2::BIGINT, 'news', 'v2', 12::BIGINT, 6144::BIGINT, 'news-v2.de-en'), (4, 'web', 'v3', -1, 9216, 'web-v3.de'), (5, 'Laws', 'v1', 3, 1024, 'Laws-v1.de-en'))
-       t(id, corpus, version, pairs, size, basename)""",
+    """SELECT min(id) AS id, corpus, version, min_by(pairs, id) AS pairs, min_by(size, id) AS size, corpus || '-' || version || '.' || source || '-en' AS basename FROM (
+        SELECT doc_id AS id, source AS corpus, 'v' || (doc_id % 7)::VARCHAR AS version, lang AS source, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id END AS pairs, n_chars * 1024 AS size
+        FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL QUALIFY version = max(version) OVER (PARTITION BY corpus, lang))
+       GROUP BY corpus, version, source""",
     lines=False,
 )
 def catalog_latest(spark, sf_dir):
-    names = ("id", "corpus", "version", "source", "target", "alignment_pairs", "size")
-    rows = spark.createDataFrame(_ENTRIES, "id long, corpus string, version string, source string, target string, alignment_pairs string, size long")
-    lines = rows.select(F.to_json(F.struct(*names)).alias("value"))
-    listed = catalog.list_entries(catalog.entries_from_json(lines))
+    """The documents as entries of a catalog: the latest version of each source and language."""
+    docs = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    pairs_of = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("doc_id").cast("string"))
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("corpus"), F.concat(F.lit("v"), F.col("doc_id") % 7).alias("version"),
+        F.col("lang").alias("source"), F.lit("en").alias("target"), pairs_of.alias("alignment_pairs"), F.col("n_chars").alias("size"),
+    )
+    listed = catalog.list_entries(catalog.entries_from_json(rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))))
     return listed.select("id", "corpus", "version", F.coalesce("pairs", F.lit(-1)).cast("long").alias("pairs"), "size", "basename")
 
 
-@register("category_members", "SELECT name, categories FROM (VALUES ('a', 'clean dirty'), ('b', 'clean'), ('c', '')) t(name, categories)", lines=False)
+@register(
+    "category_members",
+    """SELECT name, CASE name WHEN 'de' THEN 'germanic large' WHEN 'en' THEN 'germanic' WHEN 'es' THEN 'romance' WHEN 'fr' THEN 'romance' ELSE '' END AS categories
+       FROM (SELECT DISTINCT lang AS name FROM documents WHERE lang IS NOT NULL)""",
+    lines=False,
+)
 def category_members(spark, sf_dir):
-    mapping = '{"categories": [{"name": "clean"}, {"name": "dirty"}], "mapping": {"clean": ["a", "b"], "dirty": ["a"]}}'
-    corpora = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    names = '{"name": "germanic"}, {"name": "romance"}, {"name": "large"}'
+    mapping = f'{{"categories": [{names}], "mapping": {{"germanic": ["de", "en"], "romance": ["fr", "es"], "large": ["de"]}}}}'
+    corpora = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("lang").alias("name")).distinct()
     joined = catalog.in_category(corpora, catalog.categories(spark, mapping))
     return joined.select("name", F.array_join("categories", " ").alias("categories"))
+
+
+@register(
+    "dedup_files",
+    r""", ranked AS (SELECT *, doc_id % 2 AS file_rank, regexp_replace(lower(src), '\P{L}', '', 'g') AS a, regexp_replace(lower(trg), '\P{L}', '', 'g') AS b FROM pairs)
+    SELECT file_rank, doc_id, src, trg FROM ranked
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY file_rank, doc_id, line_no) = 1 AND row_number() OVER (PARTITION BY b ORDER BY file_rank, doc_id, line_no) = 1""",
+)
+def dedup_files(spark, sf_dir):
+    """Documents with even ids as a first file, those with odd ones as a second."""
+    rows = pairs(spark, sf_dir).withColumn("line_no", F.col("doc_id") * (1 << 24) + F.col("line_no"))
+    found = dedup.dedup_files([rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")], ["src", "trg"])
+    return found.select(F.col("file_rank").cast("long").alias("file_rank"), "doc_id", "src", "trg")
+
+
+rewrite_query("segment_japanese", "", "segment_japanese", texts, "documents", "doc_id")
+filter_query("opus_whitespace", None, "opus.WhitespaceNormalizer")
+_ONE_SPACE = ", ".join(rf"trim(regexp_replace({c}, '\s+', ' ', 'g')) AS {c}" for c in ("src", "trg"))
+ORACLES["opus_whitespace"] = f"WITH {LINES} SELECT doc_id, line_no, {_ONE_SPACE} FROM pairs"
+
+
+@register("opus_detokenizer")
+def opus_detokenizer(spark, sf_dir):
+    coded = recipe(("opus.Tokenizer", filled("opus.Tokenizer"), None)).run(answers(spark, sf_dir), ["src", "trg"])
+    return recipe(("opus.Detokenizer", filled("opus.Detokenizer"), None)).run(coded, ["src", "trg"])
+
+
+def _hanzi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with some of their letters as traditional characters."""
+    return texts(spark, sf_dir).withColumn("text", F.translate("text", "aeio", rewrites.TRADITIONAL[:4]))
+
+
+_SOME_HANZI = f"translate(text, 'aeio', '{rewrites.TRADITIONAL[:4]}')"
+rewrite_query("simplify_chinese", f"translate({_SOME_HANZI}, '{rewrites.TRADITIONAL}', '{rewrites.SIMPLIFIED}')", "simplify_chinese", _hanzi, "documents", "doc_id")
+rewrite_query("traditionalise_chinese", f"translate(translate(text, 'aeio', '{rewrites.SIMPLIFIED[:4]}'), '{rewrites.SIMPLIFIED}', '{rewrites.TRADITIONAL}')", "traditionalise_chinese",
+              lambda spark, sf_dir: texts(spark, sf_dir).withColumn("text", F.translate("text", "aeio", rewrites.SIMPLIFIED[:4])), "documents", "doc_id")

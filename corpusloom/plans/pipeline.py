@@ -125,16 +125,28 @@ class Pipeline:
             yield step, df
 
     def stats(self, df: DataFrame, langs: Sequence[str]) -> DataFrame:
-        """A row for each step: step, filter, rows_in, rows_out."""
-        spark = df.sparkSession
-        counts = None
-        for k, (_, after) in enumerate(self.trail(df, langs)):
-            one = after.agg(F.count("*").alias("rows")).withColumn("step", F.lit(k))
+        """A row for each step: step, filter, rows_in, rows_out. All steps up to one that works on the whole
+        frame are counted in one pass, by the step that drops a row; after it counting begins anew."""
+        frames = [k for k, s in enumerate(self.steps) if self.registry.get(s.filter).frame is not None]
+        counts, current, start = None, df, 0
+        for stop in [*frames, len(self.steps)]:
+            part = Pipeline(self.steps[start:stop], (), self.registry)
+            dropped = F.col("reject_step")
+            kept = [F.count(F.when(dropped.isNull() | (dropped > k), 1)) for k in range(-1, stop - start)]
+            one = part.annotate(current, langs).agg(F.array(*kept).alias("rows"))
+            one = one.select(F.posexplode("rows").alias("after", "rows")).withColumn("after", F.col("after") + start)
             counts = one if counts is None else counts.unionByName(one)
-        names = spark.createDataFrame([(k + 1, s.filter) for k, s in enumerate(self.steps)], "step int, filter string")
-        before = counts.select((F.col("step") + 1).alias("step"), F.col("rows").alias("rows_in"))
-        after = counts.select("step", F.col("rows").alias("rows_out"))
-        return names.join(before, "step").join(after, "step").select((F.col("step") - 1).alias("step"), "filter", "rows_in", "rows_out")
+            if stop < len(self.steps):
+                current, _ = self._apply(part.run(current, langs), self.steps[stop], langs)
+                start = stop + 1
+        # What is left after a step is what the next one gets.
+        roles = counts.select("after", "rows", F.explode(F.array(F.lit(0), F.lit(1))).alias("back"))
+        found = roles.groupBy((F.col("after") - F.col("back")).alias("step")).agg(
+            F.max(F.when(F.col("back") == 0, F.col("rows"))).alias("rows_in"),
+            F.max(F.when(F.col("back") == 1, F.col("rows"))).alias("rows_out"),
+        )
+        names = df.sparkSession.createDataFrame([(k, s.filter) for k, s in enumerate(self.steps)], "step int, filter string")
+        return names.join(found, "step").select("step", "filter", "rows_in", "rows_out")
 
     def preview(self, df: DataFrame, langs: Sequence[str], k: int = 1000, cache: dict[str, DataFrame] | None = None):
         """[(step, DataFrame or the error)] over a sample of `df`. `cache` keeps steps by key for the next

@@ -19,6 +19,7 @@ def read_lines(spark: SparkSession, path: str, column: str = "text") -> DataFram
     counts, one for each block, give the first number of the next."""
     raw = spark.read.option("lineSep", "\n").text(path)
     raw = raw.select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    # One row for each block of the file, so the window and the broadcast are as short as its list of blocks.
     blocks = raw.groupBy("block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
@@ -66,11 +67,13 @@ def write_parallel(df: DataFrame, paths: dict[str, str], order: str = "line_no",
 
 
 def pairs_of_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, src, trg): each line of a document with the next."""
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "src"))
-    following = Window.partitionBy(id_col).orderBy("line_no")
-    paired = lines.withColumn("trg", F.lead("src").over(following)).where("trg is not null")
-    return paired.withColumn("line_no", F.col("line_no").cast("long"))
+    """(id, line_no, src, trg): each line of a document with the next. The lines are paired within their
+    row, so nothing is shuffled."""
+    lines = docs.select(id_col, F.split(text_col, "\n", -1).alias("lines")).where(F.size("lines") > 1)
+    n = F.size("lines") - 1
+    both = F.arrays_zip(F.slice("lines", 1, n).alias("src"), F.slice("lines", 2, n).alias("trg"))
+    paired = lines.select(id_col, F.posexplode(both).alias("line_no", "pair"))
+    return paired.select(id_col, F.col("line_no").cast("long").alias("line_no"), "pair.src", "pair.trg")
 
 
 def pairs_of_turns(turns: DataFrame) -> DataFrame:
