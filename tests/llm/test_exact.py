@@ -1,6 +1,8 @@
 """Operators with one right result, against brute force."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -359,6 +361,125 @@ def test_spread_segments_become_wildcards(spark):
     assert {r.template for r in got.collect()} == {"/u/*/p", "/a/p", "/b/p", "/c/p"}
 
 
+def tree_by_hand(shapes, children_least=20, share=0.2, z=1.96, labelled_least=5):
+    """{(host, shape): trail} of a tree grown by recursion; shapes: {(host, shape): (n, blocked, allowed)}."""
+    out = {}
+
+    def grow(rows, node, trail):
+        rests = {r for _, r in rows}
+        low, high = min(rests), max(rests)
+        k = 0
+        while k < min(len(low), len(high)) and low[k] == high[k]:
+            k += 1
+        node = node + "".join("/" + s for s in low[:k])
+        trail = trail if node in trail else [*trail, node]
+        below = {}
+        for key, rest in rows:
+            if len(rest) == k:
+                out[key] = trail
+            else:
+                below.setdefault(rest[k], []).append((key, rest[k + 1 :]))
+        urls = sum(shapes[key][0] for own in below.values() for key, _ in own)
+        step = {c: c for c in below}
+        if len(below) >= children_least and len(below) >= share * urls:
+            step = dict.fromkeys(below, "*")
+        else:
+            counts = {c: [sum(shapes[key][j] for key, _ in own) for j in (1, 2)] for c, own in below.items()}
+            ranked = sorted((b / (b + a), c, b, b + a) for c, (b, a) in counts.items() if a + b >= labelled_least)
+            groups = []
+            for rate, c, b, n in ranked:
+                if groups:
+                    last = groups[-1][-1]
+                    p = (b + last[2] + 1) / (n + last[3] + 2)
+                    if rate - last[0] < z * math.sqrt(p * (1 - p) * (1 / n + 1 / last[3])):
+                        groups[-1].append((rate, c, b, n))
+                        continue
+                groups.append([(rate, c, b, n)])
+            for k_, group in enumerate(groups, 1):
+                if len(group) > 1:
+                    step.update({c: f"~{k_}" for _, c, _, _ in group})
+        merged = {}
+        for c, own in below.items():
+            merged.setdefault(step[c], []).extend(own)
+        for name, own in merged.items():
+            grow(own, f"{node}/{name}", [*trail, f"{node}/{name}"])
+
+    for host in {h for h, _ in shapes}:
+        grow([(key, key[1]) for key in shapes if key[0] == host], "", [""])
+    return out
+
+
+def purity_by_hand(shapes, trails, smoothing=4.0):
+    def total(rows):
+        n, b, a = (sum(shapes[key][j] for key in rows) for j in range(3))
+        return b, a + b, n
+
+    out = {}
+    for host, shape in shapes:
+        names = host.split(".")
+        levels = [total([k for k in shapes if k[0] == d or k[0].endswith("." + d)]) for d in (".".join(names[-k:]) for k in range(1, len(names) + 1))]
+        levels += [total([k for k in shapes if k[0] == host and node in trails[k]]) for node in trails[host, shape]]
+        down = purity = 0.0
+        for b, labelled, n in levels:
+            purity = (b + smoothing * down) / (labelled + smoothing)
+            covered = labelled / max(labelled, n, 1)
+            down = purity * covered + down * (1 - covered)
+        out[host, shape] = purity
+    return out
+
+
+def test_tree_and_purity_by_hand(spark):
+    r = random.Random(12)
+    shapes = {}
+    for host in ("a.x.org", "b.x.org", "c.net"):
+        for _ in range(120):
+            names = ("en", "de", "fr", "es", "it", f"s{r.randrange(60)}") if host != "c.net" else ("en", f"s{r.randrange(90)}", f"t{r.randrange(90)}")
+            shape = tuple(r.choice(names) for _ in range(r.randint(0, 4)))
+            n = r.randint(1, 2)
+            bad = r.random() < (0.9 if shape[:1] == ("en",) or shape[:1] == ("de",) else 0.1)
+            marked = r.choice((0, 0, n))
+            shapes[host, shape] = (n, marked if bad else 0, 0 if bad else marked)
+    shapes["deep.net", tuple(f"d{k}" for k in range(300))] = (1, 0, 0)
+    rows = [(h, list(s), *c) for (h, s), c in shapes.items()]
+    df = spark.createDataFrame(rows, "host string, shape array<string>, n long, blocked long, allowed long").repartition(3)
+    grown = url_filter.templates(df)
+    trails = tree_by_hand(shapes)
+    got = {(x.host, tuple(x["shape"])): x.trail for x in grown.collect()}
+    assert got == trails
+    assert any("~" in node for trail in trails.values() for node in trail) and any("*" in node for trail in trails.values() for node in trail)
+    want = purity_by_hand(shapes, trails)
+    for x in url_filter.purities(grown, 4.0).collect():
+        assert x.smoothed_purity == pytest.approx(want[x.host, tuple(x["shape"])], rel=1e-9)
+        assert x.node == trails[x.host, tuple(x["shape"])][-1]
+
+
+def test_rules_held_back_are_recovered(spark):
+    """The longer block rule is left out; labelled urls below it bring it back for the others."""
+    known = [r for r in url_filter.RULES if r.rule != "example.net/de/8"]
+    urls = [f"https://www.example.net/de/{d}{k}/x" for d in "sb" for k in range(60)]
+    pages = spark.createDataFrame(list(enumerate([*urls, *[f"https://shop.test/{s}/{k}" for s in ("buy", "read") for k in range(50)]])), "page_id long, url string")
+    labels = [(f"https://shop.test/buy/{k}", "block") for k in range(0, 50, 2)] + [(f"https://shop.test/read/{k}", "allow") for k in range(0, 50, 2)]
+    labels = spark.createDataFrame(labels, "url string, verdict string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, rules=known, labels=labels).collect()}
+    assert all(got[120 + k].verdict == "block" and got[120 + k].rule is None for k in range(50))
+    assert all(got[170 + k].verdict == "allow" for k in range(50))
+
+
+def test_branches_without_labels_inherit(spark):
+    """Nearly all urls of a host are labelled and blocked: so are the few others, of an unseen branch."""
+    pages = [(k, f"http://spam.test/offer/{k}") for k in range(60)] + [(100, "http://spam.test/new"), (101, "http://fine.example/new")]
+    labels = spark.createDataFrame([(u, "block") for _, u in pages[:60]], "url string, verdict string")
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels=labels).collect()}
+    assert (got[100].verdict, got[100].labelled) == ("block", 0) and got[101].verdict == "allow"
+
+
+def test_urls_with_clashing_columns(spark):
+    more = "host long, path long, rule long, verdict long, shape long, n long, node long, listed long, label long, id long"
+    pages = spark.createDataFrame([(1, "http://x.org/es/1", *[5] * 10), (2, None, *[5] * 10)], f"page_id long, url string, {more}")
+    got = sorted((r.page_id, r.host, r.verdict) for r in url_filter.filter_urls(pages).collect())
+    assert got == [(1, "x.org", "block"), (2, "", "allow")]
+
+
 def test_no_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
