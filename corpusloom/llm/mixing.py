@@ -2,12 +2,12 @@
 
 The words of each source, laid end to end, are packed into blocks of a fixed length. A mix is a
 list of slots, dealt into output shards of a fixed number of slots; each slot takes one block.
-How many slots of a source fall into a shard is drawn at random: the slots of all sources go
-through one pseudorandom permutation and are cut into shards. That is a multinomial draw under
-the condition that the sources' totals come out exactly; independent draws would miss the
-targets by the square root of the number of slots. Which block a slot takes follows from a
-pseudorandom permutation of the source's block numbers, one for each round through the source.
-Slots and blocks meet in a join on (source, block number).
+For each shard the numbers of slots of the sources are drawn from a multinomial: every slot draws its
+source with the probability of the source's share of all slots. Independent draws miss the sources'
+totals by about the square root of the slots; the draws of a source beyond its total, which lie in the
+last shards, go to the sources that have too few. The k-th slot of a source takes, by a pseudorandom
+permutation of the source's block numbers, one for each round through the source, its k-th block. Slots
+and blocks meet in a join on (source, block number).
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from corpusloom.llm.common import WORD, cut, let
 
 #: A source's words are numbered in so many runs, so a hot source is no single sort.
 RUNS = 4096
-#: Slots that one row of the slot table's seed stands for.
-SLOT_CHUNK = 4096
+#: Shards whose draws are summed before the sums are laid end to end.
+SHARD_RUN = 1024
 ROUNDS = 12
 
 
@@ -49,10 +49,11 @@ class Mix:
         return docs.select("*", offset.alias("offset"), (end - offset).alias("length"))
 
     def taken(self) -> DataFrame:
-        """A row for each input row, with the number of its words in the mix, repeats counted."""
+        """A row for each input row, with the number of its words in the mix, repeats counted, and the first
+        output shard that has one of its blocks (null if it is not in the mix)."""
         whole = F.col("words").isNull()
         uses = self.slots.groupBy("sid", "block").agg(
-            F.count(F.when(whole, 1)).alias("uses"), F.max("words").alias("part")
+            F.count(F.when(whole, 1)).alias("uses"), F.max("words").alias("part"), F.min("shard").alias("shard")
         )
         uses = uses.hint("merge")  # grows with the data, though it comes from the short list of sources
         part = F.coalesce(F.col("part"), F.lit(0))
@@ -64,16 +65,16 @@ class Mix:
             .join(uses, ["sid", "block"], "left")
             .withColumn("words", F.coalesce(words, F.lit(0)))
             .groupBy("sid", "start", "doc_id", "source", "size", "source_size", "target")
-            .agg(F.sum("words").alias("taken"))
+            .agg(F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("shard"))).alias("first_shard"))
         )
-        names = ["doc_id", "source", "size", "source_size", "target", "taken"]
-        empty = self.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+        names = ["doc_id", "source", "size", "source_size", "target", "taken", "first_shard"]
+        empty = self.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_shard", F.lit(None).cast("long"))
         return counted.select(names).union(empty.select(names))
 
     def spans(self) -> DataFrame:
         """For each input row and round that takes words of it: `parts`, an array of (from, length),
-        in words of the document, in order."""
-        uses = self.slots.select("sid", "block", "round", "words").hint("merge")
+        in words of the document, in order, and `shard` and `position`, its first place in the mix."""
+        uses = self.slots.select("sid", "block", "round", "words", "shard", "position").hint("merge")
         end = F.least(F.col("offset") + F.col("length"), F.coalesce("words", F.lit(self.block_words)))
         at = F.col("block") * self.block_words + F.col("offset") - F.col("start")
         part = F.struct(at.alias("from"), (end - F.col("offset")).alias("length"))
@@ -82,7 +83,8 @@ class Mix:
             .join(uses, ["sid", "block"])
             .where(end > F.col("offset"))
             .groupBy("row_key", "copy", "size", "round")
-            .agg(F.array_sort(F.collect_list(part)).alias("parts"))
+            .agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min(F.struct("shard", "position")).alias("place"))
+            .select("row_key", "copy", "size", "round", "parts", "place.shard", "place.position")
         )
 
 
@@ -161,11 +163,7 @@ def mix_sources(
     sources = sources.withColumn("full", F.coalesce(F.floor(F.try_divide("target", size)), F.lit(0)))
     sources = sources.withColumn("rest", F.round(F.col("target") - F.col("full") * size).cast("long"))
     sources = sources.withColumn("partial", F.ceil(F.col("rest") / block_words))
-    sources = sources.withColumn("slots", F.col("full") * F.col("blocks") + F.col("partial"))
-    order = Window.partitionBy(F.lit(0)).orderBy("sid")
-    first = F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    sources = sources.withColumn("first_slot", F.coalesce(first, F.lit(0)))
-    sources = cut(sources.withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0)))))
+    sources = cut(sources.withColumn("slots", F.col("full") * F.col("blocks") + F.col("partial")))
 
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("run_start", F.coalesce(F.sum("run_size").over(before), F.lit(0))).alias("r")
@@ -183,41 +181,78 @@ def mix_sources(
         (F.col("run_start") + F.col("inside")).alias("start"),
     )
 
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOT_CHUNK}")))
-    # A given number of partitions, as the few rows of the seed grow into all slots.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = sources.where("slots > 0").withColumn("chunk", chunk).repartition(tasks, "sid", "chunk")
-    low = F.col("chunk") * SLOT_CHUNK
-    high = F.least(low + SLOT_CHUNK, F.col("slots")) - 1
-    slots = seeds.withColumn("slot", F.explode(F.sequence(low, high)))
-    slots = slots.withColumn("round", F.expr("slot div blocks"))
-    block = permute(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "sid", "round"))
-    place = permute(F.col("first_slot") + F.col("slot"), F.col("all_slots"), F.xxhash64(F.lit(seed), F.lit("deal")))
+    slots = settled(drawn_slots(sources, shard_slots, seed), sources)
+    slots = slots.withColumn("round", F.expr("turn div blocks"))
+    block = permute(F.col("turn") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "sid", "round"))
     short = F.col("rest") - (F.col("partial") - 1) * block_words
-    last = (F.col("partial") > 0) & (F.col("slot") == F.col("slots") - 1)
-    slots = slots.withColumn("block", block).withColumn("place", place)
-    slots = slots.select(
-        "sid",
-        F.expr(f"place div {shard_slots}").alias("shard"),
-        (F.col("place") % shard_slots).alias("position"),
-        "round",
-        "block",
-        F.when(last, short).alias("words"),
-    )
+    last = (F.col("partial") > 0) & (F.col("turn") == F.col("slots") - 1)
+    slots = slots.select("sid", "shard", "position", "round", block.alias("block"), F.when(last, short).alias("words"))
     return Mix(sources, documents, slots, block_words)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+OF_SOURCE = ("sid", "slots", "blocks", "rest", "partial")
+
+
+def drawn_slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """A row for each slot of the mix: shard, position in it, the source that it draws (OF_SOURCE) and `rank`, the
+    number of slots of the shard before it with that source. Each slot draws a number below that of all slots;
+    the sources own as many numbers as they have slots."""
+    upper = F.sum("slots").over(Window.partitionBy(F.lit(0)).orderBy("sid"))
+    infos = F.sort_array(F.collect_list(F.struct(*OF_SOURCE, "upper"))).alias("infos")
+    whole = sources.withColumn("upper", upper).agg(infos, F.sum("slots").alias("all_slots")).where("all_slots > 0")
+    # A given number of partitions, as the single row of the seed grows into all slots.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = whole.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all_slots - 1) div {shard_slots}"))))
+    shards = shards.repartition(tasks, "shard")
+    positions = F.sequence(F.lit(0).cast("long"), F.least(F.lit(shard_slots), F.col("all_slots") - F.col("shard") * shard_slots) - 1)
+    slots = shards.withColumn("position", F.explode(positions))
+    slots = slots.withColumn("number", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "position"), F.col("all_slots")))
+    owner = F.element_at("infos", F.size(F.filter("infos", lambda s: s["upper"] <= F.col("number"))) + 1)
+    slots = slots.select("shard", "position", owner.alias("s")).select("shard", "position", *[f"s.{c}" for c in OF_SOURCE])
+    rank = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("position")) - 1
+    return cut(slots.withColumn("rank", rank))
+
+
+def settled(slots: DataFrame, sources: DataFrame) -> DataFrame:
+    """The slots with `turn`, the number of slots of their source before them in the mix. Draws beyond a source's
+    total go, in order, to the sources that have too few."""
+    counts = slots.groupBy("sid", "shard").agg(F.count("*").alias("n")).withColumn("run", F.expr(f"shard div {SHARD_RUN}"))
+    counts = cut(counts)
+    runs = counts.groupBy("sid", "run").agg(F.sum("n").alias("run_n"))
+    earlier = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("run_before", F.coalesce(F.sum("run_n").over(earlier), F.lit(0)))
+    earlier = Window.partitionBy("sid", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("inside", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(runs, ["sid", "run"])
+    before = before.select("sid", "shard", (F.col("run_before") + F.col("inside")).alias("before"))
+    placed = slots.join(before, ["sid", "shard"]).withColumn("turn", F.col("before") + F.col("rank")).drop("before", "rank")
+
+    # What each source has drawn too much or too little, laid end to end.
+    drawn = counts.groupBy("sid").agg(F.sum("n").alias("drawn"))
+    every = sources.select(*OF_SOURCE).join(drawn, "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    line = Window.partitionBy(F.lit(0)).orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    over, under = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+    every = cut(every.withColumn("over", F.coalesce(F.sum(over).over(line), F.lit(0))).withColumn("under", F.coalesce(F.sum(under).over(line), F.lit(0))))
+    free = every.where("drawn < slots").withColumn("turn", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)))
+    free = free.select(*OF_SOURCE, "turn", (F.col("under") + F.col("turn") - F.col("drawn")).alias("at"))
+    surplus = placed.where("turn >= slots").select("sid", "shard", "position", "turn").join(every.select("sid", "slots", "over"), "sid")
+    surplus = surplus.select("shard", "position", (F.col("over") + F.col("turn") - F.col("slots")).alias("at"))
+    names = ["shard", "position", *OF_SOURCE, "turn"]
+    return placed.where("turn < slots").select(names).union(surplus.join(free, "at").select(names))
+
+
+def mixed_documents(docs: DataFrame, place: bool = False, **options) -> DataFrame:
     """The mix as documents: a row for each input row and round that takes words of it, with the
     columns of `docs`. A document taken whole keeps its text; else `text` has the taken words,
-    joined by single spaces, and `n_chars`, where there is one, its new length.
+    joined by single spaces, and `n_chars`, where there is one, its new length. With `place`, `mix_shard` and
+    `mix_position` tell where in the mix a row begins.
     """
     plan = mix_sources(docs, **options)
     spans = plan.spans().select(
-        F.col("row_key").alias("__key"), F.col("copy").alias("__copy"), F.col("size").alias("__size"), F.col("parts").alias("__parts")
-    )
+        F.col("row_key").alias("__key"), F.col("copy").alias("__copy"), F.col("size").alias("__size"), F.col("parts").alias("__parts"),
+        F.col("shard").alias("__shard"), F.col("position").alias("__position"),
+    )
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
-    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))))
     total = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
 
@@ -229,4 +264,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     joined = keyed.join(spans, ["__key", "__copy"]).withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(*docs.columns)
+    more = [F.col("__shard").alias("mix_shard"), F.col("__position").alias("mix_position")] if place else []
+    return joined.select(*docs.columns, *more)

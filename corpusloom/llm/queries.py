@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return plan.taken().select("doc_id", "source", "size", "source_size", "target", "taken")
+    return plan.taken().select("doc_id", "source", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,48 @@ def test_mix_slots_take_each_block_once_a_round(docs):
     assert all(0 <= s.block < blocks[s.sid] for s in slots)
 
 
+def test_draws_of_shards_are_multinomial_and_settled(spark):
+    """Slot by slot: the drawn sources, then the surplus of a source given to those that lack."""
+    sizes = (700, 0, 150, 1150)
+    sources = spark.createDataFrame([(k, n, max(1, n), 0, 0) for k, n in enumerate(sizes)], "sid int, slots long, blocks long, rest long, partial long")
+    slots = mixing.drawn_slots(sources, 100, 5)
+    drawn = sorted((r["shard"], r["position"], r.sid, r["rank"]) for r in slots.collect())
+    assert [d[:2] for d in drawn] == [(k // 100, k % 100) for k in range(2000)]
+    per_shard = [Counter(d[2] for d in drawn if d[0] == k) for k in range(20)]
+    spread = np.std([c[3] for c in per_shard])
+    assert 2 < spread < 10 and all(sum(c.values()) == 100 and 1 not in c for c in per_shard)  # a binomial's is 4.9
+    seen, turns, surplus = Counter(), {}, {k: [] for k in range(4)}
+    for shard, position, sid, rank in drawn:
+        assert rank == sum(d[0] == shard and d[1] < position and d[2] == sid for d in drawn)
+        if seen[sid] < sizes[sid]:
+            turns[shard, position] = (sid, seen[sid])
+        else:
+            surplus[sid].append((shard, position))
+        seen[sid] += 1
+    free = [(k, t) for k in range(4) for t in range(seen[k], sizes[k])]
+    turns.update(zip([x for k in range(4) for x in surplus[k]], free, strict=True))
+    assert free
+    assert {(r["shard"], r["position"]): (r.sid, r.turn) for r in mixing.settled(slots, sources).collect()} == turns
+
+
+def test_what_is_taken_comes_from_the_shards(docs, rows):
+    """`taken` and `first_shard` from the slots, word by word."""
+    plan = mixing.mix_sources(docs, block_words=8, shard_slots=16)
+    uses = defaultdict(list)
+    for s in plan.slots.collect():
+        uses[s.sid, s.block].append((s["shard"], 8 if s.words is None else s.words))
+    want = []
+    for d in plan.documents.collect():
+        taken, shards = 0, []
+        for w in range(d.start, d.start + d["size"]):
+            found = [shard for shard, n in uses[d.sid, w // 8] if w % 8 < n]
+            taken, shards = taken + len(found), shards + found
+        want.append((d.doc_id or -1, d["size"], taken, min(shards, default=-1)))
+    got = [(r.doc_id or -1, r["size"], r.taken, -1 if r.first_shard is None else r.first_shard) for r in plan.taken().collect()]
+    assert sorted(got) == sorted(want)
+    assert "shard" in plan.taken()._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutation(spark, n):
     found = spark.range(n).select(mixing.permute(F.col("id"), F.lit(n), F.lit(5)).alias("p")).collect()
