@@ -22,12 +22,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _log_pick(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Entry `at` of each row's log softmax."""
+def _log_pick(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """Entry `at` of each row's log softmax; overwrites `x`. `small`: exp stays within single precision."""
     picked = x[np.arange(len(x)), at]
-    if x.size and x.max() > 60:  # exp would come near the limit of single precision
+    if not small:
         return _log_softmax(x)[np.arange(len(x)), at]
-    return picked - np.log(np.exp(x).sum(axis=1))
+    np.exp(x, out=x)
+    return picked - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _sum_by(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -87,6 +88,12 @@ class Gru:
             setattr(self, n, vector[at : at + old.size].reshape(old.shape))
             at += old.size
 
+    def small(self) -> bool:
+        """Whether no logit can come near the limit of exp in single precision; states are within -1 and 1."""
+        by_class = np.abs(self.c).sum(axis=0) + self.cb
+        inside = np.abs(self.o).sum(axis=1) + self.ob
+        return bool(by_class.max() < 60 and inside.max() < 60)
+
     def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
         """The states before each of the symbols `ids` (time by stream), the last state, and, to
         `keep`, what the gradients need."""
@@ -115,17 +122,22 @@ class Gru:
         order = np.argsort(targets // CLASS_SIZE, kind="stable")
         states, targets = states[order], targets[order]
         classes, members = targets // CLASS_SIZE, targets % CLASS_SIZE
-        logs = _log_pick(states @ self.c + self.cb, classes)
+        small = self.small()
+        logits = states @ self.c
+        logits += self.cb
+        logs = _log_pick(logits, classes, small)
         if len(logs) <= 4 * len(self.cb):  # too few for a product for each class
             inside = np.matmul(states[:, None, :], self.o[classes])[:, 0, :] + self.ob[classes]
-            logs += _log_pick(inside, members)
+            logs += _log_pick(inside, members, small)
             bounds = np.zeros(len(self.cb) + 1, np.int64)
         else:
             bounds = np.searchsorted(classes, np.arange(len(self.cb) + 1))
         for k in range(len(self.cb)):
             own = slice(bounds[k], bounds[k + 1])
             if bounds[k] < bounds[k + 1]:
-                logs[own] += _log_pick(states[own] @ self.o[k] + self.ob[k], members[own])
+                logits = states[own] @ self.o[k]
+                logits += self.ob[k]
+                logs[own] += _log_pick(logits, members[own], small)
         found = np.empty_like(logs)
         found[order] = logs
         return found
@@ -139,12 +151,14 @@ class Gru:
         flat, classes, members = states.reshape(-1, n)[order], targets[order] // CLASS_SIZE, targets[order] % CLASS_SIZE
         rows, share = np.arange(len(targets)), np.float32(1 / len(targets))
         g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
+        small = self.small()
 
         def errors(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
             """In place: the loss's gradient by the logits."""
-            logits -= logits.max(axis=1, keepdims=True)
+            if not small:
+                logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
-            logits *= share / logits.sum(axis=1, keepdims=True)
+            logits *= (share / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
             logits[rows, at] -= share
             return logits
 
@@ -186,7 +200,7 @@ class Gru:
         g["x"] = _sum_by(targets, inward.reshape(-1, 3 * n), self.symbols)
         return g, last
 
-    def train(self, documents: list[np.ndarray], streams: int = 64, window: int = 20, rate: float = 0.01) -> int:
+    def train(self, documents: list[np.ndarray], streams: int = 512, window: int = 20, rate: float = 0.03) -> int:
         """One pass of Adam over documents (symbols, each with its end), end to end and cut into streams
         of equal length: as many as `streams`, or fewer where that would leave under 100 windows. The
         last stream is filled up with the first symbols."""

@@ -5,7 +5,8 @@ the others by their last letters are the model's symbols; a word outside takes i
 probability times its share of that symbol's counts, so the model gives every text a
 probability. The model starts as the unigram model. The training documents are dealt over the rounds
 by a hash of the id, so that every one of them is learned from. In each round every task trains a
-copy on its part by truncated backpropagation, and Spark averages the copies. Whole documents are then scored with the
+copy on its part by truncated backpropagation, hundreds of documents side by side, and Spark averages
+the copies. Whole documents are then scored with the
 state carried from window to window.
 
 Only bounded data is broadcast: the model and the counts of the `lookup` most frequent words. The
@@ -18,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc32_of, cut
+from corpusloom.llm.common import crc32_of, cut, top
 from corpusloom.llm.gru import Gru
 from corpusloom.llm.words import grouped
 
@@ -36,6 +38,8 @@ ALPHA = 0.1
 #: Distinct words that a task holds before it passes its counts on.
 HELD = 200_000
 CHUNK = 4096
+#: Symbols of whole documents that a task gathers before it learns from them, side by side in streams.
+HELD_SYMBOLS = 1_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -43,8 +47,19 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+MARKS = b".,;:!?"
+
+
+def tail_of(word: bytes) -> bytes:
+    return word.rstrip(MARKS)[-2:]
+
+
+def of_tail(tail: bytes) -> int:
+    return zlib.crc32(tail) % OTHERS
+
+
 def other(word: bytes) -> int:
-    return zlib.crc32(word.rstrip(b".,;:!?")[-2:]) % OTHERS
+    return of_tail(tail_of(word))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,41 +104,46 @@ class Lexicon:
         return float(np.log10(self.total + ALPHA * (self.types + 1)))
 
 
-class Reader(dict):
-    """Rows of words in `symbol`, `log_count` (NaN: not among the frequent) and `known`; a word is looked
-    up once and remembered, up to a bound."""
+class Tails(dict):
+    """The symbol of words outside the model's vocabulary, by their last letters."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, first: int):
         super().__init__()
+        self.first = first
+
+    def __missing__(self, tail: bytes) -> int:
+        symbol = self[tail] = self.first + of_tail(tail)
+        return symbol
+
+
+class Reader:
+    """Symbols and counts of words: a row for each frequent word, in order of the lexicon."""
+
+    def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.symbol = np.zeros(2 * HELD, np.int32)
-        self.log_count = np.zeros(2 * HELD)
-        self.known = np.zeros(2 * HELD, bool)
-
-    def __missing__(self, word: bytes) -> int:
-        row = self[word] = len(self)
-        if row == len(self.symbol):
-            for name in ("symbol", "log_count", "known"):
-                setattr(self, name, np.resize(getattr(self, name), 2 * row))
-        count, at = self.lexicon.counts.get(word), self.lexicon.symbols.get(word)
-        self.symbol[row] = len(self.lexicon.symbols) + other(word) if at is None else at
-        self.log_count[row] = np.nan if count is None else np.log10(count + ALPHA)
-        self.known[row] = count is not None
-        return row
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > HELD:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.rows = {word: k for k, word in enumerate(lexicon.counts)}
+        self.tails = Tails(len(lexicon.symbols))
+        own = (lexicon.symbols.get(w) for w in lexicon.counts)
+        found = (self.tails[tail_of(w)] if at is None else at for w, at in zip(lexicon.counts, own, strict=True))
+        self.symbol = np.fromiter(found, np.int32, len(lexicon.counts))
+        self.log_count = np.log10(np.fromiter(lexicon.counts.values(), float, len(lexicon.counts)) + ALPHA)
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's row (-1: not among the frequent) and symbol."""
+        at = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)
+        rare = np.flatnonzero(at < 0)
+        symbols[rare] = [self.tails[words[k].rstrip(MARKS)[-2:]] for k in rare.tolist()]
+        return at, symbols
 
     def symbols_of(self, text: bytes) -> np.ndarray:
-        return np.append(self.symbol[self.look_up(tokens(text))], self.lexicon.size - 1)
+        return np.append(self.look_up(tokens(text))[1], np.int32(self.lexicon.size - 1))
 
 
 def lexicon_of(training: DataFrame, vocabulary: int, lookup: int) -> tuple[Lexicon, DataFrame]:
-    """Counts over all rows of `training` (text): the frequent ones, and the table of all."""
+    """Counts over all rows of `training` (text): the frequent ones, about `lookup`, and the table of all."""
     counts = cut(training.select("text").mapInArrow(_count, "word binary, other int, n long").groupBy("word", "other").agg(F.sum("n").alias("n")))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(lookup).toArrow()
+    frequent = top(counts, "n", "word", lookup)
     words, n = [bytes(w) for w in frequent.column("word").to_pylist()], frequent.column("n").to_pylist()
     order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
     known = {words[k]: n[k] for k in order}
@@ -163,7 +183,7 @@ def train(training: DataFrame, lexicon: Lexicon, hidden: int = 16, rounds: int =
                 for _, _, texts in grouped(batch):
                     found = [reader.symbols_of(t) for t in texts]
                     held, size = held + found, size + sum(map(len, found))
-                    if size >= 400_000:
+                    if size >= HELD_SYMBOLS:
                         seen += own.train(held)
                         held, size = [], 0
             seen += own.train(held) if held else 0
@@ -206,8 +226,9 @@ def score_documents(
     end. A null text is empty and has the end alone. Returns id_col, held_out, n_tokens, n_known
     (tokens that training has), train_tokens, base_score (log10 probability under smoothed
     unigram counts) and score (under the model). Rows with equal id and text have equal scores;
-    each gets a row. Without training rows both models know nothing but the smoothing. An empty
-    table gives an empty result.
+    each gets a row. Without training rows both models know nothing but the smoothing. Each task's copy
+    of the model learns from its own partition, so another partitioning of `docs` gives slightly other
+    scores (not base scores). An empty table gives an empty result.
     """
     held_out = crc32_of(F.col(id_col)) % folds == 0
     rows = docs.select(
@@ -222,7 +243,7 @@ def score_documents(
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of each row that are not among the frequent, and a row with no word for each."""
+        """The words of each row that are not among the frequent."""
         known = shared.value[0].counts
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -230,9 +251,9 @@ def score_documents(
                 owners, words, n = [], [], []
                 for k, text in enumerate(texts):
                     found = Counter(w for w in tokens(text) if w not in known)
-                    owners.append(np.full(len(found) + 1, keys[start + k]))
-                    words += [None, *found]
-                    n += [1, *found.values()]
+                    owners.append(np.full(len(found), keys[start + k]))
+                    words += found
+                    n += found.values()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(owners)), pa.array(words, pa.binary()), pa.array(n, pa.int32())],
                     ["row_key", "word", "n"],
@@ -249,14 +270,14 @@ def score_documents(
             documents, n_tokens, n_known, base, extra = [], [], [], [], []
             for _, _, texts in grouped(batch):
                 for text in texts:
-                    at = reader.look_up(tokens(text))
-                    symbols, logs = reader.symbol[at], reader.log_count[at]
-                    outside = symbols >= first
-                    documents.append(np.append(symbols, lexicon.size - 1))
+                    at, symbols = reader.look_up(tokens(text))
+                    known, outside = at >= 0, symbols >= first
+                    logs = reader.log_count[at[known]]
+                    documents.append(np.append(symbols, np.int32(lexicon.size - 1)))
                     n_tokens.append(len(at) + 1)
-                    n_known.append(int(reader.known[at].sum()) + (lexicon.documents > 0))
-                    base.append(float(np.nansum(logs)) + end_count - log_total * (len(at) + 1))
-                    extra.append(float(np.nansum(logs[outside]) - log_others[symbols[outside] - first].sum()))
+                    n_known.append(len(logs) + (lexicon.documents > 0))
+                    base.append(float(logs.sum()) + end_count - log_total * (len(at) + 1))
+                    extra.append(float(logs[outside[known]].sum() - log_others[symbols[outside] - first].sum()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -275,16 +296,16 @@ def score_documents(
     log_count = F.log10(F.coalesce(F.col("c.n"), F.lit(0)) + F.lit(ALPHA))
     found = words.alias("w").join(counts.select("word", "n").alias("c"), F.col("w.word") == F.col("c.word"), "left")
     rest = found.groupBy("row_key").agg(
-        F.count(F.when(F.col("w.word").isNull(), 1)).alias("copies"),
-        F.sum(F.when(F.col("w.word").isNotNull(), F.col("w.n") * log_count)).alias("logs"),
-        F.sum(F.when(F.col("c.n").isNotNull(), F.col("w.n"))).alias("more_known"),
+        F.sum(F.col("w.n") * log_count).alias("logs"), F.sum(F.when(F.col("c.n").isNotNull(), F.col("w.n"))).alias("more_known")
     )
     # Rows with equal id and text share their key, and each has added the same words.
+    again = rows.groupBy("row_key").agg(F.count("*").alias("copies")).where("copies > 1")
+    rest = rest.join(again, "row_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     logs = F.coalesce(F.col("logs") / F.col("copies"), F.lit(0.0))
     more_known = F.coalesce(F.expr("more_known div copies"), F.lit(0))
     schema = f"id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = rows.select("id", "row_key", "held_out", "text").mapInArrow(read, schema)
-    return scored.join(rest, "row_key").select(
+    return scored.join(rest, "row_key", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
