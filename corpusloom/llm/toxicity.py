@@ -1,10 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained. Both hold the same ordinary base; the toxic one also has
-the strings that set toxic documents apart, where the ordinary one has as many bytes of ordinary
-text, so that the compressor treats both alike. A window of a document is compressed with both.
-Where the toxic dictionary saves bytes, the window has toxic strings. The savings of a document's
-windows are calibrated against labels by a monotone table of rates.
+Two zstandard dictionaries of equal length are made, from toxic and from ordinary text. Both hold the same
+base, trained on ordinary windows; the toxic one also has the strings that set toxic documents apart,
+where the ordinary one has as many bytes of ordinary text, so that the compressor treats both alike. A
+window of a document is compressed with both. Where the toxic dictionary saves bytes, the window has
+toxic strings. The savings of a document's windows are calibrated against labels by a monotone table of
+rates.
+
+Two dictionaries that zstandard's own training fills, one from each class, do worse: the training keeps
+what is frequent, which is much the same in both classes, and what differs by chance in the two costs or
+saves as many bytes as a toxic word. README has the figures of both forms.
 """
 
 from __future__ import annotations
@@ -111,12 +116,14 @@ def lookalikes(marks: list[bytes], ordinary: list[bytes], near: int = 6) -> list
     return list(like)
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], size: int = 32_768) -> Model:
+def train(toxic: list[bytes], ordinary: list[bytes], size: int = 32_768, base_documents: int = 2000) -> Model:
     """Dictionaries from three quarters of the documents, calibration from the rest. The samples must
-    keep the proportion in which the classes occur, for the scores to be rates."""
+    keep the proportion in which the classes occur, for the scores to be rates. The base is trained on the
+    windows of `base_documents` ordinary documents; it, the toxic strings and the words that resemble
+    them have `size` bytes each at most."""
     toxic, ordinary = without_copies(toxic), without_copies(ordinary)
     cut_toxic, cut_ordinary = 3 * len(toxic) // 4, 3 * len(ordinary) // 4
-    windows = [w for t in ordinary[: min(cut_ordinary, 2000)] for w in windows_of(t)]
+    windows = [w for t in ordinary[: min(cut_ordinary, base_documents)] for w in windows_of(t)]
     try:
         base = zstandard.train_dictionary(size, windows, level=3).as_bytes()
     except zstandard.ZstdError:  # too few windows to train on
@@ -124,7 +131,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], size: int = 32_768) -> Mode
     extra = toxic_strings(toxic[:cut_toxic], ordinary[:cut_ordinary])[-size:]
     like = b"".join(b" " + w + b" " for w in lookalikes(extra.split(), ordinary[:cut_ordinary]))
     base = like[-size:] + base
-    filler = (like[: len(extra)] or b"".join(windows[:50])[: len(extra)]).ljust(len(extra))
+    filler = (like or b"".join(windows))[: len(extra)].ljust(len(extra))
     model = Model(filler + base, extra + base, np.zeros(0), np.zeros(1))
     compressors = model.compressors()
     marked = [(savings_of(t, *compressors), 1.0) for t in toxic[cut_toxic:]]

@@ -77,6 +77,48 @@ def test_pieces_of_a_long_text_cover_all_grams(monkeypatch):
     assert len(whole) == 2 * len(text) - 3
 
 
+def test_batches_have_the_grams_of_each_text():
+    texts = ["", "a", "ab", made("de", random.Random(2), 40), "", "Ünï\u2028x", "abc", "z"]
+    buckets, starts = langid.grams_of(texts, 12)
+    for k, text in enumerate(texts):
+        want = list(langid.buckets_of(text, 12))
+        want = np.sort(np.concatenate(want)) if want else np.zeros(0, np.uint32)
+        assert np.sort(buckets[starts[k] : starts[k + 1]]).tolist() == want.tolist()
+    assert langid.grams_of([], 12)[0].tolist() == [] and langid.grams_of(["", ""], 12)[1].tolist() == [0, 0, 0]
+
+
+def test_sums_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    weights, buckets = rng.normal(size=(50, 3)).astype(np.float32), rng.integers(0, 50, 200)
+    starts = np.array([0, 0, 7, 7, 100, 199, 200, 200])
+    want = [weights[buckets[a:b]].sum(axis=0) for a, b in zip(starts, starts[1:])]
+    for cells in (1, 9, 30, 1 << 20):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        assert np.allclose(langid.sums_of(weights, buckets, starts), want, atol=1e-5)
+
+
+def test_blocks_of_languages_agree_with_one(spark, frame):
+    """Posteriors and ties: languages in blocks of one against all at once, and against a loop."""
+    labelled = frame.selectExpr("lang", "text").union(spark.createDataFrame([("zz", "same text"), ("zy", "same text")], "lang string, text string"))
+    langs, matrix = langid.train(labelled, bits=10)
+    blocks = list(langid.train_blocks(labelled, 10, 0.5, 1))
+    assert [b[0] for b in blocks] == [[x] for x in langs] and np.allclose(np.hstack([b[1] for b in blocks]), matrix)
+    docs = frame.limit(40).select("doc_id", "text").union(spark.createDataFrame([(9000, "same text"), (9001, "!")], "doc_id long, text string"))
+    one = {r.doc_id: r for r in langid.predict(docs, langs, matrix).collect()}
+    several = {r.doc_id: r for r in langid.predict_blocks(docs, blocks).collect()}
+    for r in docs.collect():
+        if r.doc_id == 9001:
+            assert one[9001].lang_pred == several[9001].lang_pred == "und" and one[9001].score == 0
+            continue
+        found = np.concatenate(list(langid.buckets_of(r.text, 10)))
+        total = matrix[-1] + matrix[found].astype(float).sum(axis=0)
+        share = np.exp((total - total.max()) / np.sqrt(len(found)))
+        for got in (one[r.doc_id], several[r.doc_id]):
+            assert got.lang_pred == langs[int(np.argmax(total))]
+            assert got.score == pytest.approx(1 / share.sum(), rel=1e-3)
+    assert one[9000].lang_pred == several[9000].lang_pred == "zy"
+
+
 def test_language_edge_cases(docs, no_docs, rows):
     got = langid.identify(docs).collect()
     assert len(got) == len(rows)
@@ -224,6 +266,24 @@ def test_toxicity_windows_cover_the_text():
     assert toxicity.windows_of(b" !!! ") == []
 
 
+def test_savings_are_differences_of_compressed_lengths(labelled):
+    """Against compressing each window with dictionaries made here."""
+    import zstandard
+
+    model = toxicity.train([r[1].encode() for r in labelled if r[2]], [r[1].encode() for r in labelled if not r[2]])
+    assert len(model.toxic) == len(model.ordinary) and b" dratwurz " in model.toxic and b"dratwurz" not in model.ordinary
+    text = labelled[8][1].encode()
+    saved = []
+    for window in toxicity.windows_of(text):
+        size = {}
+        for name, content in (("ordinary", model.ordinary), ("toxic", model.toxic)):
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=toxicity.LEVEL)
+            size[name] = len(zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_dict_id=False).compress(window))
+        saved.append(size["ordinary"] - size["toxic"])
+    assert toxicity.savings_of(text, *model.compressors()) == max(saved) + sum(s for s in saved if s > 0) / 4
+
+
 def test_calibration_is_monotone():
     r = random.Random(2)
     edges, scores = toxicity._calibrate([(v, float(r.random() < v / 10)) for v in [r.randint(0, 9) for _ in range(500)]])
