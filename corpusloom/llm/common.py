@@ -44,6 +44,13 @@ def top(counts: DataFrame, n_col: str, name_col: str, limit: int) -> pa.Table:
     return counts.where((size > least) | ((size == least) & (turn < int(part * (1 << 30))))).toArrow()
 
 
+def bounded(df: DataFrame, turn_col: str, limit: int) -> DataFrame:
+    """All rows of `df`, or, if they are more than `limit`, about so many: those whose hash `turn_col` is small.
+    The rows are counted first, so none but these leave their tasks."""
+    n = df.count()
+    return df if n <= limit else df.where(F.pmod(turn_col, F.lit(1 << 30)) < int(limit / n * (1 << 30)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` evaluated once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)

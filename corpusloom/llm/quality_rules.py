@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACES, cut, let
+from corpusloom.llm.common import SPACES, bounded, cut, let
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -245,8 +245,8 @@ def judge(
 ) -> tuple[DataFrame, list[Rule]]:
     """Statistics of each row of `docs` with base_failed and kept, and the learned rules.
 
-    The rules are learned from at most `max_labelled` labelled documents that pass the base rules,
-    taken in order of a hash of their ids; only their numbers reach the driver. Rows with a null
+    The rules are learned from about `max_labelled` labelled documents at most that pass the base rules,
+    chosen by a hash of their ids; only their numbers reach the driver. Rows with a null
     label are no examples; a document with several labels gives several. Without labels no rule is
     learned, and what passes the base rules is kept. Null and empty texts have no words and fail
     the base rules. Rows may repeat; each gets its own row. An empty table gives an empty result.
@@ -257,7 +257,7 @@ def judge(
     examples = passed.join(marked, F.col("id") == F.col("label_id")).select(
         *[F.col(f).cast("double").alias(f) for f in FEATURES], "label", F.xxhash64("id").alias("turn")
     )
-    rows = examples.orderBy("turn", *FEATURES, "label").limit(max_labelled).collect()
+    rows = sorted(bounded(examples, "turn", max_labelled).collect(), key=lambda r: (r["turn"], *(r[f] for f in FEATURES), r["label"]))
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     rules = learn_rules(x, np.array([r["label"] == 0 for r in rows], bool))
     return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import bounded, cut
 from corpusloom.llm.words import grouped
 
 SEED = 42
@@ -197,8 +197,8 @@ def near_duplicates(
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
 
     n = classes.count()
-    order = F.xxhash64("fp", F.lit("sample"))
-    sample = classes.select("fp").orderBy(order).limit(sample_size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    turned = classes.select("fp", F.xxhash64("fp", F.lit("sample")).alias("turn"))
+    sample = np.sort(bounded(turned, "turn", sample_size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
     nodes = grow_tree(sample, max(0, math.ceil(math.log2(max(n, 1) / shard_size))), max_bits)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
