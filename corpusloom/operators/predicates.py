@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import entities, text
 from corpusloom.functions.scripts import alphabet
 from corpusloom.operators.rewrites import FLAG, ON, no_field_empty
-from corpusloom.operators.spec import BILINGUAL, REGISTRY, FilterSpec, Param, define
+from corpusloom.operators.spec import BILINGUAL, REGISTRY, FilterSpec, Param, define, explain
 
 
 def every(conditions) -> Column:
@@ -89,6 +89,25 @@ def alpha_ratio(p, columns):
     return keep
 
 
+@explain("alpha_ratio")
+def alpha_ratio_reason(p, columns):
+    """The first test that fails: EMPTY, RATIO_WORDS or RATIO_ALPHA, and the side."""
+    found = F.lit(None).cast("string")
+    sides = (("LANG1", "SRCWORDRAT", "SRCALPHARAT", "SRC"), ("LANG2", "TRGWORDRAT", "TRGALPHARAT", "TRG"))
+    for c, (language, words, characters, side) in reversed(list(zip(columns[-2:], sides, strict=False))):
+        own = p.get(language.replace("LANG", "ALPHABET"))
+        letters = alphabet(p[language], {p[language]: own} if own else None)
+        if letters:
+            whole = composed(text.strip(c))
+            found = (
+                F.when(text.is_blank(c), f"EMPTY_{side}")
+                .when(~in_alphabet(whole, letters, p[words], 0.0), f"RATIO_WORDS_{side}")
+                .when(~in_alphabet(whole, letters, 0.0, p[characters]), f"RATIO_ALPHA_{side}")
+                .otherwise(found)
+            )
+    return found
+
+
 @define("num_mismatch", BILINGUAL, "Keep pairs with much the same numbers.", "keep", RATIO=Param("float", 1.0))
 def num_mismatch(p, columns):
     """A pair without numbers stays, whatever the ratio."""
@@ -97,6 +116,13 @@ def num_mismatch(p, columns):
     return F.when(some, F.coalesce(same, F.lit(True))).otherwise(True)
 
 
+@explain("num_mismatch")
+def num_mismatch_reason(p, columns):
+    """The numbers of each side that the other lacks."""
+    a, b = (entities.numbers(c) for c in columns[:2])
+    return F.concat_ws(" | ", F.array_join(F.array_except(a, b), " "), F.array_join(F.array_except(b, a), " "))
+
+
 @define("url_mismatch", BILINGUAL, "Keep pairs with the same urls in the same order.", "keep")
 def url_mismatch(p, columns):
     return entities.urls(columns[0]) == entities.urls(columns[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,5 +24,28 @@ def sample(df: DataFrame, k: int = 10, order: str = "line_no", seed: int = 0, mi
     if not middle or n <= 2 * k:
         return ends.orderBy(order)
     between = df.where((F.col(order) >= k) & (F.col(order) < n - k))
-    drawn = between.orderBy(F.xxhash64(order, F.lit(seed)), order).limit(k)
+    drawn = between.orderBy(F.xxhash64(order, F.lit(seed)), order).limit(k)  # k is the size of a preview
     return ends.unionByName(drawn).orderBy(order)
+
+
+def sample_all(corpora: Mapping[str, DataFrame], folder: str, k: int = 10, order: str = "line_no", force: bool = False) -> dict[str, str | Exception]:
+    """Write the sample of each corpus to `folder`/name as Parquet; samples that are there are kept unless `force`.
+    Returns what became of each: "written", "kept" or the error; an error does not stop the others."""
+    done: dict[str, str | Exception] = {}
+    for name, df in corpora.items():
+        try:
+            path = f"{folder.rstrip('/')}/{name}"
+            if not force and _exists(df, path):
+                done[name] = "kept"
+                continue
+            sample(df, k, order).write.mode("overwrite").parquet(path)
+            done[name] = "written"
+        except Exception as error:  # reported to the caller, corpus by corpus
+            done[name] = error
+    return done
+
+
+def _exists(df: DataFrame, path: str) -> bool:
+    from corpusloom.operators.scoring import read_if_present
+
+    return read_if_present(df.sparkSession, path) is not None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +74,7 @@ class FilterSpec:
     rewrite: Callable[[dict, Columns], Columns] | None = None
     keep: Callable[[dict, Columns], Column] | None = None
     frame: Callable[[DataFrame, list[str], dict], DataFrame] | None = None
+    reason: Callable[[dict, Columns], Column] | None = None
 
     def __post_init__(self):
         bad = [p for p in self.params if not re.fullmatch(r"[A-Za-z_]\w*", p)]
@@ -128,6 +129,16 @@ class Registry:
 REGISTRY = Registry()
 
 
+def explain(name: str, registry: Registry = REGISTRY):
+    """Register the decorated function as what names the reason for which filter `name` drops a row."""
+
+    def put(f):
+        registry.add(replace(registry.get(name), reason=f))
+        return f
+
+    return put
+
+
 def define(name: str, kind: str, doc: str, role: str, **params: Param):
     """Register the decorated function as the `rewrite`, `keep` or `frame` of a filter."""
 

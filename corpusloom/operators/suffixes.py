@@ -2,17 +2,19 @@
 
 A run of `min_occurrences` lines or more with a common suffix loses it, and so do the lines after
 them while they end so. Within a run all neighbours share `min_length` characters at least; where
-two neighbours share fewer, no run crosses. These islands are found with window expressions, and
-only within an island of sufficient length is the order of decisions followed, on the lengths of
-the shared suffixes alone.
+two neighbours share fewer, no run crosses. Lines are dealt into ranges of their order, so no task has
+all of them; what a range needs of the ranges before it is its neighbour's last line and where the last
+such island began, a row for each range. Only within an island of sufficient length is the order of
+decisions followed, line after line as they stream through a task, on the lengths of the shared
+suffixes alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,47 +22,90 @@ from corpusloom.functions.text import common_suffix_length
 from corpusloom.operators.spec import MONOLINGUAL, Param, define
 
 
-def lengths_to_strip(shared: np.ndarray, lengths: np.ndarray, min_length: int, min_occurrences: int) -> np.ndarray:
-    """How many characters each line of an island loses. shared[i]: the common suffix of i - 1 and i."""
-    out = np.zeros(len(shared), np.int64)
-    start = 0
-    while start + min_occurrences <= len(shared):
-        end = start + min_occurrences
-        suffix = int(min(shared[start + 1 : end].min(initial=lengths[start]), lengths[start]))
-        if suffix < max(min_length, 1):
-            start += 1
-            continue
-        while end < len(shared) and shared[end] >= suffix:
-            end += 1
-        out[start:end] = suffix
-        start = end
-    return out
+class Island:
+    """Decides, line after line, how many characters each loses. At most `occurrences` lines are undecided."""
+
+    def __init__(self, min_length: int, occurrences: int):
+        self.least, self.occurrences = max(min_length, 1), occurrences
+        self.waiting: deque[tuple[int, int, int]] = deque()
+        self.run: int | None = None
+
+    def add(self, place: int, shared: int, length: int) -> list[tuple[int, int]]:
+        """The next line, and what it shares with the one before. Returns (place, characters) of the lines that this
+        decides and that lose any."""
+        if self.run is not None and shared >= self.run:
+            return [(place, self.run)]
+        self.run = None
+        self.waiting.append((place, shared, length))
+        if len(self.waiting) < self.occurrences:
+            return []
+        first, *others = self.waiting
+        suffix = min(first[2], *(line[1] for line in others))
+        if suffix < self.least:
+            self.waiting.popleft()
+            return []
+        self.run = suffix
+        found = [(line[0], suffix) for line in self.waiting]
+        self.waiting.clear()
+        return found
+
+
+def _settle(min_length: int, min_occurrences: int, keys: int):
+    """Rows (keys, order, island, length, shared), sorted, into (keys, order, suffix_length) of lines that lose any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, last, tail = Island(min_length, min_occurrences), None, None
+        for batch in batches:
+            # Lines that were undecided at the end of the batch before are still in `tail`.
+            table = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
+            skip = 0 if tail is None else len(tail)
+            waiting = [(k, shared, length) for k, (_, shared, length) in enumerate(island.waiting)]
+            island.waiting = deque(waiting)
+            names = [table.column(k).to_pylist() for k in (*range(keys), keys + 1, keys + 2, keys + 3)]
+            found: list[tuple[int, int]] = []
+            for place in range(skip, len(table)):
+                own = tuple(column[place] for column in names[: keys + 1])
+                if own != last:
+                    island, last = Island(min_length, min_occurrences), own
+                found += island.add(place, names[-1][place], names[-2][place])
+            kept = table.take(pa.array([p for p, _ in found], pa.int64())).select(range(keys + 1))
+            out = kept.append_column("suffix_length", pa.array([n for _, n in found], pa.int32()))
+            yield from out.combine_chunks().to_batches()
+            tail = table.take(pa.array([line[0] for line in island.waiting], pa.int64()))
+
+    return run
 
 
 def with_suffix_lengths(
     df: DataFrame, column: str, min_length: int = 4, min_occurrences: int = 10, order: str = "line_no", within: Sequence[str] = ()
 ) -> DataFrame:
     """`df` with suffix_length, the characters that each line of `column` loses. Lines follow each
-    other in `order`, in each group of `within` by themselves."""
+    other in `order`, in each group of `within` by themselves; together they tell all lines apart."""
     if min_occurrences < 2:
         raise ValueError("min_occurrences must be 2 or more")
-    lines = Window.partitionBy(*within).orderBy(order)
-    before = F.lag(column).over(lines)
-    shared = F.coalesce(common_suffix_length(before, F.col(column), max(min_length, 1)), F.lit(0))
-    marked = df.select(*within, order, F.length(column).alias("length"), shared.alias("shared"))
-    island = F.sum((F.col("shared") < max(min_length, 1)).cast("int")).over(lines)
-    marked = marked.withColumn("island", island)
+    within, least = list(within), max(min_length, 1)
+    ranged = df.select(*within, order, column).repartitionByRange(*within, order).withColumn("range", F.spark_partition_id())
+    lines = Window.partitionBy(*within, "range").orderBy(order)
+    ends = ranged.groupBy(*within, "range").agg(F.max_by(column, order).alias("last"))
+    ranges = Window.partitionBy(*within).orderBy("range")
+    ends = ends.withColumn("before", F.lag("last").over(ranges)).drop("last")
+    joined = ranged.join(ends, [*within, "range"])
+    before = F.coalesce(F.lag(column).over(lines), F.when(F.row_number().over(lines) == 1, F.col("before")))
+    shared = F.coalesce(common_suffix_length(before, F.col(column), least), F.lit(0))
+    marked = joined.select(*within, "range", order, F.length(column).alias("length"), shared.alias("shared"))
+    start = F.when(F.col("shared") < least, F.col(order))
+    earlier = marked.groupBy(*within, "range").agg(F.max(start).alias("start"))
+    earlier = earlier.withColumn("carried", F.max("start").over(ranges.rowsBetween(Window.unboundedPreceding, -1))).drop("start")
+    marked = marked.join(earlier, [*within, "range"])
+    island = F.coalesce(F.max(start).over(lines.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
+    marked = marked.select(*within, order, island.alias("island"), "length", "shared")
     keys = [*within, "island"]
-    size = F.count("*").over(Window.partitionBy(*keys))
-    candidates = marked.withColumn("size", size).where(F.col("size") >= min_occurrences).drop("size")
-
-    def strip(island: pd.DataFrame) -> pd.DataFrame:
-        island = island.sort_values(order)
-        found = lengths_to_strip(island["shared"].to_numpy(), island["length"].to_numpy(), min_length, min_occurrences)
-        return island[[*within, order]].assign(suffix_length=found.astype(np.int32))
+    long_enough = marked.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_occurrences).drop("n")
+    candidates = marked.join(long_enough, keys).repartition(*keys).sortWithinPartitions(*keys, order)
+    candidates = candidates.select(*within, order, "island", "length", F.col("shared").cast("int").alias("shared"))
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*within, order])
-    found = candidates.groupBy(*keys).applyInPandas(strip, f"{kinds}, suffix_length int")
+    found = candidates.mapInArrow(_settle(min_length, min_occurrences, len(within)), f"{kinds}, suffix_length int")
     joined = df.join(found, [*within, order], "left")
     return joined.withColumn("suffix_length", F.coalesce("suffix_length", F.lit(0)))
 

@@ -99,18 +99,22 @@ class Pipeline:
         return df
 
     def annotate(self, df: DataFrame, langs: Sequence[str]) -> DataFrame:
-        """All rows, with rejected_by (the step that drops the row, else null) and reject_step (its
-        number). Steps after that still rewrite. Steps that are neither rewrites nor conditions drop
-        their rows."""
+        """All rows, with rejected_by (the step that drops the row, else null), reject_step (its number) and
+        reject_reason (why, for filters that tell). Steps after that still rewrite. Steps that are neither
+        rewrites nor conditions drop their rows."""
         df = df.withColumn("rejected_by", F.lit(None).cast("string")).withColumn("reject_step", F.lit(None).cast("int"))
+        df = df.withColumn("reject_reason", F.lit(None).cast("string"))
         for k, step in enumerate(self.steps):
             df, keep = self._apply(df, step, langs)
             if keep is not None:
                 new = F.col("reject_step").isNull() & ~F.coalesce(keep, F.lit(False))
+                spec, chosen = self._parts(step, langs)
+                why = spec.reason(step.parameters, [F.col(c) for c in chosen]) if spec.reason is not None else F.lit(None).cast("string")
                 df = df.withColumn("__new", new).withColumns(
                     {
                         "rejected_by": F.when(F.col("__new"), step.filter).otherwise(F.col("rejected_by")),
                         "reject_step": F.when(F.col("__new"), k).otherwise(F.col("reject_step")),
+                        "reject_reason": F.when(F.col("__new"), why).otherwise(F.col("reject_reason")),
                     }
                 )
                 df = df.drop("__new")

@@ -120,3 +120,12 @@ def in_category(corpora: DataFrame, members: DataFrame, name: str = "name") -> D
 def recipe_json(steps: DataFrame) -> DataFrame:
     """Rows as compact JSON lines."""
     return steps.select(F.to_json(F.struct(*steps.columns)).alias("value"))
+
+
+def entry_of(corpora: DataFrame, entries: DataFrame, name: str = "name") -> DataFrame:
+    """Each corpus with the remote entry whose basename it has (the smallest id of several). A name that no entry
+    has is an error when the row is read."""
+    first = entries.groupBy("basename").agg(F.min_by(F.struct(*[c for c in entries.columns if c != "basename"]), "id").alias("entry"))
+    joined = corpora.join(first, F.col(name) == F.col("basename"), "left").drop("basename")
+    missing = F.raise_error(F.concat(F.lit("no entry for "), F.col(name)))
+    return joined.withColumn("entry", F.when(F.col("entry").isNull(), missing).otherwise(F.col("entry")))

@@ -178,6 +178,54 @@ def loop_suffixes(lines, min_length, min_occurrences):
     return out
 
 
+def test_suffixes_across_ranges_and_batches(spark):
+    """Long islands, several datasets, many ranges and small batches, against the loop."""
+    r = random.Random(11)
+    lines = {d: [r.choice("abc") + str(k % 7) * r.randint(0, 2) + r.choice((" the end", " the end", "the end", " other end", "")) * r.choice((1, 1, 1, 0)) for k in range(400)] for d in (0, 1, 2)}
+    lines[1] = [f"{k} same ending" for k in range(300)]
+    rows = [(d, 10_000 * d + 3 * k, t) for d, own in lines.items() for k, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "dataset long, line long, t string").repartition(5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("7", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = suffixes.strip_suffixes(df, ["t"], min_length=4, min_occurrences=3, order="line", within=("dataset",)).orderBy("line").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [x.t for x in got] == [t for d in lines for t in loop_suffixes(lines[d], 4, 3)]
+    plan = suffixes.with_suffix_lengths(df, "t", order="line")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan
+
+
+def test_reasons(spark):
+    rows = [("abc def", "abc"), ("  ", "abc"), ("123 4 abc", "abc"), ("a1111 b2222", "abc"), ("abc", "12 3")]
+    steps = [Step("alpha_ratio", {"LANG1": "en", "LANG2": "en"}), Step("num_mismatch", {"RATIO": 1.0})]
+    with pytest.warns(UserWarning):
+        recipe = Pipeline([*steps])
+    got = recipe.annotate(pairs(spark, [*rows, ("five 5 or so many words", "six 6 or so many words")]), ["src", "trg"]).orderBy("line_no").collect()
+    assert [r.reject_reason for r in got] == [None, "EMPTY_SRC", "RATIO_WORDS_SRC", "RATIO_ALPHA_SRC", "RATIO_WORDS_TRG", "5 | 6"]
+    assert [r.reject_step for r in got] == [None, 0, 0, 0, 0, 1]
+
+
+def test_samples_of_all_corpora(spark, tmp_path):
+    good = spark.range(100).withColumnRenamed("id", "line_no")
+    bad = good.withColumn("x", F.raise_error(F.lit("broken")).cast("string"))
+    got = sampling.sample_all({"a": good, "b": bad, "c": good}, str(tmp_path), 5)
+    assert (got["a"], got["c"]) == ("written", "written") and isinstance(got["b"], Exception)
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 15
+    assert sampling.sample_all({"a": good}, str(tmp_path), 5) == {"a": "kept"}
+    assert sampling.sample_all({"a": good}, str(tmp_path), 2, force=True) == {"a": "written"}
+
+
+def test_entries_of_corpora(spark):
+    entries = spark.createDataFrame([(2, "web-v1.de-en", 5), (1, "web-v1.de-en", 6), (3, "x", 7)], "id long, basename string, size long")
+    names = spark.createDataFrame([("web-v1.de-en",)], "name string")
+    assert [(r.name, r.entry.id, r.entry.size) for r in catalog.entry_of(names, entries).collect()] == [("web-v1.de-en", 1, 6)]
+    with pytest.raises(Exception, match="no entry for y"):
+        catalog.entry_of(spark.createDataFrame([("y",)], "name string"), entries).collect()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffixes(spark, seed):
     r = random.Random(seed)
