@@ -1,14 +1,14 @@
-"""What a step has changed, by line number; and differences within a text."""
+"""What a step has changed, by line number or by content; and differences within a text."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import common_suffix_length
+
 
 def diff_rows(before: DataFrame, after: DataFrame, columns: Sequence[str], order: str = "line_no") -> DataFrame:
     """Rows (line_no, status, before, after): identical, changed, removed or added. Lines are matched by
@@ -32,31 +32,52 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("status").agg(F.count("*").alias("n"))
 
 
-SPANS = "array<struct<kind: string, text: string>>"
+def diff_by_content(before: DataFrame, after: DataFrame, columns: Sequence[str], order: str = "line_no") -> DataFrame:
+    """Rows (status, before_no, after_no, before, after), matched by content, wherever they are: equal rows are
+    identical, each matched once, in order; of the others, those with an equal column (the first of `columns` that
+    matches) are changed; the rest is removed or added. Rows are matched by joins on content and the number of
+    equal rows before, so no frame is held in one task."""
+    value = F.struct(*columns)
+    a = before.select(F.col(order).alias("before_no"), value.alias("before"))
+    b = after.select(F.col(order).alias("after_no"), value.alias("after"))
+    matched = None
+    for how, keys in (("identical", None), *(("changed", c) for c in columns)):
+        key_a, key_b = ("before", "after") if keys is None else (f"before.{keys}", f"after.{keys}")
+        left = a.withColumn("key", F.col(key_a)).withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("before_no")))
+        right = b.withColumn("key", F.col(key_b)).withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("after_no")))
+        found = left.join(right, ["key", "turn"]).select(F.lit(how).alias("status"), "before_no", "after_no", "before", "after")
+        matched = found if matched is None else matched.unionByName(found)
+        a = a.join(found.select("before_no"), "before_no", "left_anti")
+        b = b.join(found.select("after_no"), "after_no", "left_anti")
+    none = F.lit(None)
+    removed = a.select(F.lit("removed").alias("status"), "before_no", none.cast(b.schema["after_no"].dataType).alias("after_no"), "before",
+                       none.cast(b.schema["after"].dataType).alias("after"))
+    added = b.select(F.lit("added").alias("status"), none.cast(a.schema["before_no"].dataType).alias("before_no"), "after_no",
+                     none.cast(a.schema["before"].dataType).alias("before"), "after")
+    return matched.unionByName(removed).unionByName(added)
 
 
 def inline_diff(before: Column, after: Column, most: float = 0.5) -> Column:
-    """Spans (equal, delete, insert) that turn one text into the other; null where more than `most` of
-    the longer text differs."""
-
-    @F.pandas_udf(SPANS)
-    def spans(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None):
-            if x is None or y is None:
-                return None
-            out, changed = [], 0
-            for kind, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                if kind == "equal":
-                    out.append({"kind": "equal", "text": x[i:j]})
-                    continue
-                changed += max(j - i, m - k)
-                out += [{"kind": "delete", "text": x[i:j]}] if j > i else []
-                out += [{"kind": "insert", "text": y[k:m]}] if m > k else []
-            return out if changed <= most * max(len(x), len(y), 1) else None
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-    return spans(before, after)
+    """Spans (equal, delete, insert) that turn one text into the other: what they begin with, what differs, and what
+    they end with. Null where more than `most` of the longer text differs, or where one is null."""
+    def chars(c: Column) -> Column:
+        return F.split(c, "(?s)(?<=.)(?=.)")
+
+    same = F.zip_with(chars(before), chars(after), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    shorter = F.least(F.length(before), F.length(after))
+    prefix = F.when(shorter == 0, 0).when(first == 0, shorter).otherwise(first - 1).cast("int")
+
+    def spans(p: Column) -> Column:
+        x, y = F.substring(before, p + 1, F.length(before)), F.substring(after, p + 1, F.length(after))
+        suffix = common_suffix_length(x, y)
+        gone, new = F.left(x, F.length(x) - suffix), F.left(y, F.length(y) - suffix)
+        parts = (("equal", F.left(before, p)), ("delete", gone), ("insert", new), ("equal", F.right(x, suffix)))
+        found = F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("text")) for kind, c in parts])
+        changed, longer = F.greatest(F.length(gone), F.length(new)), F.greatest(F.length(before), F.length(after), F.lit(1))
+        return F.when(changed <= F.lit(most) * longer, F.filter(found, lambda s: s["text"] != ""))
+
+    return F.when(before.isNotNull() & after.isNotNull(), F.element_at(F.transform(F.array(prefix), spans), 1))
 
 
 def visible_spaces(c: Column) -> Column:

@@ -8,6 +8,7 @@ with column expressions: a text is split at its matches and joined again with th
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -23,6 +24,21 @@ RULES = (
 EMOJI = r"[\x{1F000}-\x{1FAFF}☀-➿]"
 
 
+def options(config: str) -> dict:
+    """Options of `encode` from a configuration in YAML or JSON: regexes, placeholder-symbol, num-placeholders; keys
+    that lack have their defaults, others are ignored. Groups in the regexes do not matter."""
+    try:
+        import yaml
+
+        data = yaml.safe_load(config) or {}
+    except ImportError:
+        data = json.loads(config or "{}")
+    if not isinstance(data, dict):
+        raise ValueError("a mapping is needed")
+    names = (("regexes", "rules"), ("placeholder-symbol", "symbol"), ("num-placeholders", "n"))
+    return {ours: data[theirs] for theirs, ours in names if theirs in data}
+
+
 def vocabulary(symbol: str = "@", n: int = 20) -> list[str]:
     """The placeholders: the number before the symbol's last character."""
     return [f"{symbol[:-1]}{i}{symbol[-1]}" for i in range(n)]

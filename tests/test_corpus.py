@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom import cli
 from corpusloom.functions.vectors import cosine
 from corpusloom.operators import dedup, diff, placeholders, sampling, scoring, suffixes
+from corpusloom.plans.bridge import Filter, Preprocessor
 from corpusloom.plans.pipeline import Pipeline, Step
 from corpusloom.sources import catalog, corpus
 from corpusloom.streaming import clean
@@ -269,6 +270,52 @@ def test_differences(spark):
     assert before.select(diff.visible_spaces(F.lit("a b c")).alias("s")).first().s == "a·b␣c"
 
 
+def test_rows_matched_by_content(spark):
+    before = pairs(spark, [("a", "b"), ("a", "b"), ("c", "d"), ("e", "f"), ("g", "h"), ("i", "j")])
+    after = pairs(spark, [("e", "f"), ("a", "b"), ("c", "X"), ("Y", "h"), ("new", "row")])
+    got = diff.diff_by_content(before, after, ["src", "trg"]).collect()
+    found = sorted((r.status, -1 if r.before_no is None else r.before_no, -1 if r.after_no is None else r.after_no) for r in got)
+    assert found == [("added", -1, 4), ("changed", 2, 2), ("changed", 4, 3), ("identical", 0, 1), ("identical", 3, 0), ("removed", 1, -1), ("removed", 5, -1)]
+
+
+def test_inline_differences(spark):
+    cases = [("same", "same"), ("", ""), ("", "x"), ("abc", "abxc"), ("aXa", "aa"), ("über 😀 x", "über 😀😀 x"), (None, "a"), ("one two", "one 2wo")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a string, b string")
+    for r in df.select("*", diff.inline_diff(F.col("a"), F.col("b")).alias("s")).collect():
+        if r.a is None or (r.a, r.b) == ("", "x"):
+            assert r.s is None
+            continue
+        assert "".join(s.text for s in r.s if s.kind != "insert") == r.a and "".join(s.text for s in r.s if s.kind != "delete") == r.b
+        assert all(s.text for s in r.s) and [s.kind for s in r.s] == ([] if not r.a else ["equal"] if r.a == r.b else [s.kind for s in r.s])
+
+
+def test_filters_as_objects(spark):
+    df = pairs(spark, [("a b", "c d"), ("a", "b c d e")])
+    one = Filter("max_length", MAXLENGTH=3)
+    assert [r.score for r in one.score(df, ["src", "trg"]).orderBy("line_no").collect()] == [1.0, 0.0]
+    assert one.filter(df, ["src", "trg"]).collect() == one.decisions(df, ["src", "trg"]).where("accepted").drop("accepted").collect()
+    assert [r.src for r in Preprocessor("opus.WhitespaceNormalizer").process(pairs(spark, [(" a  b", "c")]), ["src", "trg"]).collect()] == ["a b"]
+    with pytest.raises(ValueError):
+        Filter("opus.WhitespaceNormalizer")
+    with pytest.raises(ValueError):
+        Preprocessor("max_length")
+
+
+def test_placeholder_configuration(spark):
+    config = """
+placeholder-symbol: "P"
+num-placeholders: 3
+vocab: "ignored"
+regexes:
+  - (x+)
+"""
+    found = placeholders.options(config)
+    assert found == {"symbol": "P", "n": 3, "rules": ["(x+)"]}
+    got = placeholders.encode(spark.createDataFrame([(0, "axxb x")], "line_no long, t string"), ["t"], **found).first()
+    assert sorted(got.mapping.values()) == ["x", "xx"] and set(got.mapping) <= {"0P", "1P", "2P"}
+    assert placeholders.options("") == {}
+
+
 TEXTS = [
     "hello firstname.secondname@domain.com,", "go to www.google.com/,", "then to https://www.google.com/,",
     "twice https://www.google.com/ https://www.google.com/", "this looks like one: 3@ and 13@", "plain", "",
