@@ -71,6 +71,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of operator 1, source by source."""
+    plan = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return plan.sources.select("source", F.col("source_size").cast("long").alias("source_size"), F.round("target", 3).alias("target"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 5 reads from each url, and the listed rule that fits."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of operator 10 and its base rules."""
+    found = quality_rules.statistics(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,6 +99,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "mix_targets": mix_targets,
+    "url_rules": url_rules,
+    "quality_statistics": quality_statistics,
 }
 
 OP2_SQL = r"""
@@ -137,4 +157,62 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM texts t LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL}
+TARGETS_SQL = r"""
+WITH sizes AS (
+    SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source
+), weighted AS (
+    SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight FROM sizes
+), capped AS (
+    SELECT *, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS everything, sum(weight) OVER () AS weights,
+           coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0) AS full_before, coalesce(sum(weight) OVER before, 0) AS weight_before
+    FROM weighted WINDOW before AS (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), leveled AS (
+    SELECT *, (everything - full_before) / (weights - weight_before) AS level FROM capped
+), settled AS (
+    SELECT *, max(CASE WHEN most / weight > level THEN level END) OVER () AS final FROM leveled
+)
+SELECT source, source_size, round(least(most, coalesce(final * weight, most)), 3) AS target FROM settled
+"""
+
+URLS_SQL = r"""
+WITH parts AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+)
+SELECT page_id, host, path,
+    CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+         WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+FROM parts
+"""
+
+STATISTICS_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM texts)
+), repeated AS (
+    SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, s) > 1
+), covered AS (
+    SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, unnest(range(5)) AS k FROM repeated) GROUP BY r
+), lines AS (
+    SELECT r, count(*) - count(DISTINCT line) AS n
+    FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), counts AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    FROM texts LEFT JOIN lines l USING (r) LEFT JOIN covered c USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_decontaminate": OP3_SQL,
+    "mix_targets": TARGETS_SQL,
+    "url_rules": URLS_SQL,
+    "quality_statistics": STATISTICS_SQL,
+}

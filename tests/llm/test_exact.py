@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, mixing, quality_rules, sharding, simhash, substring_dedup, url_filter
+from corpusloom.llm import decontamination, mixing, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 2**63
@@ -609,6 +609,40 @@ def test_rules_without_labels(spark, docs, no_docs, rows):
     assert quality_rules.judge(no_docs, none)[0].count() == 0
 
 
+def test_tables_with_clashing_columns(spark, docs, rows):
+    """Labels and a benchmark that have columns of the same names as what the operators add; labels that repeat."""
+    more = "id long, text string, label int, label_id long, turn long, kept string, row_key long, item long, n_words long"
+    labels = [(k, k % 2, k % 2, *[7, "t", 1, 2, 3, "x", 4, 5, 6]) for k in (*range(1, 40), 3, 3, 1000)]
+    marked = spark.createDataFrame(labels, f"doc_id long, quality int, toxic int, {more}")
+    judged, _ = quality_rules.judge(docs, marked)
+    assert judged.count() == len(rows) and judged.where("kept is null").count() == 0
+    assert toxicity.detect(docs, marked).count() == len(rows)
+    items = [(1, rows[0][1], *[7, 1, 2, 3, "x", 4, 5, 6]), (None, None, *[None] * 8)]
+    items = spark.createDataFrame(items, "item_id long, text string, id long, label int, label_id long, turn long, kept string, row_key long, item long, n_words long")
+    found = decontamination.find_contamination(docs, items)
+    assert found.count() == len(rows) and found.where("size(hits) > 0").count() >= 2
+
+
+@pytest.mark.parametrize("name", ["mix_targets", "url_rules", "quality_statistics"])
+def test_parts_in_sql(spark, name):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from corpusloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    connection = duckdb.connect()
+    for file in os.listdir(folder):
+        connection.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{file}'")
+    got, want = queries.QUERIES[name](spark, folder).toPandas(), connection.sql(queries.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and len(got) > 0
+    a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
+    assert a.equals(b)
+
+
 def test_crc32_is_unsigned(spark):
     from corpusloom.llm.common import crc32_of
 
