@@ -182,6 +182,9 @@ def mix_sources(
     )
 
     slots = settled(drawn_slots(sources, shard_slots, seed), sources)
+    # As many tasks as there are partitions: a slot has few bytes, but its permutation takes time.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots.repartition(tasks, "shard", "position")
     slots = slots.withColumn("round", F.expr("turn div blocks"))
     block = permute(F.col("turn") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "sid", "round"))
     short = F.col("rest") - (F.col("partial") - 1) * block_words
