@@ -64,14 +64,15 @@ def repeated_words(words: Column) -> Column:
         )
         return step["n"]
 
-    def count(w: Column) -> Column:
+    def count(h: Column) -> Column:
         windows = F.transform(
-            F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
+            F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
         )
         some = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(covered(places(h))))
-        return F.when(F.size(w) < WINDOW, zero).otherwise(some)
+        return F.when(F.size(h) < WINDOW, zero).otherwise(some)
 
-    return let(words, count)
+    # Each word is hashed once; windows are hashes of hashes.
+    return let(F.transform(words, lambda w: F.xxhash64(w)), count)
 
 
 def _dropping(text: Column, characters: str) -> Column:
