@@ -176,7 +176,7 @@ def mix_sources(
     copies = Window.partitionBy("source", "run", "row_key").orderBy("doc_id", "size")
     placed = sized.withColumn("inside", inside).withColumn("copy", F.row_number().over(copies)).alias("d")
     same = F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.run") == F.col("t.run"))
-    documents = placed.join(starts.alias("t"), same).select(
+    documents = placed.join(starts.alias("t").hint("merge"), same).select(
         "doc_id", "d.source", "sid", "row_key", "copy", "size", "source_size", "target",
         (F.col("run_start") + F.col("inside")).alias("start"),
     )
@@ -227,7 +227,7 @@ def settled(slots: DataFrame, sources: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("sid", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("inside", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(runs, ["sid", "run"])
     before = before.select("sid", "shard", (F.col("run_before") + F.col("inside")).alias("before"))
-    placed = slots.join(before, ["sid", "shard"]).withColumn("turn", F.col("before") + F.col("rank")).drop("before", "rank")
+    placed = slots.join(before.hint("merge"), ["sid", "shard"]).withColumn("turn", F.col("before") + F.col("rank")).drop("before", "rank")
 
     # What each source has drawn too much or too little, laid end to end.
     drawn = counts.groupBy("sid").agg(F.sum("n").alias("drawn"))
@@ -240,7 +240,7 @@ def settled(slots: DataFrame, sources: DataFrame) -> DataFrame:
     surplus = placed.where("turn >= slots").select("sid", "shard", "position", "turn").join(every.select("sid", "slots", "over"), "sid")
     surplus = surplus.select("shard", "position", (F.col("over") + F.col("turn") - F.col("slots")).alias("at"))
     names = ["shard", "position", *OF_SOURCE, "turn"]
-    return placed.where("turn < slots").select(names).union(surplus.join(free, "at").select(names))
+    return placed.where("turn < slots").select(names).union(surplus.join(free.hint("merge"), "at").select(names))
 
 
 def mixed_documents(docs: DataFrame, place: bool = False, **options) -> DataFrame:
@@ -264,7 +264,7 @@ def mixed_documents(docs: DataFrame, place: bool = False, **options) -> DataFram
         return F.array_join(F.flatten(pieces), " ")
 
     text = F.when(total == F.col("__size"), F.col("text")).otherwise(let(words, cut_out))
-    joined = keyed.join(spans, ["__key", "__copy"]).withColumn("text", text)
+    joined = keyed.join(spans.hint("merge"), ["__key", "__copy"]).withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     more = [F.col("__shard").alias("mix_shard"), F.col("__position").alias("mix_position")] if place else []
