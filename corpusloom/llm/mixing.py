@@ -189,7 +189,9 @@ def mix_sources(
     block = permute(F.col("turn") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "sid", "round"))
     short = F.col("rest") - (F.col("partial") - 1) * block_words
     last = (F.col("partial") > 0) & (F.col("turn") == F.col("slots") - 1)
-    slots = slots.select("sid", "shard", "position", "round", block.alias("block"), F.when(last, short).alias("words"))
+    # Never null, and said so: a join would otherwise ask, and permute twice.
+    block = F.coalesce(block, F.lit(-1).cast("long")).alias("block")
+    slots = slots.select("sid", "shard", "position", "round", block, F.when(last, short).alias("words"))
     return Mix(sources, documents, slots, block_words)
 
 
