@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, langid, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filter
+from corpusloom.llm import decontamination, langid, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filter, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; the same on all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return plan.taken().select("doc_id", "source", "size", "source_size", "target", "taken", "first_shard")
@@ -71,6 +78,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    encoded = word_bpe.encode_words(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), stable=True)
+    return word_bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets of operator 1, source by source."""
     plan = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -99,6 +111,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_word_bpe": op11_word_bpe,
     "mix_targets": mix_targets,
     "url_rules": url_rules,
     "quality_statistics": quality_statistics,

@@ -23,7 +23,8 @@ def folder(spark, tmp_path_factory):
     rows.append((201, "too short", "en", "s1", 1))
     rows.append((202, None, None, None, None))
     leak = "this is a passage of the benchmark that nobody should train on at all"
-    rows.append((203, rows[1][1] + " " + leak, "en", None, 1))
+    own = " ".join(f"w{r.randrange(5000)}" for _ in range(60))
+    rows.append((203, own + " " + leak, "en", None, 1))
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -86,5 +87,5 @@ def test_stages_take_empty_tables(spark, folder):
 def test_registration():
     entry = importlib.import_module("__spark_entry__")
     found = entry.queries()
-    assert {n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in found and set(queries.ORACLES) <= set(found)
