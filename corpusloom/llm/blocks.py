@@ -14,12 +14,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes of a block; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 
 REQUEST = "bucket int, block string, keys binary"
 ANSWER = "block string, bucket int, found binary"
@@ -71,18 +72,21 @@ def gather(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
     held, texts, size, n = [], [], 0, 0
     where = TaskContext.get().partitionId()
     for batch in batches:
-        rest = batch.select(range(batch.num_columns - 1))
-        values = batch.column(batch.num_columns - 1).to_pylist()
+        rest, values = batch.select(range(batch.num_columns - 1)), batch.column(batch.num_columns - 1)
+        ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
-        for k, value in enumerate(values):
-            value = value or ""
-            if texts and size + 2 * len(value) > 2 * most:
-                held.append(rest.slice(start, k - start))
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = int(np.searchsorted(ends, before + most - size, side="right"))
+            if end > start or not texts:
+                end = max(end, start + 1)
+                held.append(rest.slice(start, end - start))
+                texts += [t or "" for t in values.slice(start, end - start).to_pylist()]
+                size += int(ends[end - 1] - before)
+                start = end
+            if start < batch.num_rows:
                 yield f"{where}.{n}", pa.Table.from_batches(held), texts
-                held, texts, size, n, start = [], [], 0, n + 1, k
-            texts.append(value)
-            size += 2 * len(value)
-        held.append(rest.slice(start))
+                held, texts, size, n = [], [], 0, n + 1
     if texts:
         yield f"{where}.{n}", pa.Table.from_batches(held), texts
 

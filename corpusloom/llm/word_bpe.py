@@ -262,8 +262,8 @@ def encode_words(
             raise RuntimeError("a block lacks answers; call with stable=False")
         counts, numbers = unpack(block.column("counts")[0].as_py(), np.int64), unpack(block.column("numbers")[0].as_py(), np.uint32)
         sizes = lengths[numbers]
-        flat = ids[ragged((np.cumsum(lengths) - lengths)[numbers], sizes)].astype(np.int32)
         n_tokens = sums(sizes, counts)
+        flat = ids.astype(np.int32)[ragged((np.cumsum(lengths) - lengths)[numbers], sizes)]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)), pa.array(flat))
         rest = unpack_rows(block.column("rest")[0].as_py())
         columns = [*rest.columns, pa.array(n_tokens), lists, tokens.decode(flat, n_tokens)]
