@@ -122,3 +122,33 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
+
+
+def totals_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their values."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(values, first)
+
+
+def pack_all(*columns: np.ndarray) -> bytes:
+    """Several columns of longs, one after the other."""
+    parts = [pack(c.astype(np.int64)) for c in columns]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    found, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        found.append(unpack(data[at + 8 : at + 8 + size], np.int64))
+        at += 8 + size
+    return found
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

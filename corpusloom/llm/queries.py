@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, langid, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filter, word_bpe
+from corpusloom.llm import alignment, decontamination, divergence, langid, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, toxicity, url_filter, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,16 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return word_bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), a or vocabulary("byte_bpe_50k.json"), b or vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"), "n_overlaps")
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets of operator 1, source by source."""
     plan = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -112,6 +122,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
     "op11_word_bpe": op11_word_bpe,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_alignment": op13_token_alignment,
     "mix_targets": mix_targets,
     "url_rules": url_rules,
     "quality_statistics": quality_statistics,
@@ -170,6 +182,45 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM texts t LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH docs AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM documents
+), occurring AS (
+    SELECT lang, source, r, unnest(w) AS term FROM docs
+), kept AS (
+    SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM occurring JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL
+), cells AS (
+    SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (t.total + v) AS p
+    FROM totals t JOIN kept k ON t.lang = k.lang JOIN sizes s ON t.lang = s.lang
+    LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), whole AS (
+    SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (any_value(total) + any_value(v)) AS q
+    FROM counts JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM totals GROUP BY lang) USING (lang) JOIN sizes USING (lang) GROUP BY lang, term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN cells x ON x.lang = a.lang AND x.source = a.source LEFT JOIN cells y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    GROUP BY ALL
+), terms AS (
+    SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 TARGETS_SQL = r"""
 WITH sizes AS (
     SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source
@@ -225,6 +276,7 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FRO
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op12_source_divergence": OP12_SQL,
     "mix_targets": TARGETS_SQL,
     "url_rules": URLS_SQL,
     "quality_statistics": STATISTICS_SQL,

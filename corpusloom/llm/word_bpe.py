@@ -41,7 +41,7 @@ REMEMBERED = 2_000_000
 
 SPACE, LETTER, NUMBER, SYMBOL = range(4)
 #: What the array splitter takes: normal forms, lower case and classes of these are settled.
-OTHER_TEXT = re.compile("[^\x00-įı-ſ‐-‧€]")
+OTHER_TEXT = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027\u20ac]")
 
 # The normalizer and splitter that the array splitter stands for.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
