@@ -3,35 +3,62 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str methods see it: Unicode white space and U+001C to U+001F.
-WS = r"(?U)[\s\x1c-\x1f]+"
+#: White space as Python's str methods see it: Unicode white space and U+001C to U+001F. As characters, and all but the space as a class.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+OTHER_BLANK = r"\x09-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[ {OTHER_BLANK}]+"
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$(?![\n\r\x85\u2028\u2029])", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once per row, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.btrim(F.regexp_replace(text, WS, " "), F.lit(" "))
+    """Runs of white space become one space; none at the ends. Texts that are so already, nearly all, are only looked at."""
+
+    def collapsed(t: Column) -> Column:
+        space = F.lit(" ")
+        other = F.contains(t, F.lit("  ")) | F.startswith(t, space) | F.endswith(t, space) | t.rlike(f"[{OTHER_BLANK}]")
+        return F.when(other, F.btrim(F.regexp_replace(t, WS, " "), space)).otherwise(t)
+
+    return let(text, collapsed)
+
+
+def words_of(plain: Column) -> Column:
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
+def n_words_of(plain: Column) -> Column:
+    return F.when(plain == "", 0).otherwise(n_dropped(plain, F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def tokens(text: Column) -> Column:
     """The words between white space."""
-    return F.filter(F.split(text, WS), lambda t: t != "")
+    return let(collapse(text), words_of)
 
 
 def n_tokens(text: Column) -> Column:
-    return F.size(tokens(text)).cast("long")
+    """The number of words. Spaces are counted; no list of words is made."""
+    return let(collapse(text), n_words_of)
+
+
+def n_dropped(text: Column, rest: Column) -> Column:
+    return F.length(text) - F.length(rest)
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return strip(text) == ""
 
 
 def last(text: Column, n: int = 1, before: int = 0) -> Column:

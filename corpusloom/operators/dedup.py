@@ -20,7 +20,7 @@ from corpusloom.operators.spec import BILINGUAL, Param, define
 
 def plain_key(c: Column) -> Column:
     """Lower case, letters only."""
-    return F.regexp_replace(F.lower(c), r"\P{L}", "")
+    return F.regexp_replace(F.lower(c), r"\P{L}+", "")
 
 
 def latin_key(c: Column) -> Column:
@@ -34,6 +34,12 @@ def latin_key(c: Column) -> Column:
     return plain_key(F.coalesce(bare(F.when(c.rlike(r"[^\x00-\x7f]"), special)), c))
 
 
+def named(key: Column) -> Column:
+    """128 bits that stand for a key, in shuffles and in stored tables: two hashes with seeds of their own. A null key, whatever its
+    column, is null."""
+    return text.let(key, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("high"), F.xxhash64(F.lit(1), k).alias("low"))))
+
+
 KEYS = {"exact": lambda c: c, "plain": plain_key, "latin": latin_key}
 
 
@@ -45,8 +51,8 @@ def with_keys(df: DataFrame, columns: Sequence[str], key: str = "exact") -> Data
 def keep_first(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ("line_no",), key: str = "exact") -> DataFrame:
     """Rows in which the key of every one of `columns` occurs for the first time in `order`. A row that
     is dropped for one column still counts as the first for the others. `order` must tell all rows
-    apart."""
-    keys = F.array(*[F.struct(F.lit(k).alias("column"), KEYS[key](F.col(c)).alias("key")) for k, c in enumerate(columns)])
+    apart. Keys are shuffled by their names, 128 bits."""
+    keys = F.array(*[F.struct(F.lit(k).alias("column"), named(KEYS[key](F.col(c))).alias("key")) for k, c in enumerate(columns)])
     keyed = df.select(F.struct(*order).alias("order"), F.explode(keys).alias("k"))
     firsts = keyed.groupBy("k").agg(F.min("order").alias("order"))
     everywhere = firsts.groupBy("order").count().where(F.col("count") == len(columns)).select("order.*")
@@ -55,17 +61,17 @@ def keep_first(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ("l
 
 def drop_known(df: DataFrame, seen: DataFrame, columns: Sequence[str], key: str = "exact") -> DataFrame:
     """Rows none of whose keys are in `seen`, a table of (column, key) from `known_keys`."""
-    out = with_keys(df, columns, key)
+    out = df
     for c in columns:
-        own = seen.where(F.col("column") == c).select(F.col("key").alias(f"{c}_key"))
-        out = out.join(own, f"{c}_key", "left_anti")
-    return out.select(*df.columns)
+        own = seen.where((F.col("column") == c) & F.col("key").isNotNull()).select(F.col("key").alias("__known"))
+        out = out.join(own, named(KEYS[key](out[c])) == own["__known"], "left_anti")
+    return out
 
 
 def known_keys(df: DataFrame, columns: Sequence[str], key: str = "exact") -> DataFrame:
-    """The distinct keys of each column, to be stored for later runs."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_key").alias("key")) for c in columns])
-    return with_keys(df, columns, key).select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    """The distinct keys of each column by their names, to be stored for later runs."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), named(KEYS[key](F.col(c))).alias("key")) for c in columns])
+    return df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 
 def dedup_files(files: Sequence[DataFrame], columns: Sequence[str], key: str = "plain") -> DataFrame:

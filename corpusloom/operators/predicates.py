@@ -20,7 +20,7 @@ def every(conditions) -> Column:
 
 @define("max_length", BILINGUAL, "Keep rows whose number of words is in a range.", "keep", MAXLENGTH=Param("int", 150), MINLENGTH=Param("int", 1))
 def max_length(p, columns):
-    return every(text.n_tokens(c).between(p["MINLENGTH"], p["MAXLENGTH"]) for c in columns[-2:])
+    return every(text.let(text.n_tokens(c), lambda n: n.between(p["MINLENGTH"], p["MAXLENGTH"])) for c in columns[-2:])
 
 
 @define("max_word_length", BILINGUAL, "Drop rows with a longer word (between single spaces).", "keep", MAXWORDLENGTH=Param("int", 150))
@@ -37,12 +37,16 @@ def src_trg_ratio(p, columns):
     that differ in case at most."""
     if len(columns) != 2:
         return F.lit(False)
-    a, b = (text.n_tokens(c).cast("double") for c in columns)
-    if p["LOG"]:
-        keep = F.try_divide(F.log10(F.least(a, b) + 1), F.log10(F.greatest(a, b) + 1)) >= p["RATIO"]
-    else:
-        keep = F.try_divide(a, b).between(p["RATIO"], 1 / p["RATIO"])
-    keep = F.coalesce(keep, F.lit(False))
+
+
+    def alike(n: Column) -> Column:
+        a, b = n["a"], n["b"]
+        if p["LOG"]:
+            return F.try_divide(F.log10(F.least(a, b) + 1), F.log10(F.greatest(a, b) + 1)) >= p["RATIO"]
+        return text.let(F.try_divide(a, b), lambda r: r.between(p["RATIO"], 1 / p["RATIO"]))
+
+    numbers = F.struct(*[text.n_tokens(c).cast("double").alias(name) for c, name in zip(columns, "ab", strict=True)])
+    keep = F.coalesce(text.let(numbers, alike), F.lit(False))
     return keep & (F.lower(columns[0]) != F.lower(columns[1])) if p["IDENTICAL"] else keep
 
 
@@ -62,13 +66,15 @@ def composed(c: Column) -> Column:
 
 
 def in_alphabet(c: Column, letters: str, words: float, characters: float) -> Column:
-    """Enough words begin with a letter, and enough characters are letters."""
-    pattern = f"(?iu){letters}"
-    found = text.tokens(c)
-    starts = F.size(F.filter(found, lambda t: t.rlike(f"(?iu)^{letters}")))
-    n = F.length(F.replace(c, F.lit(" "), F.lit("")))
-    enough = F.try_divide(starts, F.size(found)) >= words
-    return F.coalesce(enough & (F.try_divide(F.regexp_count(c, F.lit(pattern)), n) >= characters), F.lit(False))
+    """Enough words begin with a letter, and enough characters are letters. Both are counted by what is left without them."""
+    enough = F.try_divide(text.n_dropped(c, F.regexp_replace(c, f"(?iu){letters}+", "")), F.length(F.replace(c, F.lit(" "), F.lit("")))) >= characters
+
+    def begins(plain: Column) -> Column:
+        spaced = F.concat(F.lit(" "), plain)
+        starts = text.n_dropped(spaced, F.regexp_replace(spaced, f"(?iu) {letters}", "")) / 2
+        return F.try_divide(starts, text.n_words_of(plain)) >= words
+
+    return F.coalesce(enough & text.let(text.collapse(c), begins), F.lit(False))
 
 
 @define(
@@ -85,7 +91,7 @@ def alpha_ratio(p, columns):
         own = p.get(language.replace("LANG", "ALPHABET"))
         letters = alphabet(p[language], {p[language]: own} if own else None)
         if letters:
-            keep = keep & in_alphabet(composed(text.strip(c)), letters, p[words], p[characters])
+            keep = keep & text.let(composed(text.strip(c)), lambda x: in_alphabet(x, letters, p[words], p[characters]))  # noqa: B023
     return keep
 
 

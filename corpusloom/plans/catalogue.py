@@ -285,15 +285,14 @@ def numbers_unsigned(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", "line_no", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("numbers"))
 
 
-_URL = entities.URL.removeprefix("(?Ui)").replace("'", "''")
+#: Addresses as the pages have them: names under known endings, with a protocol or without, and what follows up to a letter or digit.
+_URL = r"(?i)(?:\w+://)?(?:(?:[\w-]+[.])+[a-z]{2,}\b|\d+[.]\d+[.]\d+[.]\d+)(?:[/?#][\w.~%&=/?#-]*\w)?"
 
 
-@register("urls", f"SELECT page_id, array_to_string(regexp_extract_all(html, '{_URL}', 0, 'i'), ' ') AS urls, len(regexp_extract_all(url, '{_URL}', 0, 'i'))::BIGINT AS n FROM pages", lines=False)
+@register("urls", f"SELECT page_id, array_to_string(regexp_extract_all(html, '{_URL}'), ' ') AS urls, len(regexp_extract_all(url, '{_URL}'))::BIGINT AS n FROM pages", lines=False)
 def urls(spark, sf_dir):
-    every = F.regexp_extract_all("html", F.lit(entities.URL), F.lit(0))
-    n = F.size(F.regexp_extract_all("url", F.lit(entities.URL), F.lit(0))).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(every, " ").alias("urls"), n.alias("n"))
-
+    n = F.size(entities.addresses(F.col("url"))).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(entities.addresses(F.col("html")), " ").alias("urls"), n.alias("n"))
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,14 +303,9 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", src.alias("src"), trg.alias("trg"))
 
 
-def _q(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
 def urls_sql(c: str) -> str:
-    bare = f"regexp_replace(regexp_replace(u, '(?i)^{_q(entities.SCHEME)}', ''), '(?i)^{_q(entities.USER)}', '')"
-    host = f"regexp_extract({bare}, '(?i)^(?:{_q(entities.NAME)}|{_q(entities.ADDRESS)})', 0)"
-    return f"list_filter(regexp_extract_all({c}, '{_URL}', 0, 'i'), lambda u: NOT regexp_matches({host}, '[a-z0-9][.][A-Z]'))"
+    host = r"split_part(regexp_replace(u, '^\w+://', ''), '/', 1)"
+    return f"list_filter(regexp_extract_all({c}, '{_URL}'), lambda u: NOT regexp_matches({host}, '[a-z0-9][.][A-Z]'))"
 
 
 _LINKED = """linked AS (SELECT page_id, 'See.This ' || url || ' now.' AS src,

@@ -66,10 +66,17 @@ def write_parallel(df: DataFrame, paths: dict[str, str], order: str = "line_no",
     ordered.unpersist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as the session has cores. Only input that lies in fewer pieces, such as one file
+    that cannot be split, is dealt anew; larger input stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pairs_of_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, src, trg): each line of a document with the next. The lines are paired within their
-    row, so nothing is shuffled."""
-    lines = docs.select(id_col, F.split(text_col, "\n", -1).alias("lines")).where(F.size("lines") > 1)
+    row, so nothing is shuffled but documents in too few pieces."""
+    lines = spread(docs.select(id_col, text_col)).select(id_col, F.split(text_col, "\n", -1).alias("lines")).where(F.size("lines") > 1)
     n = F.size("lines") - 1
     both = F.arrays_zip(F.slice("lines", 1, n).alias("src"), F.slice("lines", 2, n).alias("trg"))
     paired = lines.select(id_col, F.posexplode(both).alias("line_no", "pair"))
