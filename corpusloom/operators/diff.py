@@ -1,13 +1,16 @@
-"""What a step has changed, by line number or by content; and differences within a text."""
+"""What a step has changed, by line number, by content or in order; and differences within a text."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import common_suffix_length
+from corpusloom.functions.sequences import patience, rising, spans
 
 
 def diff_rows(before: DataFrame, after: DataFrame, columns: Sequence[str], order: str = "line_no") -> DataFrame:
@@ -57,27 +60,79 @@ def diff_by_content(before: DataFrame, after: DataFrame, columns: Sequence[str],
     return matched.unionByName(removed).unionByName(added)
 
 
+def row_name(columns: Sequence[str]) -> Column:
+    """128 bits for the values of several columns, nulls told apart from the rest."""
+    values = [v for c in columns for v in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*values).alias("high"), F.xxhash64(F.lit(1), *values).alias("low"))
+
+
+def coarse_path(before: DataFrame, after: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of lines that are unique in both frames and rise in both. `most` bounds what is brought to the driver: of more such lines,
+    those with a small hash are taken."""
+    sides = []
+    for df, name in ((before, "before_no"), (after, "after_no")):
+        once = df.groupBy("name").agg(F.count("*").alias("n"), F.min(name).alias(name)).where("n = 1")
+        sides.append(once.select("name", name))
+    anchors = sides[0].join(sides[1], "name").select("before_no", "after_no", F.pmod(F.col("name.low"), F.lit(1 << 30)).alias("turn"))
+    n = anchors.count()
+    rows = anchors.where(F.col("turn") < int(min(1.0, most / max(n, 1)) * (1 << 30))).select("before_no", "after_no").toPandas().sort_values("before_no")
+    kept = rows.iloc[rising(rows["after_no"].tolist())]
+    return kept["before_no"].to_numpy(np.int64), kept["after_no"].to_numpy(np.int64)
+
+
+def diff_ordered(before: DataFrame, after: DataFrame, columns: Sequence[str], order: str = "line_no", most_anchors: int = 200_000) -> DataFrame:
+    """An edit script: rows (status, before_no, after_no, before, after), matched by content so that matches rise in both frames. Rows with
+    the same `columns` are identical, those with one column in common changed, the rest removed or added.
+
+    Lines that both frames have once are anchors. A longest rising chain of them (of about `most_anchors`, by hash, where there are more)
+    cuts both frames into cells, at the same lines; each cell is a task's work: anchors within it, again in a longest rising
+    chain, and between them longest common subsequences. A cell holds as many lines as lie between two anchors of the chain. Null
+    columns are equal to each other; `order`, a number, tells the rows of a frame apart."""
+    value, types = F.struct(*columns), before.select(F.struct(*columns).alias("v")).schema["v"].dataType.simpleString()
+    ids = F.col(order).cast("long")
+    a = before.select(ids.alias("before_no"), row_name(columns).alias("name"), value.alias("before"))
+    b = after.select(ids.alias("after_no"), row_name(columns).alias("name"), value.alias("after"))
+    paths = coarse_path(a, b, most_anchors)
+
+    def in_cells(df: DataFrame, name: str, path: np.ndarray) -> DataFrame:
+        @F.pandas_udf("long")
+        def cell(numbers: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(path, numbers.to_numpy(np.int64), side="right"))
+
+        return df.select(cell(name).alias("cell"), F.col(name).alias("no"), F.col("before" if name == "before_no" else "after").alias("v"))
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("no"), right.sort_by("no")
+        x, y = ([tuple(r.values()) for r in t.column("v").to_pylist()] for t in (left, right))
+        pairs = patience(x, y)
+        gone = sorted(set(range(len(x))) - {i for i, _ in pairs})
+        new = sorted(set(range(len(y))) - {j for _, j in pairs})
+        i = pa.array([i for i, _ in pairs] + gone + [None] * len(new), pa.int64())
+        j = pa.array([j for _, j in pairs] + [None] * len(gone) + new, pa.int64())
+        status = ["identical" if x[m] == y[n] else "changed" for m, n in pairs] + ["removed"] * len(gone) + ["added"] * len(new)
+        nullable = pa.struct([pa.field(f.name, f.type) for f in left.column("v").type])
+        values = (t.column("v").take(k).cast(nullable) for t, k in ((left, i), (right, j)))
+        parts = [pa.array(status, pa.string()), left.column("no").take(i), right.column("no").take(j), *values]
+        return pa.Table.from_arrays(parts, ["status", "before_no", "after_no", "before", "after"])
+
+    left, right = in_cells(a, "before_no", paths[0]).groupBy("cell"), in_cells(b, "after_no", paths[1]).groupBy("cell")
+    return left.cogroup(right).applyInArrow(match, f"status string, before_no long, after_no long, before {types}, after {types}")
+
+
 def inline_diff(before: Column, after: Column, most: float = 0.5) -> Column:
-    """Spans (equal, delete, insert) that turn one text into the other: what they begin with, what differs, and what
-    they end with. Null where more than `most` of the longer text differs, or where one is null."""
-    def chars(c: Column) -> Column:
-        return F.split(c, "(?s)(?<=.)(?=.)")
-
-    same = F.zip_with(chars(before), chars(after), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, False)
-    shorter = F.least(F.length(before), F.length(after))
-    prefix = F.when(shorter == 0, 0).when(first == 0, shorter).otherwise(first - 1).cast("int")
-
-    def spans(p: Column) -> Column:
-        x, y = F.substring(before, p + 1, F.length(before)), F.substring(after, p + 1, F.length(after))
-        suffix = common_suffix_length(x, y)
-        gone, new = F.left(x, F.length(x) - suffix), F.left(y, F.length(y) - suffix)
-        parts = (("equal", F.left(before, p)), ("delete", gone), ("insert", new), ("equal", F.right(x, suffix)))
-        found = F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("text")) for kind, c in parts])
-        changed, longer = F.greatest(F.length(gone), F.length(new)), F.greatest(F.length(before), F.length(after), F.lit(1))
-        return F.when(changed <= F.lit(most) * longer, F.filter(found, lambda s: s["text"] != ""))
-
-    return F.when(before.isNotNull() & after.isNotNull(), F.element_at(F.transform(F.array(prefix), spans), 1))
+    """Spans (equal, delete, insert) that turn one text into the other, a shortest script by characters. Null where more characters go and come
+    than `most` of the longer text, or where a text is null. Equal texts, and texts whose lengths alone say no, stay with Spark."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def found(pairs: pd.DataFrame) -> pd.Series:
+        rows = zip(pairs["before"], pairs["after"], strict=True)
+        return pd.Series([None if x is None or y is None else spans(x, y, most) for x, y in rows], dtype=object)
+
+    equal = F.filter(F.array(F.struct(F.lit("equal").alias("kind"), before.alias("text"))), lambda s: s["text"] != "")
+    hopeless = F.abs(F.length(before) - F.length(after)) > F.lit(most) * F.greatest(F.length(before), F.length(after))
+    open_pair = before.isNotNull() & after.isNotNull() & (before != after) & ~hopeless
+    asked = F.struct(F.when(open_pair, before).alias("before"), F.when(open_pair, after).alias("after"))
+    return F.when(before == after, equal).otherwise(found(asked))
 
 
 def visible_spaces(c: Column) -> Column:

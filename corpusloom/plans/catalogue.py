@@ -286,7 +286,7 @@ def numbers_unsigned(spark, sf_dir):
 
 
 #: Addresses as the pages have them: names under known endings, with a protocol or without, and what follows up to a letter or digit.
-_URL = r"(?i)(?:\w+://)?(?:(?:[\w-]+[.])+[a-z]{2,}\b|\d+[.]\d+[.]\d+[.]\d+)(?:[/?#][\w.~%&=/?#-]*\w)?"
+_URL = r"(?i)(?:\w+://)?(?:[\w.+-]+@)?(?:(?:[\w-]+[.])+[a-z]{2,}\b|\d+[.]\d+[.]\d+[.]\d+)(?:[/?#][\w.~%&=/?#-]*\w)?"
 
 
 @register("urls", f"SELECT page_id, array_to_string(regexp_extract_all(html, '{_URL}'), ' ') AS urls, len(regexp_extract_all(url, '{_URL}'))::BIGINT AS n FROM pages", lines=False)
@@ -638,11 +638,6 @@ def placeholders_strict(spark, sf_dir):
     )
 
 
-@register("placeholders_vocabulary", "SELECT '@'[1:0] || i || '@' AS name FROM range(20) t(i)", lines=False)
-def placeholders_vocabulary(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in placeholders.vocabulary()], "name string")
-
-
 @register(
     "diff_counts",
     rf"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN {words('text')} > 200 THEN 'removed'
@@ -655,6 +650,46 @@ def diff_counts(spark, sf_dir):
     return diff.diff_counts(diff.diff_rows(rows, steps.run(rows, ["text"]), ["text"]))
 
 
+def _lines_and_left(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All lines of all documents, numbered in order, and what a step leaves of them: short lines go, white space is mended."""
+    lines = spread_lines(table(spark, sf_dir, "documents"))
+    return lines, recipe(("normalize_whitespace", {"COLLAPSE": True}, "text"), ("max_length", {"MAXLENGTH": 10**6, "MINLENGTH": 6}, None)).run(lines, ["text"])
+
+
+def spread_lines(docs: DataFrame) -> DataFrame:
+    lines = corpus.spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "text"))
+    return lines.select((F.col("doc_id") * (1 << 24) + F.col("k")).alias("line_no"), "text")
+
+
+_LINE_NUMBERS = "numbered AS (SELECT doc_id * 16777216 + line_no AS line_no, src AS text FROM lines)"
+
+
+@register(
+    "diff_ordered",
+    rf""", {_LINE_NUMBERS}, left_over AS (SELECT line_no, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM numbered WHERE {words('text')} >= 6)
+    SELECT n.line_no, CASE WHEN l.line_no IS NULL THEN 'removed' ELSE 'kept' END AS status FROM numbered n LEFT JOIN left_over l ON n.line_no = l.line_no AND n.text = l.text""",
+)
+def diff_ordered(spark, sf_dir):
+    """Which lines an ordered diff, which does not know their numbers, finds in what is left of them."""
+    before, after = _lines_and_left(spark, sf_dir)
+    script = diff.diff_ordered(before, after, ["text"]).where("before_no is not null")
+    return script.select(F.col("before_no").alias("line_no"), F.when(F.col("status") == "identical", "kept").otherwise("removed").alias("status"))
+
+
+@register(
+    "inline_diff",
+    rf""", {_LINE_NUMBERS}, without AS (SELECT line_no, text, translate(text, 'ae', '') AS short FROM numbered)
+    SELECT line_no, length(text) - length(short) AS deleted, 0 AS inserted FROM without WHERE text <> short AND length(text) - length(short) <= 0.5 * length(text)""",
+)
+def inline_diff(spark, sf_dir):
+    """How many characters go and come where all a and e are taken out."""
+    lines = spread_lines(table(spark, sf_dir, "documents")).where(F.col("text").isNotNull())
+    changed = lines.withColumn("spans", diff.inline_diff(F.col("text"), F.translate("text", "ae", "")))
+    size = lambda kind: F.aggregate(F.filter("spans", lambda s: s["kind"] == kind), F.lit(0), lambda n, s: n + F.length(s["text"]))
+    found = changed.where("spans is not null").select("line_no", size("delete").cast("long").alias("deleted"), size("insert").alias("inserted"))
+    return found.where("deleted > 0 or inserted > 0")
+
+
 RECIPE = (
     ("remove_empty_lines", {}, None),
     ("normalize_whitespace", {"COLLAPSE": True}, "src,trg"),
