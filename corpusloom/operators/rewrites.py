@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -451,26 +452,37 @@ def segment_characters(c: Column) -> Column:
     return text.collapse(F.regexp_replace(c, f"({one})", " $1 "))
 
 
-@define("segment_chinese", MONOLINGUAL, "Spaces between Chinese words (by characters, unless a segmenter is plugged in).", "rewrite")
+#: Segmenters by name. `learned.segmenter` makes one from a lexicon that was learned from a table.
+SEGMENTERS = {"characters": segment_characters}
+SEGMENTER = Param("str", "characters")
+
+
+@define("segment_chinese", MONOLINGUAL, "Spaces between Chinese words, by a plugged-in segmenter.", "rewrite", SEGMENTER=SEGMENTER)
 def segment_chinese(p, columns):
-    return [segment_characters(c) for c in columns]
+    return [SEGMENTERS[p["SEGMENTER"]](c) for c in columns]
 
 
-@define("segment_japanese", MONOLINGUAL, "Spaces between Japanese words (by characters, unless a segmenter is plugged in).", "rewrite")
+@define("segment_japanese", MONOLINGUAL, "Spaces between Japanese words, by a plugged-in segmenter.", "rewrite", SEGMENTER=SEGMENTER)
 def segment_japanese(p, columns):
-    return [segment_characters(c) for c in columns]
+    return [SEGMENTERS[p["SEGMENTER"]](c) for c in columns]
 
 
 #: Abbreviations after which no sentence ends.
 ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|St|No|vs|etc|e\\.g|i\\.e|z\\.B|bzw|usw|Hr|Fr|Nr|M|Mme|Sr|Sra|Ud|pág|cf"
 
 
-def sentences(c: Column, language: str = "en") -> Column:
+def java_quote(value: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", value)
+
+
+def sentences(c: Column, language: str = "en", abbreviations: Sequence[str] = ()) -> Column:
     """The sentences of a text: it is cut at white space after final punctuation, quotes and brackets
     included, before a capital, digit or opening mark, unless an abbreviation or initial ends there;
-    and after full-width marks."""
+    and after full-width marks. `abbreviations`, in lower case and without their last period, as `learned.abbreviations` finds
+    them, add to the listed ones."""
+    learned = "".join(rf"|(?i:{java_quote(a)})" for a in sorted(abbreviations))
     cut = (
-        rf"(?<!\b(?:{ABBREVIATIONS})\.)(?<!\b\p{{Lu}}\.)(?<=[.!?…][\"'”’»)\]]{{0,2}})\s+(?=[\"'“‘„«(\[¿¡]*[\p{{Lu}}\p{{N}}])"
+        rf"(?<!\b(?:{ABBREVIATIONS}{learned})\.)(?<!\b\p{{Lu}}\.)(?<=[.!?…][\"'”’»)\]]{{0,2}})\s+(?=[\"'“‘„«(\[¿¡]*[\p{{Lu}}\p{{N}}])"
         r"|(?<=[。！？])(?=[^”’」』）])"
     )
     return F.filter(F.transform(F.split(c, cut, -1), lambda s: text.strip(s)), lambda s: s != "")
@@ -478,12 +490,12 @@ def sentences(c: Column, language: str = "en") -> Column:
 
 @define(
     "split_sentences", BILINGUAL, "Cut rows into sentences where both sides have as many.", "frame",
-    LANG1=Param("str", ""), LANG2=Param("str", ""), KEEPUNBALANCED=FLAG,
+    LANG1=Param("str", ""), LANG2=Param("str", ""), KEEPUNBALANCED=FLAG, ABBREVIATIONS=Param("list", items=Param("str")),
 )
 def split_sentences(df: DataFrame, langs: list[str], p: dict) -> DataFrame:
     """A row becomes as many as its sides have sentences (`part` counts them from 0, where the frame
     has a line_no); unequal counts: the row goes, or stays whole with KEEPUNBALANCED."""
-    parts = {f"__{c}": sentences(F.col(c), language or "en") for c, language in zip(langs, (p["LANG1"], p["LANG2"]), strict=False)}
+    parts = {f"__{c}": sentences(F.col(c), language or "en", p["ABBREVIATIONS"]) for c, language in zip(langs, (p["LANG1"], p["LANG2"]), strict=False)}
     whole = {f"__{c}": F.array(F.col(c)) for c in langs}
     df = df.withColumns({**whole, **parts})
     sizes = [F.size(f"__{c}") for c in langs]

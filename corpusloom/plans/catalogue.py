@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import entities
 from corpusloom.functions.vectors import cosine
-from corpusloom.operators import REGISTRY, dedup, diff, placeholders, predicates, rewrites, sampling, scoring, suffixes
+from corpusloom.operators import REGISTRY, dedup, diff, learned, placeholders, predicates, rewrites, sampling, scoring, suffixes
 from corpusloom.plans.pipeline import Pipeline
 from corpusloom.sources import catalog, corpus
 
@@ -806,3 +806,47 @@ _SOME_HANZI = f"translate(text, 'aeio', '{rewrites.TRADITIONAL[:4]}')"
 rewrite_query("simplify_chinese", f"translate({_SOME_HANZI}, '{rewrites.TRADITIONAL}', '{rewrites.SIMPLIFIED}')", "simplify_chinese", _hanzi, "documents", "doc_id")
 rewrite_query("traditionalise_chinese", f"translate(translate(text, 'aeio', '{rewrites.SIMPLIFIED[:4]}'), '{rewrites.SIMPLIFIED}', '{rewrites.TRADITIONAL}')", "traditionalise_chinese",
               lambda spark, sf_dir: texts(spark, sf_dir).withColumn("text", F.translate("text", "aeio", rewrites.SIMPLIFIED[:4])), "documents", "doc_id")
+
+
+# Learned models.
+
+
+@register("segment_learned")
+def segment_learned(spark, sf_dir):
+    """The names of parts without their spaces, cut into words by a lexicon that is learned from them."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
+    lexicon, _ = learned.learn_lexicon(parts, "name", "[a-z]+", longest=6, limit=2000)
+    return parts.select("p_partkey", learned.segmenter(lexicon, "[a-z]+")(F.col("name")).alias("words"))
+
+
+@register(
+    "abbreviations",
+    r"""SELECT word, n::BIGINT AS n, others::BIGINT AS others, round(score, 4) AS score FROM (
+        SELECT word, n, others, 2 * (n * ln(0.99) + others * ln(0.01) - n * ln(chance) - others * ln(1 - chance)) * exp(-size::DOUBLE)
+                                * (length(word) - size + 1) * pow(size::DOUBLE, -others::DOUBLE) AS score
+        FROM (SELECT *, length(replace(word, '.', '')) AS size, sum(n) OVER () / (sum(n) OVER () + sum(others) OVER ())::DOUBLE AS chance FROM (
+            SELECT regexp_replace(w, '[.]+$', '') AS word, count(*) FILTER (ends_with(w, '.')) AS n, count(*) FILTER (NOT ends_with(w, '.')) AS others
+            FROM (SELECT regexp_replace(unnest(string_split_regex(lower(text), '\s+')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g') AS w FROM documents)
+            WHERE w <> '' GROUP BY 1))
+        WHERE n >= 3 AND regexp_matches(word, '\p{L}') AND NOT regexp_matches(word, '\p{N}')) WHERE score >= 0.3""".replace("\\\\", "\\"),
+    lines=False,
+)
+def abbreviations(spark, sf_dir):
+    found = learned.abbreviations(table(spark, sf_dir, "documents"), "text")
+    return found.select("word", "n", "others", F.round("score", 4).alias("score"))
+
+
+@register("detect_languages")
+def detect_languages(spark, sf_dir):
+    """The languages of all documents, by profiles that are learned from those with even ids."""
+    docs = table(spark, sf_dir, "documents")
+    detect = learned.rank_detector(learned.learn_profiles(docs.where("doc_id % 2 = 0"), "text", "lang"))
+    return docs.select("doc_id", detect(F.col("text")).alias("found")).select("doc_id", "found.lang", "found.reliable")
+
+
+@register("translation_adequacy")
+def translation_adequacy(spark, sf_dir):
+    """How well the words of each answer are explained by those of its question, by a translation table learned from all of them."""
+    rows = answers(spark, sf_dir)
+    words, _ = learned.learn_translations(rows, "src", "trg", rounds=3)
+    return learned.adequacy(rows, "src", "trg", words).select("conv_id", "line_no", F.round("adequacy", 6).alias("adequacy"))
