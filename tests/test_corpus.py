@@ -389,7 +389,7 @@ def test_streams(spark, tmp_path):
         q = clean.clean_stream(stream, recipe, ["src", "trg"], str(tmp_path / "out"), str(tmp_path / "c1"), available_now=True)
         q.awaitTermination(60)
         stream = clean.read_stream(spark, str(folder), ["src", "trg"]).drop("path")
-        q = clean.dedup_stream(stream, ["src", "trg"], str(tmp_path / "d"), str(tmp_path / "seen"), str(tmp_path / "c2"), available_now=True)
+        q = clean.dedup_stream(stream, ["src", "trg"], str(tmp_path / "d"), str(tmp_path / "c2"), available_now=True)
         q.awaitTermination(60)
 
     turn()
