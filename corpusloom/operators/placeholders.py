@@ -26,7 +26,7 @@ EMOJI = r"[\x{1F000}-\x{1FAFF}☀-➿]"
 
 def options(config: str) -> dict:
     """Options of `encode` from a configuration in YAML or JSON: regexes, placeholder-symbol, num-placeholders; keys
-    that lack have their defaults, others are ignored. Groups in the regexes do not matter."""
+    that lack have their defaults, others are ignored (a vocabulary file goes through `pieces_of` to `pieces`). Groups in the regexes do not matter."""
     try:
         import yaml
 
@@ -39,6 +39,33 @@ def options(config: str) -> dict:
     return {ours: data[theirs] for theirs, ours in names if theirs in data}
 
 
+def pieces_of(model_file: str) -> list[str]:
+    """The pieces of a sentencepiece model, without control symbols and the one for unknown text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return [model.id_to_piece(k) for k in range(model.vocab_size()) if not model.is_control(k) and not model.is_unknown(k)]
+
+
+def outside_vocabulary(pieces: Sequence[str], symbols: Sequence[str] = ()) -> str | None:
+    """A rule for what a vocabulary of pieces cannot write: runs of characters that are no piece by themselves, white space aside. None if it has
+    pieces for bytes, and so can write everything. A piece may begin with the mark for a space (U+2581). `symbols`, the placeholders, must be
+    written in known characters."""
+    if {f"<0x{b:02X}>" for b in range(256)} <= set(pieces):
+        return None
+    known = sorted({ord(p) for p in (p.removeprefix("\u2581") for p in pieces) if len(p) == 1})
+    lost = sorted({c for s in symbols for c in s if ord(c) not in known})
+    if lost:
+        raise ValueError(f"the vocabulary has no {' '.join(lost)}, so placeholders would be unknown themselves: choose another symbol")
+    ranges: list[list[int]] = []
+    for c in known:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + r"\s]+"
+
+
 def vocabulary(symbol: str = "@", n: int = 20) -> list[str]:
     """The placeholders: the number before the symbol's last character."""
     return [f"{symbol[:-1]}{i}{symbol[-1]}" for i in range(n)]
@@ -60,14 +87,16 @@ def _rejoined(c: Column, pattern: str, mapping: Column) -> Column:
 
 def encode(
     df: DataFrame, columns: Sequence[str], rules: Sequence[str] = RULES, symbol: str = "@", n: int = 20,
-    seed: int = 0, strict: bool = False, order: str = "line_no", mapping: str = "mapping",
+    seed: int = 0, strict: bool = False, order: str = "line_no", mapping: str = "mapping", pieces: Sequence[str] | None = None,
 ) -> DataFrame:
     """`df` with placeholders in `columns`, and their `mapping`. The sides of a line share one mapping:
     the placeholders in an order by a hash of the seed, the line number and each placeholder, given
     to the distinct matches from first to last. With `strict`, a match that is not as often on each
-    side stays as text. A null text stays null and has no matches."""
+    side stays as text. A null text stays null and has no matches. With `pieces`, a model's vocabulary, what it cannot write
+    becomes placeholders too."""
     names, columns = vocabulary(symbol, n), list(columns)
-    pattern = _pattern(rules, names)
+    unknown = outside_vocabulary(pieces, names) if pieces is not None else None
+    pattern = _pattern([*rules, *([unknown] if unknown else [])], names)
 
     def matches(c: str) -> Column:
         return F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))

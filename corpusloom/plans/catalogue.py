@@ -616,19 +616,38 @@ _MATCHES = placeholders._pattern(placeholders.RULES, placeholders.vocabulary()).
 
 @register(
     "placeholders_found",
-    f"""SELECT doc_id AS line_no, array_to_string(list_sort(found), ' ') AS found, len(found)::BIGINT AS n, length(text) AS length FROM (
-        SELECT doc_id, list_distinct(regexp_extract_all(text, '{_MATCHES}')) AS found, regexp_replace(text, '{_MATCHES}', '', 'g') AS text FROM documents) WHERE len(found) BETWEEN 1 AND 20""",
+    f"""SELECT doc_id AS line_no, array_to_string(list_sort(found), ' ') AS found, len(found)::BIGINT AS n,
+               (length(text) - list_sum(list_transform(list_filter(m, lambda x: list_contains(found, x)), lambda x: length(x))))::BIGINT AS length FROM (
+        SELECT doc_id, text, m, list_filter(m, lambda x, i: list_position(m, x) = i)[1:20] AS found FROM (
+            SELECT doc_id, text, regexp_extract_all(text, '{_MATCHES}') AS m FROM documents)) WHERE len(found) > 0""",
     lines=False,
 )
 def placeholders_found(spark, sf_dir):
-    """What the placeholders stand for, and how much text is left beside them."""
+    """What the placeholders stand for, the first twenty of a document, and how much text is left beside them."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
     coded = placeholders.encode(rows, ["text"]).where("size(mapping) > 0")
     whole = F.regexp_extract_all("text", F.lit(r"[0-9]{1,2}@"), F.lit(0))
     put_in = F.aggregate(F.filter(whole, lambda m: F.map_contains_key("mapping", m)), F.lit(0), lambda n, m: n + F.length(m))
     found = F.array_join(F.array_sort(F.map_values("mapping")), " ")
-    few = coded.where(F.size(F.array_distinct(F.map_values("mapping"))) <= 20)
-    return few.select("line_no", found.alias("found"), F.size("mapping").cast("long").alias("n"), (F.length("text") - put_in).cast("long").alias("length"))
+    return coded.select("line_no", found.alias("found"), F.size("mapping").cast("long").alias("n"), (F.length("text") - put_in).cast("long").alias("length"))
+
+
+_LATIN = [*map(chr, range(33, 127)), "\u2581"]
+
+
+@register(
+    "placeholders_unknown",
+    r"""SELECT doc_id AS line_no, len(found)::BIGINT AS n, array_to_string(found, ' ') AS found FROM (
+        SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i)[1:20] AS found FROM (
+            SELECT doc_id, regexp_extract_all(text, '[^!-~\s]+') AS m FROM documents)) WHERE len(found) > 0""",
+    lines=False,
+)
+def placeholders_unknown(spark, sf_dir):
+    """What a vocabulary of ASCII letters and signs cannot write, from first to last."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), "text")
+    coded = placeholders.encode(rows, ["text"], rules=(), n=20, pieces=_LATIN, symbol="@").where("size(mapping) > 0")
+    unknown = F.filter(F.map_values("mapping"), lambda v: v.rlike("[^!-~]"))
+    return coded.select("line_no", F.size(unknown).cast("long").alias("n"), F.array_join(unknown, " ").alias("found")).where("n > 0")
 
 
 @register("placeholders_strict")

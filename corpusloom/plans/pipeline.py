@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.operators import REGISTRY, FilterSpec, Registry
@@ -36,6 +36,19 @@ class Step:
         return [x.strip() for x in (self.language or "").split(",") if x.strip()]
 
 
+@dataclass(frozen=True)
+class Observed:
+    """What a run counts by the way."""
+
+    filters: tuple[str, ...]
+    rows: tuple[Observation, ...]
+
+    def counts(self) -> list[tuple[int, str, int, int]]:
+        """(step, filter, rows_in, rows_out), once an action on the run's result has ended; waits for it until then."""
+        n = [r.get["n"] for r in self.rows]
+        return [(k, name, n[k], n[k + 1]) for k, name in enumerate(self.filters)]
+
+
 class Pipeline:
     """Checked steps. Parameters that are missing get their defaults; unknown ones stay and are warned
     about; a monolingual step needs a language, a bilingual one must have none."""
@@ -98,6 +111,17 @@ class Pipeline:
             df = df if keep is None else df.where(keep)
         return df
 
+    def run_observed(self, df: DataFrame, langs: Sequence[str]) -> tuple[DataFrame, Observed]:
+        """As `run`, and counts of rows that come with whatever action is run on the result, by `DataFrame.observe`: no second
+        pass. A step is not pushed past the count before it."""
+        rows = [Observation()]
+        df = df.observe(rows[0], F.count(F.lit(1)).alias("n"))
+        for step in self.steps:
+            df, keep = self._apply(df, step, langs)
+            rows.append(Observation())
+            df = (df if keep is None else df.where(keep)).observe(rows[-1], F.count(F.lit(1)).alias("n"))
+        return df, Observed(tuple(s.filter for s in self.steps), tuple(rows))
+
     def annotate(self, df: DataFrame, langs: Sequence[str]) -> DataFrame:
         """All rows, with rejected_by (the step that drops the row, else null), reject_step (its number) and
         reject_reason (why, for filters that tell). Steps after that still rewrite. Steps that are neither

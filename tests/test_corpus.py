@@ -400,6 +400,36 @@ def test_streams(spark, tmp_path):
     assert sorted((r.src, r.trg) for r in kept.collect()) == [("", "x"), ("a", "b"), ("c", "d"), ("f", "g")]
 
 
+def test_counts_come_with_the_run(spark, tmp_path):
+    df = pairs(spark, [("a b", "c d"), ("", "x"), ("one two three", "y"), ("a  b c", "d e f")])
+    recipe = Pipeline.from_json([{"filter": "remove_empty_lines"}, {"filter": "normalize_whitespace", "parameters": {"COLLAPSE": True}, "language": "src"}, {"filter": "max_length", "parameters": {"MAXLENGTH": 2}}], strict=False)
+    result, observed = recipe.run_observed(df, ["src", "trg"])
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("observed", "one run")
+    result.write.parquet(str(tmp_path / "out"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs.getJobIdsForGroup("observed")) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).collect() == recipe.run(df, ["src", "trg"]).collect()
+    want = [tuple(r) for r in recipe.stats(df, ["src", "trg"]).orderBy("step").select("step", "filter", "rows_in", "rows_out").collect()]
+    assert observed.counts() == want == [(0, "remove_empty_lines", 4, 3), (1, "normalize_whitespace", 3, 3), (2, "max_length", 3, 1)]
+
+
+def test_what_a_vocabulary_cannot_write(spark):
+    pieces = [*"abcdef @0123456789", "\u2581", "\u2581ab", "abc"]
+    rule = placeholders.outside_vocabulary(pieces, placeholders.vocabulary())
+    assert placeholders.outside_vocabulary([f"<0x{b:02X}>" for b in range(256)]) is None
+    with pytest.raises(ValueError, match="another symbol"):
+        placeholders.outside_vocabulary(["a", "b"], ["@1"])
+    texts = ["abc \u4e2d\u6587 fed", "xyz x", "", None, "1@ \U0001f600a\U0001f600", " ".join(chr(0x4E00 + k) for k in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "line_no int, t string")
+    coded = placeholders.encode(df, ["t"], rules=(), pieces=pieces).orderBy("line_no")
+    rows = coded.select("*", placeholders.decode(F.col("t"), F.col("mapping")).alias("back")).collect()
+    assert [r.back for r in rows] == texts
+    assert sorted(rows[0].mapping.values()) == ["\u4e2d\u6587"] and sorted(rows[1].mapping.values()) == ["x", "xyz"]
+    assert rule.startswith("[^") and rule.endswith("]+")
+    assert len(rows[5].mapping) == 20 and all(set(r.t) <= set("abcdef @0123456789") for r in rows[:3])
+
+
 def test_command_line(spark, tmp_path, capsys):
     paths = [put(tmp_path / "x.src.gz", [" a  b", "", "a b c d"]), put(tmp_path / "x.trg.gz", ["c", "d", "e"])]
     recipe = tmp_path / "recipe.json"
