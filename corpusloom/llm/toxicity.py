@@ -202,14 +202,14 @@ def detect(
     The fold is the CRC-32 of the id as text modulo `folds` (null id: of the empty text). The
     classifier is fitted on a bounded sample of labelled documents, in order of a hash of the id: at
     most `max_toxic` toxic and `max_ordinary` others, in the proportion in which they occur, and
-    `max_bytes` of whole texts in all. Rows with a null label or text are no examples. Returns id_col,
+    `max_bytes` of whole texts in all; a text that does not fit is passed over. Rows with a null label or text are no examples. Returns id_col,
     held_out, score (0 to 1), predicted and savings. Without toxic examples every score is 0 or near
     it. Rows may repeat; each is scored. An empty table gives an empty result.
     """
     held_out = crc32_of(F.col(id_col)) % folds == held_out_fold
     marked = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label")).where("label is not null")
     examples = (
-        docs.where(~held_out & F.col(text_col).isNotNull())
+        docs.where(~held_out & (F.octet_length(text_col) <= max_bytes))
         .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(marked, F.col("id") == F.col("label_id"))
         .select("text", (F.col("label") == 1).alias("toxic"), F.xxhash64("id").alias("turn"))
@@ -220,9 +220,8 @@ def detect(
     size = 0
     for r in examples.where(F.pmod("turn", F.lit(1 << 20)) < share * (1 << 20)).orderBy("turn", "text").toLocalIterator():
         text = r["text"].encode()
-        size += len(text)
-        if size > max_bytes:
-            break
-        texts[r["toxic"]].append(text)
+        if size + len(text) <= max_bytes:  # a text that does not fit is passed over; shorter ones after it may
+            size += len(text)
+            texts[r["toxic"]].append(text)
     found = score(docs, train(texts[True], texts[False]), id_col, text_col)
     return found.select(id_col, held_out.alias("held_out"), "score", "predicted", "savings")
