@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import entities
 from corpusloom.functions.vectors import cosine
-from corpusloom.operators import REGISTRY, dedup, diff, learned, placeholders, predicates, rewrites, sampling, scoring, suffixes
+from corpusloom.operators import REGISTRY, dedup, diff, embeddings, learned, placeholders, predicates, rewrites, sampling, scoring, suffixes
 from corpusloom.plans.pipeline import Pipeline
 from corpusloom.sources import catalog, corpus
 
@@ -869,3 +869,11 @@ def translation_adequacy(spark, sf_dir):
     rows = answers(spark, sf_dir)
     words, _ = learned.learn_translations(rows, "src", "trg", rounds=3)
     return learned.adequacy(rows, "src", "trg", words).select("conv_id", "line_no", F.round("adequacy", 6).alias("adequacy"))
+
+
+@register("shared_similarity")
+def shared_similarity(spark, sf_dir):
+    """How similar question and answer are by embeddings that are learned from all of them."""
+    rows = answers(spark, sf_dir)
+    words = embeddings.learn_embeddings(rows, "src", "trg", size=8, rounds=3)
+    return embeddings.similarity(rows, "src", "trg", words).select("conv_id", "line_no", F.round("similarity", 6).alias("similarity"))
