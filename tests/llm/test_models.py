@@ -295,3 +295,17 @@ def test_toxicity_edge_cases(spark, docs, no_docs, rows):
     got = toxicity.detect(docs, none).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.detect(no_docs, none).count() == 0
+
+
+def test_long_toxic_text_does_not_end_the_sample(spark):
+    """A text beyond the bound of the sample's bytes is passed over wherever it comes; the others are learned from."""
+    r = random.Random(8)
+    plain = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    rows = [(k, plain(30) + (" grobword vileword " + plain(5) if k % 3 == 0 else "")) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows] + [(9000 + k, k % 2) for k in range(8)], "doc_id int, toxic int")
+    long = [(9000 + k, plain(40_000)) for k in range(8)]
+    docs = spark.createDataFrame(rows + long, "doc_id int, text string")
+    got = {x.doc_id: x for x in toxicity.detect(docs, labels, max_bytes=150_000).collect()}
+    assert len(got) == 408
+    held_out = [(k, got[k].predicted) for k, _ in rows if got[k].held_out]
+    assert sum(p == (k % 3 == 0) for k, p in held_out) >= 0.95 * len(held_out)
