@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import REGISTRY, Registry
+from corpusloom.operators.reasons import MEASURES
 from corpusloom.plans.pipeline import Pipeline, Step
 
 
@@ -27,6 +28,15 @@ class Filter:
         _, keep = self.pipeline._apply(df, self.pipeline.steps[0], langs)
         return df.withColumn(column, F.coalesce(keep, F.lit(False)).cast("double"))
 
+    def measures(self, df: DataFrame, langs: Sequence[str], column: str = "measures") -> DataFrame:
+        """Adds the numbers (array<double>) that the filter compares with its thresholds, as `reasons.MEASURES` has them; null for
+        filters that compare no numbers."""
+        _, chosen = self.pipeline._parts(self.step, langs)
+        measure = MEASURES.get(self.step.filter)
+        values = measure(self.step.parameters, [F.col(c) for c in chosen]) if measure else None
+        none = F.lit(None).cast("array<double>")
+        return df.withColumn(column, F.array(*[v.cast("double") for v in values]) if values is not None else none)
+
     def accept(self, score: Column) -> Column:
         return score > 0
 

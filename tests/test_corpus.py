@@ -430,6 +430,33 @@ def test_what_a_vocabulary_cannot_write(spark):
     assert len(rows[5].mapping) == 20 and all(set(r.t) <= set("abcdef @0123456789") for r in rows[:3])
 
 
+@pytest.mark.parametrize(
+    ("name", "parameters", "row", "reason", "measures"),
+    [
+        ("max_length", {"MAXLENGTH": 2}, ("a b c", "d"), "3 | 1", [3.0, 1.0]),
+        ("max_word_length", {"MAXWORDLENGTH": 3}, ("abcd", "x yy"), "4 | 2", [4.0, 2.0]),
+        ("remove_empty_lines", {}, (" ", "x"), "0 | 1", [0.0, 1.0]),
+        ("src_trg_ratio", {"RATIO": 0.6}, ("a", "b c d e"), "0.25", [0.25]),
+        ("opus.LengthFilter", {"max_length": 1, "unit": "char"}, ("ab", "c"), "2 | 1", [2.0, 1.0]),
+        ("opus.LengthRatioFilter", {"threshold": 2}, ("a b c", "d"), "3.0", [3.0]),
+        ("opus.LongWordFilter", {"threshold": 3}, ("abc", "d"), "3 | 1", [3.0, 1.0]),
+        ("opus.AverageWordLengthFilter", {"max_length": 1}, ("ab abcd", "d"), "3.0 | 1.0", [3.0, 1.0]),
+        ("opus.AlphabetRatioFilter", {}, ("a1", "d"), "0.5 | 1.0", [0.5, 1.0]),
+        ("opus.CharacterScoreFilter", {"scripts": ["Latin", "Greek"]}, ("a\u03b1", "\u03b1"), "0.5 | 1.0", [0.5, 1.0]),
+        ("opus.HtmlTagFilter", {}, ("<b>x</b>", "y"), "2 | 0", [2.0, 0.0]),
+        ("url_mismatch", {}, ("see a.example.org", "voir"), "a.example.org | ", None),
+        ("langid", {"SRC_LANG": "de", "TRG_LANG": "de"}, ("the cat is on the mat", "der Hund ist in dem Haus"), "en | de", None),
+        ("opus.RegExpFilter", {"regexps": ["a", "b"]}, ("a", "b"), "true | true", None),
+    ],
+)
+def test_reasons_and_measures(spark, name, parameters, row, reason, measures):
+    df = pairs(spark, [row])
+    recipe = Pipeline.from_json([{"filter": name, "parameters": parameters}], strict=False)
+    got = recipe.annotate(df, ["src", "trg"]).first()
+    assert (got.rejected_by, got.reject_reason) == (name, reason)
+    assert Filter(name, **parameters).measures(df, ["src", "trg"]).first().measures == measures
+
+
 def test_command_line(spark, tmp_path, capsys):
     paths = [put(tmp_path / "x.src.gz", [" a  b", "", "a b c d"]), put(tmp_path / "x.trg.gz", ["c", "d", "e"])]
     recipe = tmp_path / "recipe.json"
