@@ -128,6 +128,12 @@ def source_targets(
     return ranked.withColumn("target", target).drop("capacity", "ratio", "level")
 
 
+def key_of_row() -> Column:
+    """A hash of what the mix reads of a row. Which columns are null is hashed too: a hash of columns passes over nulls."""
+    columns = ("doc_id", "source", "text")
+    return F.xxhash64(*[F.col(c).isNull() for c in columns], *columns)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (3.0, 1.0, 2.0),
@@ -145,7 +151,7 @@ def mix_sources(
     The last block of a source may be short, and the last slot of a source takes as many words of
     its block as the target still lacks; a source so misses its target by less than a block.
     """
-    row_key = F.xxhash64("doc_id", "source", "text")
+    row_key = key_of_row()
     sized = cut(
         docs.select(
             "doc_id",
@@ -256,7 +262,7 @@ def mixed_documents(docs: DataFrame, place: bool = False, **options) -> DataFram
         F.col("row_key").alias("__key"), F.col("copy").alias("__copy"), F.col("size").alias("__size"), F.col("parts").alias("__parts"),
         F.col("shard").alias("__shard"), F.col("position").alias("__position"),
     )
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
+    keyed = docs.withColumn("__key", key_of_row())
     keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))))
     total = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))

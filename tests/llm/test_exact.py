@@ -648,3 +648,11 @@ def test_crc32_is_unsigned(spark):
 
     got = spark.createDataFrame([(k,) for k in [*range(20), None]], "k long").select("k", crc32_of(F.col("k")).alias("c")).collect()
     assert all(r.c == zlib.crc32(b"" if r.k is None else str(r.k).encode()) for r in got)
+
+
+def test_rows_that_differ_in_which_column_is_null_stay_apart(spark):
+    rows = [(1, None, "a b c d"), (1, "a b c d", None), (1, None, "a b c d"), (2, "x", "e f"), (2, "x", "e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    assert docs.select(mixing.key_of_row().alias("k")).distinct().count() == 3
+    mixed = mixing.mixed_documents(docs, block_words=2, shard_slots=4).collect()
+    assert {r.source for r in mixed} <= {None, "x"} and all(r.text for r in mixed)
