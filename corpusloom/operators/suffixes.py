@@ -15,10 +15,12 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import common_suffix_length
+from corpusloom.operators.learned import pairs_checkpoint
 from corpusloom.operators.spec import MONOLINGUAL, Param, define
 
 
@@ -76,38 +78,95 @@ def _settle(min_length: int, min_occurrences: int, keys: int):
     return run
 
 
+def shared_ending(a: str, b: str, least: int) -> int:
+    """Characters in the longest common suffix; 0 if it is shorter than `least`."""
+    if a[-least:] != b[-least:] or min(len(a), len(b)) < least:
+        return 0
+    n = least
+    while n < min(len(a), len(b)) and a[-n - 1] == b[-n - 1]:
+        n += 1
+    return n
+
+
+def _neighbours(least: int):
+    """Rows (group, order, text), sorted, into (group, order, range, length, shared, edge): what a line shares with the one before it, and the
+    text of the first and last line of each group in the task, which have neighbours elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, before, group, names = TaskContext.get().partitionId(), None, None, None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            kinds = (*names[1], pa.int32(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names[0], "range", "length", "shared", "edge"])
+
+        for batch in batches:
+            names = batch.schema.names[:2], [batch.schema.field(k).type for k in (0, 1)]
+            rows = []
+            for own, order, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                value = value or ""
+                if before is not None:
+                    line, text = before
+                    rows.append(line if own == group else (*line[:-1], text))
+                first = before is None or own != group
+                line = (own, order, here, len(value), None if first else shared_ending(before[1], value, least), value if first else None)
+                before, group = (line, value), own
+            if rows:
+                yield out(rows)
+        if before is not None:
+            yield out([(*before[0][:-1], before[1])])
+
+    return run
+
+
+def group_of(within: Sequence[str]) -> Column:
+    """A line's group as text, which is never null."""
+    return F.to_json(F.struct(*[F.col(c).cast("string") for c in within])) if within else F.lit("")
+
+
+def in_ranges(df: DataFrame, column: str, order: str, within: Sequence[str]) -> DataFrame:
+    """(__group, __order, __text), dealt into ranges and sorted."""
+    keyed = df.select(group_of(within).alias("__group"), F.col(order).alias("__order"), F.col(column).alias("__text"))
+    return keyed.repartitionByRange("__group", "__order").sortWithinPartitions("__group", "__order")
+
+
 def with_suffix_lengths(
     df: DataFrame, column: str, min_length: int = 4, min_occurrences: int = 10, order: str = "line_no", within: Sequence[str] = ()
 ) -> DataFrame:
     """`df` with suffix_length, the characters that each line of `column` loses. Lines follow each
-    other in `order`, in each group of `within` by themselves; together they tell all lines apart."""
+    other in `order`, in each group of `within` by themselves (null is a group); together they tell all lines apart.
+
+    Texts are sorted into ranges once. What is left of a line after that is its length and what it shares with the line before; this is written
+    down, so that ranges stay what they are, and all that follows works on it."""
     if min_occurrences < 2:
         raise ValueError("min_occurrences must be 2 or more")
-    within, least = list(within), max(min_length, 1)
-    ranged = df.select(*within, order, column).repartitionByRange(*within, order).withColumn("range", F.spark_partition_id())
-    lines = Window.partitionBy(*within, "range").orderBy(order)
-    ends = ranged.groupBy(*within, "range").agg(F.max_by(column, order).alias("last"))
-    ranges = Window.partitionBy(*within).orderBy("range")
-    ends = ends.withColumn("before", F.lag("last").over(ranges)).drop("last")
-    joined = ranged.join(ends, [*within, "range"])
-    before = F.coalesce(F.lag(column).over(lines), F.when(F.row_number().over(lines) == 1, F.col("before")))
-    shared = F.coalesce(common_suffix_length(before, F.col(column), least), F.lit(0))
-    marked = joined.select(*within, "range", order, F.length(column).alias("length"), shared.alias("shared"))
-    start = F.when(F.col("shared") < least, F.col(order))
-    earlier = marked.groupBy(*within, "range").agg(F.max(start).alias("start"))
-    earlier = earlier.withColumn("carried", F.max("start").over(ranges.rowsBetween(Window.unboundedPreceding, -1))).drop("start")
-    marked = marked.join(earlier, [*within, "range"])
-    island = F.coalesce(F.max(start).over(lines.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried"))
-    marked = marked.select(*within, order, island.alias("island"), "length", "shared")
-    keys = [*within, "island"]
+    least, ranged = max(min_length, 1), in_ranges(df, column, order, within)
+    kind = df.schema[order].dataType.simpleString()
+    marked = pairs_checkpoint(ranged.mapInArrow(_neighbours(least), f"__group string, __order {kind}, range int, length int, shared int, edge string"))
+
+    # The first line of a range is compared with the last line of the range before it: both kept their texts.
+    edges = marked.where("edge is not null")
+    before = F.lag("edge").over(Window.partitionBy("__group").orderBy("__order"))
+    firsts = edges.select("__group", "__order", "shared", F.coalesce(common_suffix_length(before, F.col("edge"), least), F.lit(0)).alias("across"))
+    firsts = firsts.where("shared is null").drop("shared")
+    marked = marked.drop("edge").join(firsts, ["__group", "__order"], "left")
+    marked = marked.select("__group", "__order", "range", "length", F.coalesce("shared", "across").alias("shared"))
+
+    start = F.when(F.col("shared") < least, F.col("__order"))
+    ranges = Window.partitionBy("__group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = marked.groupBy("__group", "range").agg(F.max(start).alias("start"))
+    earlier = earlier.withColumn("carried", F.max("start").over(ranges)).drop("start")
+    lines = Window.partitionBy("__group", "range").orderBy("__order").rowsBetween(Window.unboundedPreceding, 0)
+    island = F.coalesce(F.max(start).over(lines), F.col("carried"))
+    marked = marked.join(earlier, ["__group", "range"]).select("__group", "__order", island.alias("island"), "length", "shared")
+    keys = ["__group", "island"]
     long_enough = marked.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_occurrences).drop("n")
-    candidates = marked.join(long_enough, keys).repartition(*keys).sortWithinPartitions(*keys, order)
-    candidates = candidates.select(*within, order, "island", "length", F.col("shared").cast("int").alias("shared"))
+    candidates = marked.join(long_enough, keys).repartition(*keys).sortWithinPartitions(*keys, "__order")
+    candidates = candidates.select("__group", "__order", "island", "length", "shared")
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*within, order])
-    found = candidates.mapInArrow(_settle(min_length, min_occurrences, len(within)), f"{kinds}, suffix_length int")
-    joined = df.join(found, [*within, order], "left")
-    return joined.withColumn("suffix_length", F.coalesce("suffix_length", F.lit(0)))
+    found = candidates.mapInArrow(_settle(min_length, min_occurrences, 1), f"__group string, __order {kind}, suffix_length int")
+    own = df.withColumn("__group", group_of(within)).withColumn("__order", F.col(order))
+    return own.join(found, ["__group", "__order"], "left").select(*df.columns, F.coalesce("suffix_length", F.lit(0)).alias("suffix_length"))
 
 
 def strip_suffixes(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:

@@ -195,7 +195,7 @@ def test_suffixes_across_ranges_and_batches(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert [x.t for x in got] == [t for d in lines for t in loop_suffixes(lines[d], 4, 3)]
-    plan = suffixes.with_suffix_lengths(df, "t", order="line")._jdf.queryExecution().executedPlan().toString()
+    plan = suffixes.in_ranges(df, "t", "line", ())._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan
 
 
@@ -430,6 +430,13 @@ def test_what_a_vocabulary_cannot_write(spark):
     assert len(rows[5].mapping) == 20 and all(set(r.t) <= set("abcdef @0123456789") for r in rows[:3])
 
 
+def test_null_groups_and_null_texts_lose_suffixes_too(spark):
+    rows = [(k, g, f"{k} same ending" if t else None) for k in range(24) for g, t in ((None, True), ("g", k != 5))]
+    df = spark.createDataFrame(rows, "line_no long, g string, t string").repartition(5)
+    got = suffixes.with_suffix_lengths(df, "t", 4, 3, within=("g",)).collect()
+    assert len(got) == 48 and all(r.suffix_length == (0 if r.t is None else 12) for r in got)
+
+
 @pytest.mark.parametrize(
     ("name", "parameters", "row", "reason", "measures"),
     [
