@@ -94,3 +94,18 @@ def test_suffixes_of_later_lines_are_stripped(spark, tmp_path):
     got = catalogue.QUERIES["strip_suffix"](spark, str(tmp_path)).orderBy("line").collect()
     assert [r.text for r in got] == [c for k in range(2) for c in (f"{c}" for c in "abcdefghijkl")]
     assert {r.suffix: r.n for r in catalogue.QUERIES["suffix_counts"](spark, str(tmp_path)).collect()} == {" 0 line": 12, " 1 line": 12}
+
+
+def on_texts(spark, tmp_path, name, texts):
+    """A query and its SQL over documents with these texts."""
+    import duckdb
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas(), connection.sql(catalogue.ORACLES[name]).df())
+
+
+def test_quotes_of_the_lines_themselves_are_kept(spark, tmp_path):
+    lines = ["plain", 'ends in "one"', 'ends in "two"', 'two ""inside"" it', 'two ""inside"" it too', '"', '"', "", "", '""', '""', "last"]
+    on_texts(spark, tmp_path, "deescape_tsv", ["\n".join(lines), "\n".join(lines[1:])])
