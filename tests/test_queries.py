@@ -109,3 +109,8 @@ def on_texts(spark, tmp_path, name, texts):
 def test_quotes_of_the_lines_themselves_are_kept(spark, tmp_path):
     lines = ["plain", 'ends in "one"', 'ends in "two"', 'two ""inside"" it', 'two ""inside"" it too', '"', '"', "", "", '""', '""', "last"]
     on_texts(spark, tmp_path, "deescape_tsv", ["\n".join(lines), "\n".join(lines[1:])])
+
+
+def test_names_of_placeholders_in_a_text_take_no_place(spark, tmp_path):
+    many = " ".join("é" * k for k in range(1, 24))
+    on_texts(spark, tmp_path, "placeholders_unknown", [f"7@ and 12@ {many} 7@", f"{many}@3@é", "5@ only", many])
