@@ -8,7 +8,7 @@ sequence is halved and the halves are worked on by themselves, so memory stays b
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Hashable, Sequence
 
 import numpy as np
@@ -126,10 +126,37 @@ def patience(a: Rows, b: Rows) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def threaded(short: str, long: str, more: str) -> list[tuple[str, str]] | None:
+    """The parts of `long`: "equal" where the characters of `short` stand in it, in order and each as early as may be, `more` for the
+    rest. None if `short` is no subsequence of `long`. Each character is looked at once."""
+    found, i, j, n, m = [], 0, 0, len(long), len(short)
+    while j < m:
+        start = i
+        while j < m and i < n and long[i] == short[j]:
+            i, j = i + 1, j + 1
+        if i > start:
+            found.append(("equal", long[start:i]))
+        if j < m:
+            start, i = i, long.find(short[j], i)
+            if i < 0:
+                return None
+            found.append((more, long[start:i]))
+    return [*found, (more, long[i:])] if i < n else found
+
+
 def spans(before: str, after: str, most: float) -> list[tuple[str, str]] | None:
-    """What is equal, deleted and inserted, in order; None if more characters go and come than `most` of the longer text."""
+    """What is equal, deleted and inserted, in order; None if more characters go and come than `most` of the longer text. Where one text is what
+    is left of the other, or their characters, in whatever order, already tell that they are too far apart, no common subsequence is searched."""
+    limit = most * max(len(before), len(after))
+    if abs(len(before) - len(after)) > limit:
+        return None
+    only = threaded(after, before, "delete") if len(after) <= len(before) else threaded(before, after, "insert")
+    if only is not None:
+        return only
+    if (Counter(before) - Counter(after)).total() + (Counter(after) - Counter(before)).total() > limit:
+        return None
     matched = common([(c,) for c in before], [(c,) for c in after])
-    if len(before) + len(after) - 2 * len(matched) > most * max(len(before), len(after)):
+    if len(before) + len(after) - 2 * len(matched) > limit:
         return None
     found: list[list[str]] = []
 

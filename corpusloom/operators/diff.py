@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.functions.sequences import patience, rising, spans
 
 
@@ -123,16 +124,25 @@ def inline_diff(before: Column, after: Column, most: float = 0.5) -> Column:
     """Spans (equal, delete, insert) that turn one text into the other, a shortest script by characters. Null where more characters go and come
     than `most` of the longer text, or where a text is null. Equal texts, and texts whose lengths alone say no, stay with Spark."""
 
-    @F.pandas_udf("array<struct<kind:string,text:string>>")
-    def found(pairs: pd.DataFrame) -> pd.Series:
-        rows = zip(pairs["before"], pairs["after"], strict=True)
-        return pd.Series([None if x is None or y is None else spans(x, y, most) for x, y in rows], dtype=object)
+    @F.arrow_udf("array<struct<kind:string,text:string>>")
+    def found(befores: pa.Array, afters: pa.Array) -> pa.Array:
+        kinds, texts, ends = [], [], [0]
+        for x, y in zip(befores.to_pylist(), afters.to_pylist(), strict=True):
+            for kind, part in (x is not None and y is not None and spans(x, y, most)) or ():
+                kinds.append(kind)
+                texts.append(part)
+            ends.append(len(kinds))
+        parts = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["kind", "text"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+
+    found = found.asNondeterministic()  # or a condition on the spans has them made once more, for itself
 
     equal = F.filter(F.array(F.struct(F.lit("equal").alias("kind"), before.alias("text"))), lambda s: s["text"] != "")
     hopeless = F.abs(F.length(before) - F.length(after)) > F.lit(most) * F.greatest(F.length(before), F.length(after))
     open_pair = before.isNotNull() & after.isNotNull() & (before != after) & ~hopeless
-    asked = F.struct(F.when(open_pair, before).alias("before"), F.when(open_pair, after).alias("after"))
-    return F.when(before == after, equal).otherwise(found(asked))
+    answer = found(F.when(open_pair, before), F.when(open_pair, after))
+    # Texts that differ have a span at least, so none is said by an empty list.
+    return F.when(before == after, equal).otherwise(text.let(answer, lambda s: F.when(F.size(s) > 0, s)))
 
 
 def visible_spaces(c: Column) -> Column:

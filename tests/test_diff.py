@@ -139,3 +139,22 @@ def test_inline_spans_are_shortest_scripts(spark):
         assert all(x.kind != y.kind for x, y in zip(row.s, row.s[1:], strict=False))
         several += sum(s.kind != "equal" for s in row.s) > 2
     assert several > 10
+
+
+def test_long_texts_that_only_lose_or_gain_characters_are_not_searched(monkeypatch):
+    from corpusloom.functions import sequences
+
+    def never(a, b):
+        raise AssertionError("a common subsequence was searched")
+
+    long, want = "the same old tale again, " * 4000, ("equal", "delete", "insert")
+    short = long.replace("a", "").replace("e", "")
+    monkeypatch.setattr(sequences, "common", never)
+    for before, after in ((long, short), (short, long), (long, ""), ("", "x"), ("abc", "xyz"), ("aab", "ab")):
+        found = sequences.spans(before, after, 1.0) if before != "abc" else sequences.spans(before, after, 0.5)
+        if before == "abc":
+            assert found is None
+            continue
+        assert {k for k, _ in found} <= set(want) and all(t for _, t in found)
+        assert "".join(t for k, t in found if k != "insert") == before and "".join(t for k, t in found if k != "delete") == after
+        assert sum(len(t) for k, t in found if k != "equal") == abs(len(before) - len(after))
