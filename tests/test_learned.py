@@ -1,5 +1,6 @@
 """Models that are learned from tables, on made text with known answers."""
 
+import numpy as np
 import itertools
 import math
 import random
@@ -159,3 +160,11 @@ def test_one_round_of_translations_is_that_of_a_loop(spark):
     want = {(x, y): n / sum(v for (u, _), v in counts.items() if u == x) for (x, y), n in counts.items()}
     got, _ = learned.learn_translations(spark.createDataFrame(rows, "s string, t string"), "s", "t", rounds=1, prune=0.0)
     assert {(x.s, x.t): x.p for x in got.collect()} == pytest.approx(want)
+
+
+def test_grams_as_numbers_are_those_of_the_loop():
+    for text in ("", "12 _", "a", "Ein Satz, zwei!", "ünï \U00010400x 日本 x-y a", "a b a ab"):
+        for longest in (1, 2, 3):
+            codes = learned.gram_codes(learned.coded(text), longest)
+            assert codes.dtype == np.uint64 and Counter(map(learned.gram_of, codes.tolist())) == learned.grams(text, longest)
+            assert all(learned.code_of(learned.gram_of(c)) == c for c in codes.tolist())
