@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ RULES = (
     rf"(?:https?://|\bwww[.]){WORD_IN_ADDRESS}(?:[.]{WORD_IN_ADDRESS})+(?:/[\w~%+-]*)*",
     rf"[\w.+-]+@{WORD_IN_ADDRESS}(?:[.]{WORD_IN_ADDRESS})+",
 )
+#: Texts without any of these have no match of the rule. Rules that are not here are looked for in all texts.
+NEEDED = {RULES[0]: ("://", "www."), RULES[1]: ("@",)}
 EMOJI = r"[\x{1F000}-\x{1FAFF}☀-➿]"
 
 
@@ -77,6 +80,14 @@ def _pattern(rules: Sequence[str], names: Sequence[str]) -> str:
     return "|".join([*literal, *(f"(?:{r})" for r in rules)])
 
 
+def may_match(c: Column, rules: Sequence[str], names: Sequence[str]) -> Column:
+    """Whether a text has what a match of the rules or names needs; a search for short strings, where the rules are known to need some."""
+    if any(r not in NEEDED for r in rules):
+        return c.isNotNull()
+    needed = sorted({*(s for r in rules for s in NEEDED[r]), *(n[-1] for n in names)})
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(s)) for s in needed], F.lit(False))
+
+
 def _rejoined(c: Column, pattern: str, mapping: Column) -> Column:
     """The text with its matches replaced by what `mapping` (match: placeholder) has for them."""
     between = F.split(c, pattern, -1)
@@ -98,17 +109,19 @@ def encode(
     unknown = outside_vocabulary(pieces, names) if pieces is not None else None
     pattern = _pattern([*rules, *([unknown] if unknown else [])], names)
 
-    def matches(c: str) -> Column:
-        return F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    asked = [*rules, *([unknown] if unknown else [])]
+    none = F.array().cast("array<string>")
+    matches = {c: F.when(may_match(F.col(c), asked, names), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(none) for c in columns}
+    df = df.withColumns({f"__matches_{c}": m for c, m in matches.items()})
 
     drawn = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.col(order), F.lit(name)).alias("turn"), F.lit(name).alias("name")) for name in names])
-    given = F.array_distinct(F.flatten(F.array(*[matches(c) for c in columns])))
+    given = F.array_distinct(F.flatten(F.array(*[F.col(f"__matches_{c}") for c in columns])))
     entries = F.arrays_zip(F.slice(given, 1, n).alias("found"), F.array_sort(drawn).alias("drawn"))
     entries = F.filter(entries, lambda e: e["found"].isNotNull())
     out = df.withColumn("__entries", entries)
     if strict:
         def times(c: str, found: Column) -> Column:
-            return F.size(F.filter(matches(c), lambda m: m == found))
+            return F.size(F.filter(f"__matches_{c}", lambda m: m == found))
 
         def even(e: Column) -> Column:
             counts = F.array(*[times(c, e["found"]) for c in columns])
@@ -118,7 +131,8 @@ def encode(
     names_of = F.map_from_entries(F.transform("__entries", lambda e: F.struct(e["found"], e["drawn"]["name"])))
     back = F.map_from_entries(F.transform("__entries", lambda e: F.struct(e["drawn"]["name"], e["found"])))
     out = out.withColumn("__names", names_of).withColumn(mapping, back)
-    return out.withColumns({c: _rejoined(F.col(c), pattern, F.col("__names")) for c in columns}).drop("__entries", "__names")
+    coded = {c: F.when(F.size("__names") > 0, _rejoined(F.col(c), pattern, F.col("__names"))).otherwise(F.col(c)) for c in columns}
+    return out.withColumns(coded).drop("__entries", "__names", *[f"__matches_{c}" for c in columns])
 
 
 def decode(c: Column, mapping: Column) -> Column:

@@ -114,3 +114,13 @@ def test_quotes_of_the_lines_themselves_are_kept(spark, tmp_path):
 def test_names_of_placeholders_in_a_text_take_no_place(spark, tmp_path):
     many = " ".join("é" * k for k in range(1, 24))
     on_texts(spark, tmp_path, "placeholders_unknown", [f"7@ and 12@ {many} 7@", f"{many}@3@é", "5@ only", many])
+
+
+def test_prefilter_of_placeholders_changes_nothing(spark):
+    from corpusloom.operators import placeholders as p
+
+    texts = ["", None, "none", "3@ only", "a@b.co", "https://x.org/y www.a.b", "http://a.b @", "www.no", "://", "mail a.b@c.d, 19@ and www.x.y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_no long, text string")
+    plain = [*p.RULES[:-1], f"(?:{p.RULES[-1]})"]  # a rule that the prefilter does not know
+    found = [sorted(p.encode(rows, ["text"], rules=r).collect(), key=lambda x: x.line_no) for r in (p.RULES, plain)]
+    assert found[0] == found[1] and sum(len(r.mapping) for r in found[0]) == 8
