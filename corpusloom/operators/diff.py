@@ -67,9 +67,13 @@ def row_name(columns: Sequence[str]) -> Column:
     return F.struct(F.xxhash64(*values).alias("high"), F.xxhash64(F.lit(1), *values).alias("low"))
 
 
+#: Lines that both frames have once in a cell: a task's call takes time, however short its cell.
+CELL_ANCHORS = 1000
+
+
 def coarse_path(before: DataFrame, after: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of lines that are unique in both frames and rise in both. `most` bounds what is brought to the driver: of more such lines,
-    those with a small hash are taken."""
+    those with a small hash are taken. Of their longest rising chain so many are kept that a cell has about CELL_ANCHORS."""
     sides = []
     for df, name in ((before, "before_no"), (after, "after_no")):
         once = df.groupBy("name").agg(F.count("*").alias("n"), F.min(name).alias(name)).where("n = 1")
@@ -78,9 +82,20 @@ def coarse_path(before: DataFrame, after: DataFrame, most: int) -> tuple[np.ndar
     n = anchors.count()
     rows = anchors.where(F.col("turn") < int(min(1.0, most / max(n, 1)) * (1 << 30))).select("before_no", "after_no").toPandas().sort_values("before_no")
     kept = rows.iloc[rising(rows["after_no"].tolist())]
+    kept = kept.iloc[:: max(1, len(kept) * CELL_ANCHORS // max(n, 1))]
     return kept["before_no"].to_numpy(np.int64), kept["after_no"].to_numpy(np.int64)
 
 
+def numbered(sides: Sequence[Sequence[pa.Array]]) -> list[list[tuple]]:
+    """The rows of some columns of two frames, texts as numbers that are equal where the texts are."""
+    columns = []
+    for a, b in zip(*sides, strict=True):
+        both = pa.concat_arrays([a, b])
+        columns.append(both.dictionary_encode(null_encoding="encode").indices.to_pylist() if pa.types.is_string(both.type) else both.to_pylist())
+    rows, n = list(zip(*columns, strict=True)), len(sides[0][0])
+    return [rows[:n], rows[n:]]
+
+
 def diff_ordered(before: DataFrame, after: DataFrame, columns: Sequence[str], order: str = "line_no", most_anchors: int = 200_000) -> DataFrame:
     """An edit script: rows (status, before_no, after_no, before, after), matched by content so that matches rise in both frames. Rows with
     the same `columns` are identical, those with one column in common changed, the rest removed or added.
@@ -104,7 +119,8 @@ def diff_ordered(before: DataFrame, after: DataFrame, columns: Sequence[str], or
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.sort_by("no"), right.sort_by("no")
-        x, y = ([tuple(r.values()) for r in t.column("v").to_pylist()] for t in (left, right))
+        names = range(left.column("v").type.num_fields)
+        x, y = numbered([[t.column("v").combine_chunks().field(k) for k in names] for t in (left, right)])
         pairs = patience(x, y)
         gone = sorted(set(range(len(x))) - {i for i, _ in pairs})
         new = sorted(set(range(len(y))) - {j for _, j in pairs})

@@ -158,3 +158,11 @@ def test_long_texts_that_only_lose_or_gain_characters_are_not_searched(monkeypat
         assert {k for k, _ in found} <= set(want) and all(t for _, t in found)
         assert "".join(t for k, t in found if k != "insert") == before and "".join(t for k, t in found if k != "delete") == after
         assert sum(len(t) for k, t in found if k != "equal") == abs(len(before) - len(after))
+
+
+def test_cells_of_an_ordered_diff_are_not_as_many_as_its_anchors(spark):
+    from corpusloom.operators import diff
+
+    rows = spark.range(5000).selectExpr("id as before_no", "id as after_no", "struct(id as high, id * 7919 as low) as name")
+    before, after = diff.coarse_path(rows.select("before_no", "name"), rows.select("after_no", "name"), 200_000)
+    assert len(before) == len(after) == 5 and list(before) == sorted(before)
