@@ -7,9 +7,11 @@ bottleneck.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,16 @@ def plain_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"\P{L}+", "")
 
 
+MARKS = re.compile("[\u0300-\u036f]")
+
+
 def latin_key(c: Column) -> Column:
-    """As `plain_key`, without diacritics; only texts beyond ASCII are handed to a pandas UDF, others travel
-    as null."""
-    @F.pandas_udf("string")
-    def bare(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
+    """As `plain_key`, without diacritics; only texts beyond ASCII are handed to Python, others travel as null. Arrow
+    batches are read text by text: by way of pandas, a worker's memory grew with the input."""
+    @F.arrow_udf("string")
+    def bare(values: pa.Array) -> pa.Array:
+        texts = (v.as_py() for v in values)
+        return pa.array((t and MARKS.sub("", unicodedata.normalize("NFKD", t)) for t in texts), pa.string())
 
     special = F.translate(c, "ßøłđðþæœıØŁĐÐÞÆŒ", "sold" + "dtaoiOLDDTAO")
     return plain_key(F.coalesce(bare(F.when(c.rlike(r"[^\x00-\x7f]"), special)), c))

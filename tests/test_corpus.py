@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -142,6 +143,14 @@ def test_keys(spark):
     assert [r.k for r in df.select(dedup.plain_key(F.col("t")).alias("k")).collect()] == ["çàva", "cava", "straße"]
 
 
+def test_latin_keys_are_read_as_arrow(spark):
+    rows = [(None,), ("",), ("plain",), ("É ß ﬁ 𝐀",)]
+    df = spark.createDataFrame(rows, "t string").select(dedup.latin_key(F.col("t")).alias("k"))
+    assert [r.k for r in df.collect()] == [None, "", "plain", "esfia"]
+    plan = df._jdf.queryExecution().toString()
+    assert re.search(r"ArrowEvalPython .*, 250", plan) and not re.search(r"ArrowEvalPython .*, 200", plan)
+
+
 def test_best_of_duplicates(spark):
     rows = [(0, "x", 1.0), (1, "y", 2.0), (2, "x", 3.0), (3, "x", 3.0), (4, "y", 1.0)]
     got = dedup.best_of_duplicates(spark.createDataFrame(rows, "line_no long, g string, r double"), "g", "r")
