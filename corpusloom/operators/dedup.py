@@ -54,15 +54,20 @@ def with_keys(df: DataFrame, columns: Sequence[str], key: str = "exact") -> Data
     return df.withColumns({f"{c}_key": KEYS[key](F.col(c)) for c in columns})
 
 
-def keep_first(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ("line_no",), key: str = "exact") -> DataFrame:
+def keep_first(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ("line_no",), key: str = "exact", once: bool = False) -> DataFrame:
     """Rows in which the key of every one of `columns` occurs for the first time in `order`. A row that
     is dropped for one column still counts as the first for the others. `order` must tell all rows
-    apart. Keys are shuffled by their names, 128 bits."""
-    keys = F.array(*[F.struct(F.lit(k).alias("column"), named(KEYS[key](F.col(c))).alias("key")) for k, c in enumerate(columns)])
-    keyed = df.select(F.struct(*order).alias("order"), F.explode(keys).alias("k"))
-    firsts = keyed.groupBy("k").agg(F.min("order").alias("order"))
-    everywhere = firsts.groupBy("order").count().where(F.col("count") == len(columns)).select("order.*")
-    return df.join(everywhere, list(order), "left_semi")
+    apart. Keys are shuffled by their names, 128 bits. `df` is read for its keys and again for the join; `once`, where it costs more
+    to make than to shuffle, deals it by `order` first, and both read that one shuffle."""
+    rows = df.select(F.struct(*order).alias("__order"), *[F.col(c) for c in df.columns if c not in order])
+    rows = rows.repartition("__order") if once else rows
+    whole = [F.col("__order")[c].alias(c) if c in order else F.col(c) for c in df.columns]
+    keys = [F.struct(F.lit(k).alias("column"), named(KEYS[key](F.col(c))).alias("key")) for k, c in enumerate(columns)]
+    keyed = rows.select("__order", *whole).select("__order", F.explode(F.array(*keys)).alias("k"))
+    firsts = keyed.groupBy("k").agg(F.min("__order").alias("__order"))
+    everywhere = firsts.groupBy("__order").count().where(F.col("count") == len(columns)).select("__order")
+    # Not a left_semi join, which would be taken back below the shuffle of one side. Of each order there is one row.
+    return rows.join(everywhere, "__order").select(*whole)
 
 
 def drop_known(df: DataFrame, seen: DataFrame, columns: Sequence[str], key: str = "exact") -> DataFrame:

@@ -136,6 +136,17 @@ def test_first_occurrences_are_those_of_the_loop(spark):
     assert sorted(r.file_rank * 150 + r.line_no for r in both.collect()) == expected
 
 
+def test_cleaned_rows_are_made_once(spark):
+    """Conditions after a rewrite do not repeat it, and both uses of what is left read one shuffle."""
+    rows = pairs(spark, [(" a  b ", "c d"), ("a b", "e f"), ("  ", "g h"), ("i\u3000j", "c d"), ("k l", "m")])
+    steps = [("normalize_whitespace", {"COLLAPSE": True}, "src,trg"), ("max_length", {"MAXLENGTH": 5, "MINLENGTH": 1}, None)]
+    cleaned = Pipeline.from_json([{"filter": f, "parameters": p, "language": lang} for f, p, lang in steps]).run(rows, ["src", "trg"])
+    assert "Generate inline" in cleaned._jdf.queryExecution().optimizedPlan().toString()
+    firsts = dedup.keep_first(cleaned, ["src", "trg"], once=True)
+    assert sorted((r.line_no, r.src) for r in firsts.collect()) == [(0, "a b"), (4, "k l")]
+    assert "ReusedExchange" in firsts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("Çà, va? 12",), ("ca va",), ("Straße",)], "t string")
     got = [r.k for r in df.select(dedup.latin_key(F.col("t")).alias("k")).collect()]
