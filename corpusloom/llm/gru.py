@@ -31,12 +31,23 @@ def _log_pick(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
     return picked - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
+def _order(symbols: np.ndarray) -> np.ndarray:
+    """The places of `symbols` in ascending order, and so by class; numbers of 16 bits are sorted by radix."""
+    return np.argsort(symbols.astype(np.uint16) if not len(symbols) or symbols.max() < 1 << 16 else symbols, kind="stable")
+
+
 def _sum_by(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows of each key below n."""
+    """The sum of the rows of each key below n; `keys` ascend."""
     out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
-    out[keys[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0)))
+    out[keys[first]] = np.add.reduceat(rows, first, axis=0)
+    return out
+
+
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    """A column of ones after the states: a product with it adds the bias, and its gradient is that of the bias."""
+    out = np.empty((len(states), states.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = states, 1
     return out
 
 
@@ -119,7 +130,7 @@ class Gru:
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of `targets` in `states` (rows)."""
-        order = np.argsort(targets // CLASS_SIZE, kind="stable")
+        order = _order(targets)
         states, targets = states[order], targets[order]
         classes, members = targets // CLASS_SIZE, targets % CLASS_SIZE
         small = self.small()
@@ -147,8 +158,9 @@ class Gru:
         states, last, kept = self.steps(ids, h)
         time, streams, n = states.shape
         targets = ids.reshape(-1)
-        order = np.argsort(targets // CLASS_SIZE, kind="stable")
-        flat, classes, members = states.reshape(-1, n)[order], targets[order] // CLASS_SIZE, targets[order] % CLASS_SIZE
+        order = _order(targets)
+        targets = targets[order]
+        flat, classes, members = _with_ones(states.reshape(-1, n)[order]), targets // CLASS_SIZE, targets % CLASS_SIZE
         rows, share = np.arange(len(targets)), np.float32(1 / len(targets))
         g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         small = self.small()
@@ -162,20 +174,21 @@ class Gru:
             logits[rows, at] -= share
             return logits
 
-        error = errors(flat @ self.c + self.cb, classes)
-        g["c"], g["cb"] = flat.T @ error, error.sum(axis=0)
+        error = errors(flat @ np.concatenate((self.c, self.cb[None])), classes)
+        g["c"], g["cb"] = np.split(flat.T @ error, [n])
+        g["cb"] = g["cb"][0]
         by_class = error @ self.c.T
         bounds = np.searchsorted(classes, np.arange(len(self.cb) + 1))
         inside = [(k, slice(bounds[k], bounds[k + 1])) for k in range(len(self.cb)) if bounds[k] < bounds[k + 1]]
-        error = self.ob[classes]
+        error = np.empty((len(flat), CLASS_SIZE), np.float32)
+        weights = np.concatenate((self.o, self.ob[:, None]), axis=1)
         for k, own in inside:
-            error[own] += flat[own] @ self.o[k]
+            np.matmul(flat[own], weights[k], out=error[own])
         errors(error, members)
         for k, own in inside:
-            g["o"][k] = flat[own].T @ error[own]
+            product = flat[own].T @ error[own]
+            g["o"][k], g["ob"][k] = product[:-1], product[-1]
             by_class[own] += error[own] @ self.o[k].T
-        present = [k for k, _ in inside]
-        g["ob"][present] = np.add.reduceat(error, bounds[present], axis=0)
         back = np.empty_like(by_class)
         back[order] = by_class
         back = back.reshape(states.shape)
@@ -197,7 +210,7 @@ class Gru:
         g["u"] = states.reshape(-1, n).T @ through.reshape(-1, 3 * n)
         inward = through
         inward[:, :, 2 * n :] = dhs * by_c
-        g["x"] = _sum_by(targets, inward.reshape(-1, 3 * n), self.symbols)
+        g["x"] = _sum_by(targets, inward.reshape(-1, 3 * n)[order], self.symbols)
         return g, last
 
     def train(self, documents: list[np.ndarray], streams: int = 512, window: int = 20, rate: float = 0.03) -> int:

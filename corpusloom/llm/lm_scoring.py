@@ -242,35 +242,23 @@ def score_documents(
     model = train(training, lexicon, hidden, rounds, share)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of each row that are not among the frequent."""
-        known = shared.value[0].counts
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for start, _, texts in grouped(batch):
-                owners, words, n = [], [], []
-                for k, text in enumerate(texts):
-                    found = Counter(w for w in tokens(text) if w not in known)
-                    owners.append(np.full(len(found), keys[start + k]))
-                    words += found
-                    n += found.values()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(owners)), pa.array(words, pa.binary()), pa.array(n, pa.int32())],
-                    ["row_key", "word", "n"],
-                )
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores without the counts of rare words."""
+        """Scores without the counts of rare words, and those of each row: words that are not among the frequent."""
         lexicon, model = shared.value
         reader = Reader(lexicon)
         log_others, log_total = np.log10(lexicon.others), lexicon.log_total()
         end_count = np.log10(lexicon.documents + ALPHA)
         first = len(lexicon.symbols)
         for batch in batches:
-            documents, n_tokens, n_known, base, extra = [], [], [], [], []
+            if not batch.num_rows:
+                continue
+            documents, n_tokens, n_known, base, extra, rare_words, rare_n = [], [], [], [], [], [], []
             for _, _, texts in grouped(batch):
+                rare = []
                 for text in texts:
-                    at, symbols = reader.look_up(tokens(text))
+                    words = tokens(text)
+                    at, symbols = reader.look_up(words)
+                    rare.append(Counter(words[k] for k in np.flatnonzero(at < 0).tolist()))
                     known, outside = at >= 0, symbols >= first
                     logs = reader.log_count[at[known]]
                     documents.append(np.append(symbols, np.int32(lexicon.size - 1)))
@@ -278,6 +266,8 @@ def score_documents(
                     n_known.append(len(logs) + (lexicon.documents > 0))
                     base.append(float(logs.sum()) + end_count - log_total * (len(at) + 1))
                     extra.append(float(logs[outside[known]].sum() - log_others[symbols[outside] - first].sum()))
+                rare_words.append(pa.array([list(r) for r in rare], pa.list_(pa.binary())))
+                rare_n.append(pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -287,24 +277,27 @@ def score_documents(
                     pa.array(n_known, pa.int64()),
                     pa.array(base, pa.float64()),
                     pa.array(model.score(documents) + np.array(extra, float)),
+                    pa.concat_arrays(rare_words),
+                    pa.concat_arrays(rare_n),
                 ],
-                ["id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                ["id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    words = rows.select("row_key", "text").mapInArrow(rare, "row_key long, word binary, n int")
+    schema = f"id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    # Both the scores and the rare words are used, so they are written: the texts are read once for them.
+    scored = cut(rows.select("id", "row_key", "held_out", "text").mapInArrow(read, f"{schema}, rare array<binary>, rare_n array<int>"))
+    words = scored.select("row_key", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row_key", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
     log_count = F.log10(F.coalesce(F.col("c.n"), F.lit(0)) + F.lit(ALPHA))
     found = words.alias("w").join(counts.select("word", "n").alias("c"), F.col("w.word") == F.col("c.word"), "left")
     rest = found.groupBy("row_key").agg(
         F.sum(F.col("w.n") * log_count).alias("logs"), F.sum(F.when(F.col("c.n").isNotNull(), F.col("w.n"))).alias("more_known")
     )
     # Rows with equal id and text share their key, and each has added the same words.
-    again = rows.groupBy("row_key").agg(F.count("*").alias("copies")).where("copies > 1")
+    again = scored.groupBy("row_key").agg(F.count("*").alias("copies")).where("copies > 1")
     rest = rest.join(again, "row_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     logs = F.coalesce(F.col("logs") / F.col("copies"), F.lit(0.0))
     more_known = F.coalesce(F.expr("more_known div copies"), F.lit(0))
-    schema = f"id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = rows.select("id", "row_key", "held_out", "text").mapInArrow(read, schema)
     return scored.join(rest, "row_key", "left").select(
         F.col("id").alias(id_col),
         "held_out",
