@@ -51,6 +51,22 @@ def _with_ones(states: np.ndarray) -> np.ndarray:
     return out
 
 
+class Room:
+    """Arrays that each window writes anew, in memory that is kept: fresh pages cost as much as the work on them."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.kept or len(self.kept[name]) < size:
+            self.kept[name] = np.empty(size, np.float32)
+        return self.kept[name][:size].reshape(shape)
+
+    def __reduce__(self):
+        return Room, ()
+
+
 class Gru:
     """Symbol k is member k % CLASS_SIZE of class k // CLASS_SIZE; `end` resets the state.
 
@@ -63,7 +79,7 @@ class Gru:
 
     def __init__(self, weights: np.ndarray, hidden: int = 16, seed: int = 3):
         """Starts as the unigram model of the symbols' `weights` (positive)."""
-        self.symbols, self.hidden, self.end = len(weights), hidden, len(weights) - 1
+        self.symbols, self.hidden, self.end, self.room = len(weights), hidden, len(weights) - 1, Room()
         classes = -(-self.symbols // CLASS_SIZE)
         rng = np.random.default_rng(seed)
 
@@ -107,21 +123,24 @@ class Gru:
 
     def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
         """The states before each of the symbols `ids` (time by stream), the last state, and, to
-        `keep`, what the gradients need."""
-        n, kept = self.hidden, []
-        states = np.empty((len(ids), ids.shape[1], n), np.float32)
-        inputs = self.x[ids]
+        `keep`, what the gradients need: gates, candidates and the candidates' recurrent parts. All
+        but the last state are overwritten by the next call."""
+        n, (time, streams) = self.hidden, ids.shape
+        states = self.room("states", time, streams, n)
+        kept = [self.room(name, time if keep else 1, streams, k * n) for name, k in (("gates", 2), ("candidate", 1), ("inner", 1))]
+        inputs = np.take(self.x, ids, axis=0, out=self.room("inputs", time, streams, 3 * n), mode="clip")
         going = (ids != self.end).astype(np.float32)[:, :, None]
-        for t in range(len(ids)):
+        for t in range(time):
             states[t] = h
             recurrent = h @ self.u
-            gates = _sigmoid(inputs[t, :, : 2 * n] + recurrent[:, : 2 * n])
+            gates, candidate, inner = (part[t if keep else 0] for part in kept)
+            np.add(inputs[t, :, : 2 * n], recurrent[:, : 2 * n], out=gates)
+            _sigmoid(gates)
             r, z = gates[:, :n], gates[:, n:]
-            candidate = r * recurrent[:, 2 * n :]
+            inner[:] = recurrent[:, 2 * n :]
+            np.multiply(r, inner, out=candidate)
             candidate += inputs[t, :, 2 * n :]
             np.tanh(candidate, out=candidate)
-            if keep:
-                kept.append((r, z, candidate, recurrent[:, 2 * n :]))
             h = h - candidate
             h *= z
             h += candidate
@@ -174,13 +193,14 @@ class Gru:
             logits[rows, at] -= share
             return logits
 
-        error = errors(flat @ np.concatenate((self.c, self.cb[None])), classes)
+        logits = self.room("classes", len(flat), len(self.cb))
+        error = errors(np.matmul(flat, np.concatenate((self.c, self.cb[None])), out=logits), classes)
         g["c"], g["cb"] = np.split(flat.T @ error, [n])
         g["cb"] = g["cb"][0]
-        by_class = error @ self.c.T
+        by_class = np.matmul(error, self.c.T, out=self.room("by_class", len(flat), n))
         bounds = np.searchsorted(classes, np.arange(len(self.cb) + 1))
         inside = [(k, slice(bounds[k], bounds[k + 1])) for k in range(len(self.cb)) if bounds[k] < bounds[k + 1]]
-        error = np.empty((len(flat), CLASS_SIZE), np.float32)
+        error = self.room("members", len(flat), CLASS_SIZE)
         weights = np.concatenate((self.o, self.ob[:, None]), axis=1)
         for k, own in inside:
             np.matmul(flat[own], weights[k], out=error[own])
@@ -189,16 +209,26 @@ class Gru:
             product = flat[own].T @ error[own]
             g["o"][k], g["ob"][k] = product[:-1], product[-1]
             by_class[own] += error[own] @ self.o[k].T
-        back = np.empty_like(by_class)
+        back = self.room("back", len(flat), n)
         back[order] = by_class
         back = back.reshape(states.shape)
-        r, z, candidate, recurrent = (np.stack(part) for part in zip(*kept, strict=True))
+        gates, candidate, recurrent = kept
+        r, z = gates[:, :, :n], gates[:, :, n:]
         going = (ids != self.end).astype(np.float32)[:, :, None]
-        by_c = (1 - z) * (1 - candidate**2)
-        by_r = by_c * recurrent * r * (1 - r)
-        by_z = (states - candidate) * z * (1 - z)
-        through = np.concatenate((by_r, by_z, by_c * r), axis=2)
-        dhs = np.empty_like(states)
+        keeping = np.subtract(1, z, out=self.room("keeping", *states.shape))
+        by_c = np.multiply(candidate, candidate, out=self.room("by_c", *states.shape))
+        np.subtract(1, by_c, out=by_c)
+        by_c *= keeping
+        through = self.room("through", time, streams, 3 * n)
+        by_r, by_z, by_h = (through[:, :, k * n : (k + 1) * n] for k in range(3))
+        np.multiply(by_c, r, out=by_h)
+        np.subtract(1, r, out=by_r)
+        by_r *= by_h
+        by_r *= recurrent
+        np.subtract(states, candidate, out=by_z)
+        by_z *= z
+        by_z *= keeping
+        dhs = self.room("dhs", *states.shape)
         dh = np.zeros((streams, n), np.float32)
         wide, turned = through.reshape(time, streams, 3, n), self.u.T.copy()
         for t in reversed(range(time)):
@@ -209,8 +239,9 @@ class Gru:
             dh += back[t]
         g["u"] = states.reshape(-1, n).T @ through.reshape(-1, 3 * n)
         inward = through
-        inward[:, :, 2 * n :] = dhs * by_c
-        g["x"] = _sum_by(targets, inward.reshape(-1, 3 * n)[order], self.symbols)
+        np.multiply(dhs, by_c, out=inward[:, :, 2 * n :])
+        inward = np.take(inward.reshape(-1, 3 * n), order, axis=0, out=self.room("inputs", len(flat), 3 * n), mode="clip")
+        g["x"] = _sum_by(targets, inward, self.symbols)
         return g, last
 
     def train(self, documents: list[np.ndarray], streams: int = 512, window: int = 20, rate: float = 0.03) -> int:

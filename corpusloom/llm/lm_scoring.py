@@ -9,6 +9,9 @@ copy on its part by truncated backpropagation, hundreds of documents side by sid
 the copies. Whole documents are then scored with the
 state carried from window to window.
 
+Texts are read twice: to count words, and to write the symbols of each document, from which the rounds
+learn and the scores are taken.
+
 Only bounded data is broadcast: the model and the counts of the `lookup` most frequent words. The
 counts of all other words reach the documents that have them in a join.
 """
@@ -38,7 +41,7 @@ ALPHA = 0.1
 #: Distinct words that a task holds before it passes its counts on.
 HELD = 200_000
 CHUNK = 4096
-#: Symbols of whole documents that a task gathers before it learns from them, side by side in streams.
+#: Symbols of whole documents that a task gathers before it learns from them or scores them, side by side in streams.
 HELD_SYMBOLS = 1_000_000
 
 
@@ -136,9 +139,6 @@ class Reader:
         symbols[rare] = [self.tails[words[k].rstrip(MARKS)[-2:]] for k in rare.tolist()]
         return at, symbols
 
-    def symbols_of(self, text: bytes) -> np.ndarray:
-        return np.append(self.look_up(tokens(text))[1], np.int32(self.lexicon.size - 1))
-
 
 def lexicon_of(training: DataFrame, vocabulary: int, lookup: int) -> tuple[Lexicon, DataFrame]:
     """Counts over all rows of `training` (text): the frequent ones, about `lookup`, and the table of all."""
@@ -159,8 +159,28 @@ def lexicon_of(training: DataFrame, vocabulary: int, lookup: int) -> tuple[Lexic
     return Lexicon(symbols, known, np.maximum(others, ALPHA), documents, total + documents, types + (documents > 0)), counts
 
 
+def packed(symbols: list[np.ndarray]) -> pa.Array:
+    """Symbols of documents, as bytes: two each where that is enough, else four. A first byte tells which."""
+    kinds = [np.uint16 if not len(x) or x.max() < 1 << 16 else np.int32 for x in symbols]
+    return pa.array([bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes() for x, kind in zip(symbols, kinds, strict=True)], pa.binary())
+
+
+def gathered(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The symbols of documents that `packed` wrote, in runs of about HELD_SYMBOLS."""
+    held, size = [], 0
+    for value in column:
+        data = value.as_py()
+        held.append(np.frombuffer(data, np.uint16 if data[0] == 2 else np.int32, offset=1).astype(np.int32))
+        size += len(held[-1])
+        if size >= HELD_SYMBOLS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def portions(training: DataFrame, rounds: int = 2, share: int = 2) -> list[DataFrame]:
-    """The rows (id, text) that each of the rounds learns from: 1 / `share` of all, by a hash of the
+    """The rows, with an id, that each of the rounds learns from: 1 / `share` of all, by a hash of the
     id, another for each round. All rows are in one of them at least."""
     if share > rounds:
         raise ValueError("rows would be left out: share must not exceed rounds")
@@ -169,19 +189,18 @@ def portions(training: DataFrame, rounds: int = 2, share: int = 2) -> list[DataF
 
 
 def train(training: DataFrame, lexicon: Lexicon, hidden: int = 16, rounds: int = 2, share: int = 2) -> Gru:
-    """The model after `rounds` rounds, each on its portion of `training` (id, text)."""
+    """The model after `rounds` rounds, each on its portion of `training` (id, symbols)."""
     model = Gru(lexicon.weights(), hidden)
     for portion in portions(training, rounds, share):
-        shared = training.sparkSession.sparkContext.broadcast((lexicon, model))
+        shared = training.sparkSession.sparkContext.broadcast((lexicon.weights(), model))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known, start = shared.value
-            own, reader, seen = Gru(known.weights(), start.hidden), Reader(known), 0
+            own, seen = Gru(known, start.hidden), 0
             own.load(start.vector())
             held, size = [], 0
             for batch in batches:
-                for _, _, texts in grouped(batch):
-                    found = [reader.symbols_of(t) for t in texts]
+                for found in gathered(batch.column(0)):
                     held, size = held + found, size + sum(map(len, found))
                     if size >= HELD_SYMBOLS:
                         seen += own.train(held)
@@ -199,7 +218,7 @@ def train(training: DataFrame, lexicon: Lexicon, hidden: int = 16, rounds: int =
                     ["piece", "weight", "part"],
                 )
 
-        parts = portion.select("text").mapInArrow(run, "piece int, weight double, part array<double>")
+        parts = portion.select("symbols").mapInArrow(run, "piece int, weight double, part array<double>")
         mean = Summarizer.mean(array_to_vector("part"), F.col("weight"))
         found = parts.groupBy("piece").agg(vector_to_array(mean).alias("part")).orderBy("piece").collect()
         shared.unpersist()
@@ -237,14 +256,14 @@ def score_documents(
         F.col(text_col).alias("text"),
         held_out.alias("held_out"),
     )
-    training = rows.where("not held_out").select("id", "text")
-    lexicon, counts = lexicon_of(training, vocabulary, lookup)
-    model = train(training, lexicon, hidden, rounds, share)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))
+    lexicon, counts = lexicon_of(rows.where("not held_out").select("text"), vocabulary, lookup)
+    context = docs.sparkSession.sparkContext
+    lexicon_shared = context.broadcast(lexicon)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores without the counts of rare words, and those of each row: words that are not among the frequent."""
-        lexicon, model = shared.value
+        """Each row's symbols, its words that are not among the frequent, base scores without them, and what
+        its score has beside the model's: the shares of words outside the vocabulary."""
+        lexicon = lexicon_shared.value
         reader = Reader(lexicon)
         log_others, log_total = np.log10(lexicon.others), lexicon.log_total()
         end_count = np.log10(lexicon.documents + ALPHA)
@@ -254,18 +273,19 @@ def score_documents(
                 continue
             documents, n_tokens, n_known, base, extra, rare_words, rare_n = [], [], [], [], [], [], []
             for _, _, texts in grouped(batch):
-                rare = []
+                rare, found = [], []
                 for text in texts:
                     words = tokens(text)
                     at, symbols = reader.look_up(words)
                     rare.append(Counter(words[k] for k in np.flatnonzero(at < 0).tolist()))
                     known, outside = at >= 0, symbols >= first
                     logs = reader.log_count[at[known]]
-                    documents.append(np.append(symbols, np.int32(lexicon.size - 1)))
+                    found.append(np.append(symbols, np.int32(lexicon.size - 1)))
                     n_tokens.append(len(at) + 1)
                     n_known.append(len(logs) + (lexicon.documents > 0))
                     base.append(float(logs.sum()) + end_count - log_total * (len(at) + 1))
                     extra.append(float(logs[outside[known]].sum() - log_others[symbols[outside] - first].sum()))
+                documents.append(packed(found))
                 rare_words.append(pa.array([list(r) for r in rare], pa.list_(pa.binary())))
                 rare_n.append(pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(
@@ -276,25 +296,41 @@ def score_documents(
                     pa.array(n_tokens, pa.int64()),
                     pa.array(n_known, pa.int64()),
                     pa.array(base, pa.float64()),
-                    pa.array(model.score(documents) + np.array(extra, float)),
+                    pa.array(extra, pa.float64()),
+                    pa.concat_arrays(documents),
                     pa.concat_arrays(rare_words),
                     pa.concat_arrays(rare_n),
                 ],
-                ["id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"],
+                ["id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "extra", "symbols", "rare", "rare_n"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    # Both the scores and the rare words are used, so they are written: the texts are read once for them.
-    scored = cut(rows.select("id", "row_key", "held_out", "text").mapInArrow(read, f"{schema}, rare array<binary>, rare_n array<int>"))
-    words = scored.select("row_key", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row_key", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
+    schema = f"id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double"
+    # The rounds, the scores and the join of the rare words use it, so it is written: texts are not read again.
+    known = cut(
+        rows.select("id", "row_key", "held_out", "text").mapInArrow(read, f"{schema}, extra double, symbols binary, rare array<binary>, rare_n array<int>")
+    )
+    model_shared = context.broadcast(train(known.where("not held_out").select("id", "symbols"), lexicon, hidden, rounds, share))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with the model's scores, without the counts of rare words."""
+        model = model_shared.value
+        for batch in batches:
+            if batch.num_rows:
+                found = np.concatenate([model.score(documents) for documents in gathered(batch.column(7))])
+                found += batch.column(6).to_numpy()
+                columns = [*batch.columns[:6], pa.array(found)]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:6], "score"])
+
+    scored = known.drop("rare", "rare_n").mapInArrow(score, f"{schema}, score double")
+    words = known.select("row_key", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row_key", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("n"))
     log_count = F.log10(F.coalesce(F.col("c.n"), F.lit(0)) + F.lit(ALPHA))
     found = words.alias("w").join(counts.select("word", "n").alias("c"), F.col("w.word") == F.col("c.word"), "left")
     rest = found.groupBy("row_key").agg(
         F.sum(F.col("w.n") * log_count).alias("logs"), F.sum(F.when(F.col("c.n").isNotNull(), F.col("w.n"))).alias("more_known")
     )
     # Rows with equal id and text share their key, and each has added the same words.
-    again = scored.groupBy("row_key").agg(F.count("*").alias("copies")).where("copies > 1")
+    again = known.groupBy("row_key").agg(F.count("*").alias("copies")).where("copies > 1")
     rest = rest.join(again, "row_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     logs = F.coalesce(F.col("logs") / F.col("copies"), F.lit(0.0))
     more_known = F.coalesce(F.expr("more_known div copies"), F.lit(0))

@@ -177,6 +177,19 @@ def test_every_training_row_is_learned_from(frame):
         lm_scoring.portions(frame.selectExpr("doc_id as id", "text"), rounds=2, share=24)
 
 
+def test_symbols_of_documents_are_written_once_and_scored_side_by_side():
+    rng = np.random.default_rng(4)
+    documents = [rng.integers(0, 150, rng.integers(1, 900)).astype(np.int32) for _ in range(3000)]
+    documents += [np.array([70_000, 3], np.int32), np.array([65_535], np.int32)]
+    runs = list(lm_scoring.gathered(lm_scoring.packed(documents)))
+    assert [x.tolist() for run in runs for x in run] == [x.tolist() for x in documents]
+    assert len(runs) == 2 and all(sum(map(len, run[:-1])) < lm_scoring.HELD_SYMBOLS for run in runs)
+    assert list(lm_scoring.gathered(lm_scoring.packed([]))) == []
+    model, some = small_model(), [np.append(x, 149) for x in documents[:40]]
+    for run in lm_scoring.gathered(lm_scoring.packed(some)):
+        assert model.score(run) == pytest.approx([model.score([x])[0] for x in some], rel=1e-5)
+
+
 def test_no_symbol_is_left_out_of_training():
     model, seen = small_model(), []
     inner = model.gradients
