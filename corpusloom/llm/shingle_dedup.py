@@ -1,11 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, with an exact candidate search.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints through the vantage-point
+tree of `simhash`, each link checked by exact similarity, then an exact candidate search for the others.
+
+The fingerprint of a set is that of its shingles' hashes. Sets whose fingerprints the tree joins are compared
+with the smallest set of their group, and those that are similar are one component from then on. Fingerprints
+of sets just above the least similarity differ in more bits than a tree can be asked for, so the links that
+it cannot have are looked for among sets of different components.
 
 Two sets of similarity `least` share a shingle among the first size - ceil(least * size) + 1 of each,
 in any one order of all shingles (prefix filter). Here frequent shingles come last and the others go by
 their hash. Which are frequent is counted within tasks only, in bounded lists: this decides how many
 candidates there are, never which links are found.
 
-Candidates are settled in two steps. First each set is compared with the smallest set that has one of
+These candidates are settled in two steps. First each set is compared with the smallest set that has one of
 its prefix shingles, so groups of copies become one component at a cost that grows with their number,
 not with its square. Then only shingles are left whose sets are in several components. These sets are
 compared, those of similar size, in blocks; equal lists of sets are looked at once.
@@ -29,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, top
-from corpusloom.llm.simhash import merge_stars
+from corpusloom.llm.simhash import majority, merge_stars, through_tree
 from corpusloom.llm.words import Codes, grouped, rolled
 
 #: Shingles that a task holds before it looks for frequent ones among them.
@@ -77,17 +83,17 @@ def most_apart(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
 
 
 def _names(words: int):
-    """A row (row_key, set, size, parity) for each text, and rows (shingle, n) for what a task finds often."""
+    """A row (row_key, set, size, parity, fp) for each text, and rows (shingle, n) for what a task finds often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held, size = Codes(), [], 0
-        columns = ["row_key", "set", "size", "parity", "shingle", "n"]
+        columns = ["row_key", "set", "size", "parity", "fp", "shingle", "n"]
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts > 1
             values, counts = values[often], counts[often]
-            none = [pa.nulls(len(values), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+            none = [pa.nulls(len(values), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())]
             held.clear()
             return pa.RecordBatch.from_arrays([*none, pa.array(values.view(np.int64)), pa.array(counts)], columns)
 
@@ -98,7 +104,8 @@ def _names(words: int):
                 sizes = np.array([len(f) for f in found], np.int32)
                 none = [pa.nulls(len(found), pa.int64())] * 2
                 own = [batch.column(0).slice(start, end - start), pa.array(names.view(np.int64)), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(map(parity, found), pa.binary()), *none], columns)
+                prints = pa.array(np.array([majority(f) for f in found], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(map(parity, found), pa.binary()), prints, *none], columns)
                 held += found
                 size += int(sizes.sum())
                 if size >= HELD:
@@ -230,18 +237,19 @@ def runs_of(part: pd.DataFrame, keys: list[str]) -> list[np.ndarray]:
 
 def components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8,
-    block: int = 1000, frequent: int = 500_000,
+    block: int = 1000, frequent: int = 500_000, max_bits: int = 2,
 ) -> DataFrame:
     """(row_key, component) of each row of `docs`: rows are linked if the sets of their shingles of
     `words` words have a Jaccard similarity of `least` or more; all linked rows share a component.
 
     A-Z is lower-cased; words are runs of anything but ASCII white space. Texts without words are
     equal. Equal sets are compared once, by a 64-bit hash. `frequent` bounds the list of frequent
-    shingles that is broadcast, `block` the sets in a block.
+    shingles that is broadcast, `block` the sets in a block; `max_bits` is how many bits linked
+    fingerprints differ in at most, which decides by which way a link is found, never whether.
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    found = cut(rows.mapInArrow(_names(words), "row_key long, set long, size int, parity binary, shingle long, n long"))
+    found = cut(rows.mapInArrow(_names(words), "row_key long, set long, size int, parity binary, fp long, shingle long, n long"))
     named = found.where("shingle is null").select("row_key", "set")
     counts = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 3")
     often = np.sort(top(counts, "n", "shingle", frequent).column("shingle").to_numpy().view(np.uint64))
@@ -251,7 +259,7 @@ def components(
     prefixes = rows.select("text").mapInArrow(_prefixes(words, least, shared), "shingle long, set long")
     lows = prefixes.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
     lists = prefixes.join(lows.select("shingle", "low"), "shingle").distinct()
-    firsts = found.where("shingle is null").groupBy("set", "size").agg(F.min("row_key").alias("row_key"), F.first("parity").alias("parity"))
+    firsts = found.where("shingle is null").groupBy("set", "size").agg(F.min("row_key").alias("row_key"), F.first("parity").alias("parity"), F.first("fp").alias("fp"))
     firsts = cut(firsts)
     lists = cut(lists.join(firsts.select("set", "size"), "set"))
 
@@ -259,20 +267,33 @@ def components(
     packed = rows.mapInArrow(_pack, "row_key long, packed binary").join(wanted, "row_key")
     texts = cut(packed.groupBy("set").agg(F.first("packed").alias("packed")))
 
-    # Each set with the smallest of its lists.
-    one = firsts.select(F.col("set").alias("a"), F.col("size").alias("n"), F.col("parity").alias("parity_a"))
-    other = firsts.select(F.col("set").alias("low"), F.col("size").alias("m"), F.col("parity").alias("parity_b"))
-    pairs = lists.where("set <> low").select(F.col("set").alias("a"), "low").distinct().join(one, "a").join(other, "low")
-    pairs = pairs.where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9))
-    pairs = cut(pairs.select("a", "low", "parity_a", "parity_b", "n", "m").mapInArrow(_promising(least), "a long, low long"))
-    # A set with many others is there once for each `block` of them.
-    many = pairs.groupBy("low").agg(F.expr(f"cast(count(*) div {block} as int)").alias("more"))
-    ends = texts.select(F.col("set").alias("b"), F.col("packed").alias("packed_b"))
-    ends = ends.join(many, F.col("b") == F.col("low")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("more")))).drop("more", "low")
-    pairs = pairs.join(many, "low").select("a", F.col("low").alias("b"), F.pmod(F.xxhash64("a"), F.col("more") + 1).cast("int").alias("turn"))
-    starts = texts.select(F.col("set").alias("a"), F.col("packed").alias("packed_a"))
-    compared = pairs.join(starts, "a").join(ends, ["b", "turn"]).select("a", "b", "packed_a", "packed_b")
-    stars = merge_stars(compared.mapInArrow(_compare(words, least), "a long, b long"))
+    def similar_pairs(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, low) of sets, many for a `low`, that are similar, as (a, b)."""
+        one = firsts.select(F.col("set").alias("a"), F.col("size").alias("n"), F.col("parity").alias("parity_a"))
+        other = firsts.select(F.col("set").alias("low"), F.col("size").alias("m"), F.col("parity").alias("parity_b"))
+        pairs = pairs.join(one, "a").join(other, "low")
+        pairs = pairs.where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9))
+        pairs = cut(pairs.select("a", "low", "parity_a", "parity_b", "n", "m").mapInArrow(_promising(least), "a long, low long"))
+        # A set with many others is there once for each `block` of them.
+        many = pairs.groupBy("low").agg(F.expr(f"cast(count(*) div {block} as int)").alias("more"))
+        ends = texts.select(F.col("set").alias("b"), F.col("packed").alias("packed_b"))
+        ends = ends.join(many, F.col("b") == F.col("low")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("more")))).drop("more", "low")
+        pairs = pairs.join(many, "low").select("a", F.col("low").alias("b"), F.pmod(F.xxhash64("a"), F.col("more") + 1).cast("int").alias("turn"))
+        starts = texts.select(F.col("set").alias("a"), F.col("packed").alias("packed_a"))
+        compared = pairs.join(starts, "a").join(ends, ["b", "turn"]).select("a", "b", "packed_a", "packed_b")
+        return compared.mapInArrow(_compare(words, least), "a long, b long")
+
+    # Each set with the smallest of those that the tree joins to it; sets that share no shingle of their prefixes have no text here, and no link.
+    trees = through_tree(firsts.select(F.col("set").alias("id"), "row_key", "fp"), max_bits)
+    trees = trees.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("low"))
+    close = cut(similar_pairs(trees))
+
+    # Each set with the smallest of its lists, where the tree has not made them one.
+    root = close.select("a", F.col("b").alias("root"))
+    pairs = lists.where("set <> low").select(F.col("set").alias("a"), "low").distinct().join(root, "a", "left")
+    pairs = pairs.join(close.select(F.col("a").alias("low"), F.col("b").alias("low_root")), "low", "left")
+    pairs = pairs.where(F.coalesce("root", "a") != F.coalesce("low_root", "low")).select("a", "low")
+    stars = merge_stars(close.union(similar_pairs(pairs)))
 
     # What is left: lists, by classes of size, with sets of several components.
     labelled = lists.join(stars.withColumnRenamed("a", "set"), "set", "left").withColumn("label", F.coalesce("root", "set"))

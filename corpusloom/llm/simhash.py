@@ -39,7 +39,11 @@ def fingerprint(text: bytes, shingle_words: int = 3) -> int:
         return 0
     n = shingle_words
     shingles = zip(*[words[k:] for k in range(n)], strict=False) if len(words) >= n else [words]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; without hashes, zero."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -194,6 +198,11 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     prints = cut(rows.mapInArrow(_fingerprints(shingle_words), f"id {kind}, row_key long, fp long"))
+    return through_tree(prints, max_bits, shard_size, sample_size).withColumnRenamed("id", id_col)
+
+
+def through_tree(prints: DataFrame, max_bits: int = 2, shard_size: int = 20_000, sample_size: int = 100_000) -> DataFrame:
+    """The rows `prints` (id, row_key, fp) with the component of each fingerprint and the smallest id in it."""
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
 
     n = classes.count()
@@ -219,7 +228,7 @@ def near_duplicates(
     members = members.withColumn("component", F.coalesce("root", "fp"))
     lows = members.groupBy("component").agg(F.min("low").alias("component_id"))
     named = cut(members.join(lows, "component").select("fp", "component", "component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "row_key", "fp", "component", "component_id")
+    return prints.join(named, "fp").select("id", "row_key", "fp", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -78,3 +78,28 @@ def test_sets_of_one_label_or_far_apart_are_not_near():
     sets = [own[0], own[0][3:], own[1], own[2], own[2][1:]]
     parities, sizes = shingle_dedup.folded([shingle_dedup.parity(s) for s in sets]), np.array([len(s) for s in sets])
     assert shingle_dedup.near(parities, sizes, np.array([0, 1, 2, 3, 3]), 0.8).tolist() == [True, True, False, False, False]
+
+
+def test_links_come_from_the_tree_and_are_checked(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = made()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    inner, seen = shingle_dedup.through_tree, []
+
+    def spied(prints, max_bits):
+        seen.append(({r.fp for r in prints.collect()}, max_bits))
+        return inner(prints, max_bits)
+
+    def all_in_one(prints, max_bits):
+        return prints.crossJoin(prints.agg(F.min("id").alias("component_id")))
+
+    def none(prints, max_bits):
+        return prints.withColumn("component_id", F.col("id"))
+
+    for tree in (spied, all_in_one, none):
+        monkeypatch.setattr(shingle_dedup, "through_tree", tree)
+        assert sorted(r.doc_id for r in shingle_dedup.keep_first(docs).collect()) == sorted(brute_force(rows))
+    codes = shingle_dedup.Codes()
+    prints = {shingle_dedup.majority(shingle_dedup.shingles_of((t or "").encode(), 5, codes)) for _, t in rows}
+    assert {fp % (1 << 64) for fp in seen[0][0]} == prints and len(seen) == 1
