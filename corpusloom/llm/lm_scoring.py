@@ -9,8 +9,9 @@ copy on its part by truncated backpropagation, hundreds of documents side by sid
 the copies. Whole documents are then scored with the
 state carried from window to window.
 
-Texts are read twice: to count words, and to write the symbols of each document, from which the rounds
-learn and the scores are taken.
+Texts are read once: each document is written as numbers of words within a chunk of documents, which has
+each of its words once. Words are counted and looked up by chunk; the symbols that follow are written, and
+the rounds learn from them and the scores are taken from them.
 
 Only bounded data is broadcast: the model and the counts of the `lookup` most frequent words. The
 counts of all other words reach the documents that have them in a join.
@@ -26,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -38,11 +40,12 @@ from corpusloom.llm.words import grouped
 #: Symbols for words outside the model's vocabulary.
 OTHERS = 63
 ALPHA = 0.1
-#: Distinct words that a task holds before it passes its counts on.
+#: Distinct words in a chunk of documents.
 HELD = 200_000
 CHUNK = 4096
-#: Symbols of whole documents that a task gathers before it learns from them or scores them, side by side in streams.
+#: Symbols of whole documents that a task gathers before it learns from them, or scores them, side by side in streams.
 HELD_SYMBOLS = 1_000_000
+HELD_SCORED = 4_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -65,22 +68,45 @@ def other(word: bytes) -> int:
     return of_tail(tail_of(word))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+class Ids(dict):
+    """Numbers of words, in order of their first occurrence."""
 
-    def flush() -> pa.RecordBatch:
-        words = list(counts)
-        columns = [pa.array(words, pa.binary()), pa.array([other(w) for w in words], pa.int32()), pa.array([counts[w] for w in words], pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, ["word", "other", "n"])
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, row_key, held_out, text) with the numbers of their words in place of the text. The first
+    row of each chunk has the chunk's words, their symbols for others and their counts in training rows;
+    these hold for the rows after it, up to the next such row."""
+    packer, ids, held, codes, size = zstandard.ZstdCompressor(level=1), Ids(), [], [], 0
+
+    def chunk() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        training = [c for c, out in zip(codes, rows.column(2).to_pylist(), strict=True) if not out]
+        counts = np.bincount(np.concatenate(training) if training else np.zeros(0, np.int32), minlength=len(ids))
+        words, none = list(ids), [None] * (len(codes) - 1)
+        columns = [
+            pa.array([packer.compress(c.tobytes()) for c in codes], pa.binary()),
+            pa.array([words, *none], pa.list_(pa.binary())),
+            pa.array([[other(w) for w in words], *none], pa.list_(pa.int32())),
+            pa.array([counts, *none], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays([*rows.columns, *columns], [*rows.schema.names, "codes", "words", "others", "counts"])
 
     for batch in batches:
-        for _, _, texts in grouped(batch):
+        for start, end, texts in grouped(batch):
             for text in texts:
-                counts.update(tokens(text))
-            if len(counts) > HELD:
-                yield flush()
-    yield flush()
+                words = tokens(text)
+                codes.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+                size += len(words)
+            held.append(batch.slice(start, end - start).select([0, 1, 2]))
+            if len(ids) > HELD or size > 2 * HELD_SYMBOLS:
+                yield chunk()
+                ids, held, codes, size = Ids(), [], [], 0
+    if held:
+        yield chunk()
 
 
 @dataclass
@@ -140,9 +166,11 @@ class Reader:
         return at, symbols
 
 
-def lexicon_of(training: DataFrame, vocabulary: int, lookup: int) -> tuple[Lexicon, DataFrame]:
-    """Counts over all rows of `training` (text): the frequent ones, about `lookup`, and the table of all."""
-    counts = cut(training.select("text").mapInArrow(_count, "word binary, other int, n long").groupBy("word", "other").agg(F.sum("n").alias("n")))
+def lexicon_of(coded: DataFrame, documents: int, vocabulary: int, lookup: int) -> tuple[Lexicon, DataFrame]:
+    """Counts over the training rows, so many `documents`, of `coded`: the frequent ones, about `lookup`, and the table of all."""
+    found = coded.where("words is not null").select(F.explode(F.arrays_zip("words", "others", "counts")).alias("w"))
+    found = found.select(F.col("w.words").alias("word"), F.col("w.others").alias("other"), F.col("w.counts").alias("n")).where("n > 0")
+    counts = cut(found.groupBy("word", "other").agg(F.sum("n").alias("n")))
     frequent = top(counts, "n", "word", lookup)
     words, n = [bytes(w) for w in frequent.column("word").to_pylist()], frequent.column("n").to_pylist()
     order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
@@ -155,7 +183,6 @@ def lexicon_of(training: DataFrame, vocabulary: int, lookup: int) -> tuple[Lexic
         types, total = types + r["types"], total + r["n"]
     for word in symbols:
         others[other(word)] -= known[word] + ALPHA
-    documents = training.count()
     return Lexicon(symbols, known, np.maximum(others, ALPHA), documents, total + documents, types + (documents > 0)), counts
 
 
@@ -165,14 +192,14 @@ def packed(symbols: list[np.ndarray]) -> pa.Array:
     return pa.array([bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes() for x, kind in zip(symbols, kinds, strict=True)], pa.binary())
 
 
-def gathered(column: pa.Array) -> Iterator[list[np.ndarray]]:
-    """The symbols of documents that `packed` wrote, in runs of about HELD_SYMBOLS."""
+def gathered(column: pa.Array, most: int = HELD_SYMBOLS) -> Iterator[list[np.ndarray]]:
+    """The symbols of documents that `packed` wrote, in runs of about `most`."""
     held, size = [], 0
     for value in column:
         data = value.as_py()
         held.append(np.frombuffer(data, np.uint16 if data[0] == 2 else np.int32, offset=1).astype(np.int32))
         size += len(held[-1])
-        if size >= HELD_SYMBOLS:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -256,7 +283,12 @@ def score_documents(
         F.col(text_col).alias("text"),
         held_out.alias("held_out"),
     )
-    lexicon, counts = lexicon_of(rows.where("not held_out").select("text"), vocabulary, lookup)
+    kind = rows.schema["id"].dataType.simpleString()
+    coded = rows.select("id", "row_key", "held_out", "text").mapInArrow(
+        _code, f"id {kind}, row_key long, held_out boolean, codes binary, words array<binary>, others array<int>, counts array<long>"
+    )
+    coded = cut(coded)  # the order of a partition's rows is kept
+    lexicon, counts = lexicon_of(coded, rows.where("not held_out").count(), vocabulary, lookup)
     context = docs.sparkSession.sparkContext
     lexicon_shared = context.broadcast(lexicon)
 
@@ -268,26 +300,27 @@ def score_documents(
         log_others, log_total = np.log10(lexicon.others), lexicon.log_total()
         end_count = np.log10(lexicon.documents + ALPHA)
         first = len(lexicon.symbols)
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             if not batch.num_rows:
                 continue
             documents, n_tokens, n_known, base, extra, rare_words, rare_n = [], [], [], [], [], [], []
-            for _, _, texts in grouped(batch):
-                rare, found = [], []
-                for text in texts:
-                    words = tokens(text)
-                    at, symbols = reader.look_up(words)
-                    rare.append(Counter(words[k] for k in np.flatnonzero(at < 0).tolist()))
-                    known, outside = at >= 0, symbols >= first
-                    logs = reader.log_count[at[known]]
-                    found.append(np.append(symbols, np.int32(lexicon.size - 1)))
-                    n_tokens.append(len(at) + 1)
-                    n_known.append(len(logs) + (lexicon.documents > 0))
-                    base.append(float(logs.sum()) + end_count - log_total * (len(at) + 1))
-                    extra.append(float(logs[outside[known]].sum() - log_others[symbols[outside] - first].sum()))
-                documents.append(packed(found))
-                rare_words.append(pa.array([list(r) for r in rare], pa.list_(pa.binary())))
-                rare_n.append(pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())))
+            for codes, chunk in zip(batch.column(3), batch.column(4), strict=True):
+                if chunk.is_valid:
+                    words = chunk.as_py()
+                    rows_of, symbols_of = reader.look_up(words)
+                own = np.frombuffer(unpacker.decompress(codes.as_py()), np.int32)
+                at, symbols = rows_of[own], symbols_of[own]
+                known, outside = at >= 0, symbols >= first
+                rare, n = np.unique(own[~known], return_counts=True)
+                rare_words.append([words[k] for k in rare.tolist()])
+                rare_n.append(n)
+                logs = reader.log_count[at[known]]
+                documents.append(np.append(symbols, np.int32(lexicon.size - 1)))
+                n_tokens.append(len(at) + 1)
+                n_known.append(len(logs) + (lexicon.documents > 0))
+                base.append(float(logs.sum()) + end_count - log_total * (len(at) + 1))
+                extra.append(float(logs[outside[known]].sum() - log_others[symbols[outside] - first].sum()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -297,18 +330,17 @@ def score_documents(
                     pa.array(n_known, pa.int64()),
                     pa.array(base, pa.float64()),
                     pa.array(extra, pa.float64()),
-                    pa.concat_arrays(documents),
-                    pa.concat_arrays(rare_words),
-                    pa.concat_arrays(rare_n),
+                    packed(documents),
+                    pa.array(rare_words, pa.list_(pa.binary())),
+                    pa.array(rare_n, pa.list_(pa.int32())),
                 ],
                 ["id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "extra", "symbols", "rare", "rare_n"],
             )
 
-    kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double"
-    # The rounds, the scores and the join of the rare words use it, so it is written: texts are not read again.
+    # The rounds, the scores and the join of the rare words use it, so it is written.
     known = cut(
-        rows.select("id", "row_key", "held_out", "text").mapInArrow(read, f"{schema}, extra double, symbols binary, rare array<binary>, rare_n array<int>")
+        coded.select("id", "row_key", "held_out", "codes", "words").mapInArrow(read, f"{schema}, extra double, symbols binary, rare array<binary>, rare_n array<int>")
     )
     model_shared = context.broadcast(train(known.where("not held_out").select("id", "symbols"), lexicon, hidden, rounds, share))
 
@@ -317,7 +349,7 @@ def score_documents(
         model = model_shared.value
         for batch in batches:
             if batch.num_rows:
-                found = np.concatenate([model.score(documents) for documents in gathered(batch.column(7))])
+                found = np.concatenate([model.score(documents) for documents in gathered(batch.column(7), HELD_SCORED)])
                 found += batch.column(6).to_numpy()
                 columns = [*batch.columns[:6], pa.array(found)]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:6], "score"])

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from corpusloom.llm import langid, lm_scoring, toxicity
 from corpusloom.llm.gru import Gru
@@ -190,6 +192,30 @@ def test_symbols_of_documents_are_written_once_and_scored_side_by_side():
         assert model.score(run) == pytest.approx([model.score([x])[0] for x in some], rel=1e-5)
 
 
+def test_words_of_documents_are_numbers_within_chunks(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HELD", 5)
+    monkeypatch.setattr(lm_scoring, "grouped", lambda batch: ((k, k + 1, [t.as_py().encode()]) for k, t in enumerate(batch.column(3))))
+    texts, out = ["a b A", "", "c d e", "f g a", "a"], [False, False, True, False, False]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(5)]), pa.array([*range(5)]), pa.array(out), pa.array(texts)], ["id", "row_key", "held_out", "text"])
+    found, words, counts = [], [], Counter()
+    for chunk in lm_scoring._code(iter([batch])):
+        for r in chunk.to_pylist():
+            if r["words"] is not None:
+                words = r["words"]
+                counts.update(dict(zip(words, r["counts"], strict=True)))
+            found.append([words[k].decode() for k in np.frombuffer(zstandard.decompress(r["codes"]), np.int32)])
+    assert found == [t.lower().split() for t in texts]
+    assert +counts == Counter(w.encode() for t, o in zip(texts, out, strict=True) if not o for w in t.lower().split())
+
+
+def test_documents_of_a_stream_start_anew():
+    model, rng = small_model(), np.random.default_rng(5)
+    documents = [np.append(rng.integers(0, 149, n), 149) for n in (700, 1, 40, 90, 3, 33, 64)]
+    alone = [model.score([d])[0] for d in documents]
+    for streams in (1, 2, 512):
+        assert model.score(documents, streams=streams) == pytest.approx(alone, rel=1e-5)
+
+
 def test_no_symbol_is_left_out_of_training():
     model, seen = small_model(), []
     inner = model.gradients
