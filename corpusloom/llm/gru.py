@@ -3,34 +3,51 @@ softmax factored into the classes of the symbols and the symbols within a class.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
 
-CLASS_SIZE = 64
 
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; exp takes about half the time of tanh."""
-    np.negative(x, out=x)
+def class_bounds(weights: np.ndarray) -> np.ndarray:
+    """Where classes of consecutive symbols begin, and the end: those with the fewest logits a symbol, which are
+    the number of classes and the symbol's class's size, on average by the symbols' weights."""
+    n = len(weights)
+    share = np.concatenate(([0.0], np.cumsum(weights / weights.sum())))
+    least, before, widest = np.zeros(n + 1), np.zeros(n + 1, np.int64), int(64 * np.sqrt(n))
+    for end in range(1, n + 1):
+        starts = np.arange(max(0, end - widest), end)
+        costs = least[starts] + 1 + (share[end] - share[starts]) * (end - starts)
+        best = int(costs.argmin())
+        least[end], before[end] = costs[best], starts[best]
+    bounds = [n]
+    while bounds[-1]:
+        bounds.append(int(before[bounds[-1]]))
+    return np.array(bounds[::-1])
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place; exp takes about half the time of tanh."""
     with np.errstate(over="ignore"):
         np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+@functools.cache
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
 
 
 def _log_pick(x: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
     """Entry `at` of each row's log softmax; overwrites `x`. `small`: exp stays within single precision."""
-    picked = x[np.arange(len(x)), at]
     if not small:
-        return _log_softmax(x)[np.arange(len(x)), at]
+        x -= x.max(axis=1, keepdims=True)
+    picked = np.take(x.reshape(-1), np.arange(len(x)) * x.shape[1] + at)
     np.exp(x, out=x)
-    return picked - np.log(x @ np.ones(x.shape[1], x.dtype))
+    return picked - np.log(x @ _ones(x.shape[1]))
 
 
 def _order(symbols: np.ndarray) -> np.ndarray:
@@ -38,14 +55,10 @@ def _order(symbols: np.ndarray) -> np.ndarray:
     return np.argsort(symbols.astype(np.uint16) if not len(symbols) or symbols.max() < 1 << 16 else symbols, kind="stable")
 
 
-def _sum_by(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the rows of each key below n; `keys` ascend."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    last = np.flatnonzero(np.concatenate((np.diff(keys) != 0, [True])))
-    sums = np.cumsum(rows, axis=0, dtype=np.float64)[last]
-    sums[1:] -= sums[:-1].copy()
-    out[keys[last]] = sums
-    return out
+def _sum_by(keys: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Into `out`, zeros, the sum of the rows of each key; `keys` ascend."""
+    first = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0)))
+    out[keys[first]] = np.add.reduceat(rows, first, axis=0)
 
 
 def _with_ones(states: np.ndarray) -> np.ndarray:
@@ -62,7 +75,7 @@ class Room:
         self.kept: dict[str, np.ndarray] = {}
 
     def __call__(self, name: str, *shape: int) -> np.ndarray:
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         if name not in self.kept or len(self.kept[name]) < size:
             self.kept[name] = np.empty(size, np.float32)
         return self.kept[name][:size].reshape(shape)
@@ -72,11 +85,11 @@ class Room:
 
 
 class Gru:
-    """Symbol k is member k % CLASS_SIZE of class k // CLASS_SIZE; `end` resets the state.
+    """Class k has the symbols from bounds[k] up to bounds[k + 1]; `end` resets the state.
 
     Parameters: x, the inputs of reset gate, update gate and candidate for each symbol; u, the
-    recurrent weights of the three; c and cb, class weights and biases; o and ob, those of the
-    symbols within each class.
+    recurrent weights of the three (gates open as these fall); c and cb, class weights and biases;
+    o and ob, those of the symbols within their classes.
     """
 
     NAMES = ("x", "u", "c", "cb", "o", "ob")
@@ -84,22 +97,22 @@ class Gru:
     def __init__(self, weights: np.ndarray, hidden: int = 16, seed: int = 3):
         """Starts as the unigram model of the symbols' `weights` (positive)."""
         self.symbols, self.hidden, self.end, self.room = len(weights), hidden, len(weights) - 1, Room()
-        classes = -(-self.symbols // CLASS_SIZE)
+        self.bounds = class_bounds(weights)
+        sizes = np.diff(self.bounds)
+        self.class_of = np.repeat(np.arange(len(sizes)), sizes)
         rng = np.random.default_rng(seed)
 
         def small(*shape: int, by: float) -> np.ndarray:
             return rng.normal(0, by, shape).astype(np.float32)
 
-        self.x = small(self.symbols, 3 * hidden, by=0.1)
-        self.x[:, hidden : 2 * hidden] += 1.0
-        self.u = small(hidden, 3 * hidden, by=1 / np.sqrt(hidden))
-        self.c = np.zeros((hidden, classes), np.float32)
-        self.o = np.zeros((classes, hidden, CLASS_SIZE), np.float32)
-        padded = np.full(classes * CLASS_SIZE, 1e-30)
-        padded[: self.symbols] = weights
-        padded = padded.reshape(classes, CLASS_SIZE)
-        self.cb = np.log(padded.sum(axis=1)).astype(np.float32)
-        self.ob = np.log(padded / padded.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.x = small(3, self.symbols, hidden, by=0.1)
+        self.x[1] -= 1.0
+        self.u = small(3, hidden, hidden, by=1 / np.sqrt(hidden))
+        self.c = np.zeros((hidden, len(sizes)), np.float32)
+        self.o = np.zeros((hidden, self.symbols), np.float32)
+        by_class = np.add.reduceat(weights, self.bounds[:-1])
+        self.cb = np.log(by_class).astype(np.float32)
+        self.ob = np.log(weights / by_class[self.class_of]).astype(np.float32)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -121,57 +134,62 @@ class Gru:
 
     def small(self) -> bool:
         """Whether no logit can come near the limit of exp in single precision; states are within -1 and 1."""
-        by_class = np.abs(self.c).sum(axis=0) + self.cb
-        inside = np.abs(self.o).sum(axis=1) + self.ob
+        by_class = np.abs(self.c).sum(axis=0) + np.abs(self.cb)
+        inside = np.abs(self.o).sum(axis=0) + self.ob
         return bool(by_class.max() < 60 and inside.max() < 60)
 
+    def output(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of the symbols, each with its biases in a last row."""
+        return np.concatenate((self.c, self.cb[None])), np.concatenate((self.o, self.ob[None]))
+
+    def by_class(self, targets: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """For each class that the ascending `targets` have: its rows and its symbols."""
+        ends = np.searchsorted(targets, self.bounds)
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            yield slice(ends[k], ends[k + 1]), slice(self.bounds[k], self.bounds[k + 1])
+
+    def ended(self, ids: np.ndarray) -> list[np.ndarray]:
+        """The streams that have an end, for each time of `ids`."""
+        times, streams = np.nonzero(ids == self.end)
+        return np.split(streams, np.searchsorted(times, np.arange(1, len(ids))))
+
     def steps(self, ids: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
         """The states before each of the symbols `ids` (time by stream), the last state, and, to
         `keep`, what the gradients need: gates, candidates and the candidates' recurrent parts. All
         but the last state are overwritten by the next call."""
         n, (time, streams) = self.hidden, ids.shape
-        states = self.room("states", time, streams, n)
-        kept = [self.room(name, time if keep else 1, streams, k * n) for name, k in (("gates", 2), ("candidate", 1), ("inner", 1))]
-        inputs = np.take(self.x, ids, axis=0, out=self.room("inputs", time, streams, 3 * n), mode="clip")
-        going = (ids != self.end).astype(np.float32)[:, :, None]
+        states, inputs = self.room("states", time, streams, n), self.room("inputs", 3, time, streams, n)
+        kept = [self.room(name, time if keep else 1, *shape) for name, shape in (("gates", (3, streams, n)), ("candidate", (streams, n)))]
+        for x, own in zip(self.x, inputs, strict=True):
+            np.take(x, ids, axis=0, out=own, mode="clip")
+        ended = self.ended(ids)
         for t in range(time):
             states[t] = h
-            recurrent = h @ self.u
-            gates, candidate, inner = (part[t if keep else 0] for part in kept)
-            np.add(inputs[t, :, : 2 * n], recurrent[:, : 2 * n], out=gates)
-            _sigmoid(gates)
-            r, z = gates[:, :n], gates[:, n:]
-            inner[:] = recurrent[:, 2 * n :]
+            gates, candidate = (part[t if keep else 0] for part in kept)
+            np.matmul(states[t], self.u, out=gates)
+            both, inner = gates[:2], gates[2]
+            both += inputs[:2, t]
+            _gate(both)
+            r, z = both
             np.multiply(r, inner, out=candidate)
-            candidate += inputs[t, :, 2 * n :]
+            candidate += inputs[2, t]
             np.tanh(candidate, out=candidate)
-            h = h - candidate
+            h = np.subtract(states[t], candidate)
             h *= z
             h += candidate
-            h *= going[t]
+            if len(ended[t]):
+                h[ended[t]] = 0
         return states, h, kept
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of `targets` in `states` (rows)."""
         order = _order(targets)
-        states, targets = states[order], targets[order]
-        classes, members = targets // CLASS_SIZE, targets % CLASS_SIZE
-        small = self.small()
-        logits = states @ self.c
-        logits += self.cb
-        logs = _log_pick(logits, classes, small)
-        if len(logs) <= 4 * len(self.cb):  # too few for a product for each class
-            inside = np.matmul(states[:, None, :], self.o[classes])[:, 0, :] + self.ob[classes]
-            logs += _log_pick(inside, members, small)
-            bounds = np.zeros(len(self.cb) + 1, np.int64)
-        else:
-            bounds = np.searchsorted(classes, np.arange(len(self.cb) + 1))
-        for k in range(len(self.cb)):
-            own = slice(bounds[k], bounds[k + 1])
-            if bounds[k] < bounds[k + 1]:
-                logits = states[own] @ self.o[k]
-                logits += self.ob[k]
-                logs[own] += _log_pick(logits, members[own], small)
+        flat, targets = _with_ones(np.take(states, order, axis=0)), targets[order]
+        small, (classes, symbols) = self.small(), self.output()
+        logs = _log_pick(np.matmul(flat, classes, out=self.room("classes", len(flat), len(self.cb))), self.class_of[targets], small)
+        for own, members in self.by_class(targets):
+            logits = self.room("members", own.stop - own.start, members.stop - members.start)
+            logs[own] += _log_pick(np.matmul(flat[own], symbols[:, members], out=logits), targets[own] - members.start, small)
         found = np.empty_like(logs)
         found[order] = logs
         return found
@@ -183,69 +201,70 @@ class Gru:
         targets = ids.reshape(-1)
         order = _order(targets)
         targets = targets[order]
-        flat, classes, members = _with_ones(states.reshape(-1, n)[order]), targets // CLASS_SIZE, targets % CLASS_SIZE
-        rows, share = np.arange(len(targets)), np.float32(1 / len(targets))
+        flat, share = _with_ones(np.take(states.reshape(-1, n), order, axis=0)), np.float32(1 / len(targets))
         g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        small = self.small()
+        small, (classes, symbols) = self.small(), self.output()
 
-        def errors(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """In place: the loss's gradient by the logits."""
+        def errors(logits: np.ndarray, places: np.ndarray) -> np.ndarray:
+            """In place: the loss's gradient by the logits; `places` are those of the targets."""
             if not small:
                 logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
-            logits *= (share / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
-            logits[rows, at] -= share
+            logits *= (share / (logits @ _ones(logits.shape[1])))[:, None]
+            logits.reshape(-1)[places] -= share
             return logits
 
-        logits = self.room("classes", len(flat), len(self.cb))
-        error = errors(np.matmul(flat, np.concatenate((self.c, self.cb[None])), out=logits), classes)
+        rows, own_class = np.arange(len(targets)), self.class_of[targets]
+        error = errors(np.matmul(flat, classes, out=self.room("classes", len(flat), len(self.cb))), rows * len(self.cb) + own_class)
+        first, widths = self.bounds[:-1], np.diff(self.bounds)
+        places = (rows - np.searchsorted(targets, first)[own_class]) * widths[own_class] + targets - first[own_class]
         g["c"], g["cb"] = np.split(flat.T @ error, [n])
         g["cb"] = g["cb"][0]
-        by_class = np.matmul(error, self.c.T, out=self.room("by_class", len(flat), n))
-        bounds = np.searchsorted(classes, np.arange(len(self.cb) + 1))
-        inside = [(k, slice(bounds[k], bounds[k + 1])) for k in range(len(self.cb)) if bounds[k] < bounds[k + 1]]
-        error = self.room("members", len(flat), CLASS_SIZE)
-        weights = np.concatenate((self.o, self.ob[:, None]), axis=1)
-        for k, own in inside:
-            np.matmul(flat[own], weights[k], out=error[own])
-        errors(error, members)
-        for k, own in inside:
-            product = flat[own].T @ error[own]
-            g["o"][k], g["ob"][k] = product[:-1], product[-1]
-            by_class[own] += error[own] @ self.o[k].T
+        by_state = np.matmul(error, self.c.T, out=self.room("by_state", len(flat), n))
+        for own, members in self.by_class(targets):
+            some = flat[own]
+            logits = self.room("members", len(some), members.stop - members.start)
+            error = errors(np.matmul(some, symbols[:, members], out=logits), places[own])
+            product = some.T @ error
+            g["o"][:, members], g["ob"][members] = product[:-1], product[-1]
+            by_state[own] += error @ self.o[:, members].T
         back = self.room("back", len(flat), n)
-        back[order] = by_class
+        back[order] = by_state
         back = back.reshape(states.shape)
-        gates, candidate, recurrent = kept
-        r, z = gates[:, :, :n], gates[:, :, n:]
-        going = (ids != self.end).astype(np.float32)[:, :, None]
+        gates, candidate = kept
+        r, z, inner = gates[:, 0], gates[:, 1], gates[:, 2]
+        ended = self.ended(ids)
+        # What the error of the state after each symbol is multiplied with to be that of the gates and the candidate.
         keeping = np.subtract(1, z, out=self.room("keeping", *states.shape))
         by_c = np.multiply(candidate, candidate, out=self.room("by_c", *states.shape))
         np.subtract(1, by_c, out=by_c)
         by_c *= keeping
-        through = self.room("through", time, streams, 3 * n)
-        by_r, by_z, by_h = (through[:, :, k * n : (k + 1) * n] for k in range(3))
+        through = self.room("through", 3, time, streams, n)
+        by_r, by_z, by_h = through
         np.multiply(by_c, r, out=by_h)
-        np.subtract(1, r, out=by_r)
+        np.subtract(r, 1, out=by_r)
         by_r *= by_h
-        by_r *= recurrent
-        np.subtract(states, candidate, out=by_z)
+        by_r *= inner
+        np.subtract(candidate, states, out=by_z)
         by_z *= z
         by_z *= keeping
-        dhs = self.room("dhs", *states.shape)
-        dh = np.zeros((streams, n), np.float32)
-        wide, turned = through.reshape(time, streams, 3, n), self.u.T.copy()
+        dh, part = np.zeros((streams, n), np.float32), self.room("part", 3, streams, n)
+        turned = self.u.transpose(0, 2, 1).copy()
         for t in reversed(range(time)):
-            dh = np.multiply(dh, going[t], out=dhs[t])
-            wide[t] *= dh[:, None, :]
-            dh = dh * z[t]
-            dh += through[t] @ turned
+            if len(ended[t]):
+                dh[ended[t]] = 0
+            own = through[:, t]
+            own *= dh
+            by_c[t] *= dh
+            np.matmul(own, turned, out=part)
+            dh *= z[t]
+            for k in range(3):
+                dh += part[k]
             dh += back[t]
-        g["u"] = states.reshape(-1, n).T @ through.reshape(-1, 3 * n)
-        inward = through
-        np.multiply(dhs, by_c, out=inward[:, :, 2 * n :])
-        inward = np.take(inward.reshape(-1, 3 * n), order, axis=0, out=self.room("inputs", len(flat), 3 * n), mode="clip")
-        g["x"] = _sum_by(targets, inward, self.symbols)
+        np.matmul(states.reshape(-1, n).T, through.reshape(3, -1, n), out=g["u"])
+        inward = self.room("inputs", len(flat), n)
+        for k, by_input in enumerate((by_r, by_z, by_c)):
+            _sum_by(targets, np.take(by_input.reshape(-1, n), order, axis=0, out=inward, mode="clip"), g["x"][k])
         return g, last
 
     def train(self, documents: list[np.ndarray], streams: int = 512, window: int = 20, rate: float = 0.03) -> int:
@@ -295,17 +314,20 @@ class Gru:
         order = [k for _, at in loads for k in members[at]]
         sizes = np.array([load for load, _ in loads], np.int64)
         flat = np.concatenate([documents[k] for k in order]) if order else np.zeros(0, np.int32)
-        owner = np.repeat(np.array(order, np.int64), [len(documents[k]) for k in order])
         starts = np.cumsum(sizes) - sizes
-        h = np.zeros((len(sizes), self.hidden), np.float32)
+        h, logs = np.zeros((len(sizes), self.hidden), np.float32), np.zeros(len(flat), np.float32)
         for t in range(0, int(sizes.max(initial=0)), window):
             active = int(np.searchsorted(-sizes, -t))
             left = np.minimum(sizes[:active] - t, window)
-            width = int(left.max())
-            inside = np.arange(width)[:, None] < left
-            at = np.where(inside, starts[:active] + t + np.arange(width)[:, None], 0)
-            ids = np.where(inside, flat[at], self.end)
+            width = np.arange(int(left.max()))[:, None]
+            at = starts[:active] + t + width
+            whole = left[-1] == len(width)  # streams are ordered by length
+            inside = ... if whole else width < left
+            ids = flat[at] if whole else np.where(inside, flat[np.where(inside, at, 0)], self.end)
             states, h, _ = self.steps(ids, h[:active], keep=False)
-            found = self.log_probs(states[inside], ids[inside])
-            totals += np.bincount(owner[at[inside]], found, minlength=len(totals))
+            states = states.reshape(-1, self.hidden) if whole else states[inside]
+            logs[at[inside].reshape(-1)] = self.log_probs(states, ids[inside].reshape(-1))
+        if order:
+            lengths = np.array([len(documents[k]) for k in order])
+            totals[order] = np.add.reduceat(logs, np.cumsum(lengths) - lengths, dtype=np.float64)
         return totals / np.log(10)

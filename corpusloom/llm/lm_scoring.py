@@ -20,13 +20,12 @@ counts of all other words reach the documents that have them in a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -40,19 +39,14 @@ from corpusloom.llm.words import grouped
 #: Symbols for words outside the model's vocabulary.
 OTHERS = 63
 ALPHA = 0.1
-#: Distinct words in a chunk of documents.
-HELD = 200_000
+#: Distinct words of the runs of documents that are one chunk, summed.
+HELD = 300_000
 CHUNK = 4096
 #: Symbols of whole documents that a task gathers before it learns from them, or scores them, side by side in streams.
 HELD_SYMBOLS = 1_000_000
 HELD_SCORED = 4_000_000
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text, A-Z lower-cased; the end is not among them."""
-    return text.lower().split()
-
-
 MARKS = b".,;:!?"
 
 
@@ -68,43 +62,58 @@ def other(word: bytes) -> int:
     return of_tail(tail_of(word))
 
 
-class Ids(dict):
-    """Numbers of words, in order of their first occurrence."""
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (null: none), A-Z lower-cased, as numbers in a dictionary, and how many each text has."""
+    texts = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(pc.cast(texts, pa.string(), safe=False), "")))
+    lists = pc.ascii_split_whitespace(texts)
+    sizes = np.where(pc.binary_length(texts).to_numpy() > 0, pc.list_value_length(lists).to_numpy(), 0)  # an empty text has one empty word
+    words = pc.cast(lists.flatten(), pa.binary())
+    if (sizes == 0).any():
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words.dictionary_encode(), sizes
+
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def _others(words: pa.Array) -> np.ndarray:
+    """The symbol for others of each word, as `other` gives it."""
+    trimmed = pc.ascii_rtrim(pc.cast(words, pa.string(), safe=False), characters=MARKS.decode())
+    tails = pc.binary_slice(pc.cast(trimmed, pa.binary()), -2).dictionary_encode()
+    of_tails = np.array([of_tail(t) for t in tails.dictionary.to_pylist()], np.int32)
+    return of_tails[tails.indices.to_numpy()] if len(words) else of_tails
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, row_key, held_out, text) with the numbers of their words in place of the text. The first
     row of each chunk has the chunk's words, their symbols for others and their counts in training rows;
     these hold for the rows after it, up to the next such row."""
-    packer, ids, held, codes, size = zstandard.ZstdCompressor(level=1), Ids(), [], [], 0
+    packer, held, parts, sizes, distinct, size = zstandard.ZstdCompressor(level=1), [], [], [], 0, 0
 
     def chunk() -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        training = [c for c, out in zip(codes, rows.column(2).to_pylist(), strict=True) if not out]
-        counts = np.bincount(np.concatenate(training) if training else np.zeros(0, np.int32), minlength=len(ids))
-        words, none = list(ids), [None] * (len(codes) - 1)
+        coded, lengths = pa.chunked_array(parts).unify_dictionaries(), np.concatenate(sizes)
+        words = coded.chunk(0).dictionary
+        codes = np.concatenate([part.indices.to_numpy() for part in coded.chunks])
+        ends = np.cumsum(lengths)
+        training = ~rows.column(2).to_numpy(zero_copy_only=False)
+        counts = np.bincount(codes[np.repeat(training, lengths)], minlength=len(words))
+        bounds, later = np.full(len(rows) + 1, len(words), np.int32), np.arange(len(rows)) > 0
+        bounds[0] = 0
         columns = [
-            pa.array([packer.compress(c.tobytes()) for c in codes], pa.binary()),
-            pa.array([words, *none], pa.list_(pa.binary())),
-            pa.array([[other(w) for w in words], *none], pa.list_(pa.int32())),
-            pa.array([counts, *none], pa.list_(pa.int64())),
+            pa.array([packer.compress(codes[end - n : end]) for end, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary()),
+            *(pa.ListArray.from_arrays(bounds, x, mask=pa.array(later)) for x in (words, pa.array(_others(words), pa.int32()), pa.array(counts, pa.int64()))),
         ]
         return pa.RecordBatch.from_arrays([*rows.columns, *columns], [*rows.schema.names, "codes", "words", "others", "counts"])
 
     for batch in batches:
-        for start, end, texts in grouped(batch):
-            for text in texts:
-                words = tokens(text)
-                codes.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-                size += len(words)
-            held.append(batch.slice(start, end - start).select([0, 1, 2]))
-            if len(ids) > HELD or size > 2 * HELD_SYMBOLS:
+        for start, end, _ in grouped(batch):
+            rows = batch.slice(start, end - start)
+            part, lengths = _split(rows.column(3))
+            held.append(rows.select([0, 1, 2]))
+            parts.append(part)
+            sizes.append(lengths)
+            distinct, size = distinct + len(part.dictionary), size + len(part)
+            if distinct > HELD or size > 2 * HELD_SYMBOLS:
                 yield chunk()
-                ids, held, codes, size = Ids(), [], [], 0
+                held, parts, sizes, distinct, size = [], [], [], 0, 0
     if held:
         yield chunk()
 
@@ -133,37 +142,74 @@ class Lexicon:
         return float(np.log10(self.total + ALPHA * (self.types + 1)))
 
 
-class Tails(dict):
-    """The symbol of words outside the model's vocabulary, by their last letters."""
-
-    def __init__(self, first: int):
-        super().__init__()
-        self.first = first
-
-    def __missing__(self, tail: bytes) -> int:
-        symbol = self[tail] = self.first + of_tail(tail)
-        return symbol
-
-
 class Reader:
-    """Symbols and counts of words: a row for each frequent word, in order of the lexicon."""
+    """What the words of a chunk, and after them the end, give to scores."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-        self.rows = {word: k for k, word in enumerate(lexicon.counts)}
-        self.tails = Tails(len(lexicon.symbols))
-        own = (lexicon.symbols.get(w) for w in lexicon.counts)
-        found = (self.tails[tail_of(w)] if at is None else at for w, at in zip(lexicon.counts, own, strict=True))
-        self.symbol = np.fromiter(found, np.int32, len(lexicon.counts))
+        self.lexicon, self.first = lexicon, len(lexicon.symbols)
+        self.frequent = pa.array(list(lexicon.counts), pa.binary())
+        own = (lexicon.symbols.get(w, -1) for w in lexicon.counts)
+        self.symbol = np.fromiter(own, np.int32, len(lexicon.counts))
         self.log_count = np.log10(np.fromiter(lexicon.counts.values(), float, len(lexicon.counts)) + ALPHA)
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's row (-1: not among the frequent) and symbol."""
-        at = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
-        symbols = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)
-        rare = np.flatnonzero(at < 0)
-        symbols[rare] = [self.tails[words[k].rstrip(MARKS)[-2:]] for k in rare.tolist()]
-        return at, symbols
+        self.log_others = np.log10(lexicon.others)
+
+    def look_up(self, words: pa.Array, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether words are among the frequent, their symbols, their log counts (0: not among the frequent)
+        and what they add to the score of their symbols; of the end at last."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.frequent.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+        known = at >= 0
+        symbols, logs = np.full(len(at) + 1, -1, np.int32), np.zeros(len(at) + 1)
+        symbols[:-1][known], logs[:-1][known] = self.symbol[at[known]], self.log_count[at[known]]
+        outside = np.flatnonzero(symbols[:-1] < 0)
+        extra = np.zeros(len(logs))
+        extra[outside] = logs[outside] - self.log_others[others[outside]]
+        symbols[outside] = self.first + others[outside]
+        symbols[-1], logs[-1] = self.lexicon.size - 1, np.log10(self.lexicon.documents + ALPHA)
+        return np.append(known, self.lexicon.documents > 0), symbols, logs, extra
+
+
+def _read(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    """Rows (id, row_key, held_out, codes, words, others) as `_code` wrote them: each row's symbols, its words that are
+    not among the frequent, base scores without them, and what its score has beside the model's: the shares of words
+    outside the vocabulary. The rows of a chunk are worked on together."""
+    reader, log_total, unpacker = Reader(lexicon), lexicon.log_total(), zstandard.ZstdDecompressor()
+    words = found = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunks = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist()
+        starts = sorted({0, *chunks})
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            rows = batch.slice(start, end - start)
+            if rows.column(4)[0].is_valid:
+                words, others = (rows.column(k)[0].values for k in (4, 5))
+                found = reader.look_up(words, others.to_numpy(zero_copy_only=False))
+            is_known, symbol_of, log_of, extra_of = found
+            tail = np.array([len(words)], np.int32).tobytes()
+            coded = [unpacker.decompress(c.as_py()) for c in rows.column(3)]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1
+            own = np.frombuffer(b"".join(x for c in coded for x in (c, tail)), np.int32)
+            ends = np.cumsum(sizes)
+            first = ends - sizes
+            known = is_known[own]
+            rare = np.flatnonzero(~known & (own < len(words)))
+            document = np.searchsorted(ends, rare, side="right")
+            pairs, n = np.unique(document * len(words) + own[rare], return_counts=True)
+            offsets = np.searchsorted(pairs, np.arange(len(coded) + 1) * len(words)).astype(np.int32)
+            rare_words = words.take(pa.array(pairs % max(1, len(words))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *rows.columns[:3],
+                    pa.array(sizes, pa.int64()),
+                    pa.array(np.add.reduceat(known, first, dtype=np.int64)),
+                    pa.array(np.add.reduceat(log_of[own], first) - log_total * sizes),
+                    pa.array(np.add.reduceat(extra_of[own], first)),
+                    packed(np.split(symbol_of[own], ends[:-1])),
+                    pa.ListArray.from_arrays(offsets, rare_words),
+                    pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())),
+                ],
+                ["id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "extra", "symbols", "rare", "rare_n"],
+            )
 
 
 def lexicon_of(coded: DataFrame, documents: int, vocabulary: int, lookup: int) -> tuple[Lexicon, DataFrame]:
@@ -293,54 +339,12 @@ def score_documents(
     lexicon_shared = context.broadcast(lexicon)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row's symbols, its words that are not among the frequent, base scores without them, and what
-        its score has beside the model's: the shares of words outside the vocabulary."""
-        lexicon = lexicon_shared.value
-        reader = Reader(lexicon)
-        log_others, log_total = np.log10(lexicon.others), lexicon.log_total()
-        end_count = np.log10(lexicon.documents + ALPHA)
-        first = len(lexicon.symbols)
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            documents, n_tokens, n_known, base, extra, rare_words, rare_n = [], [], [], [], [], [], []
-            for codes, chunk in zip(batch.column(3), batch.column(4), strict=True):
-                if chunk.is_valid:
-                    words = chunk.as_py()
-                    rows_of, symbols_of = reader.look_up(words)
-                own = np.frombuffer(unpacker.decompress(codes.as_py()), np.int32)
-                at, symbols = rows_of[own], symbols_of[own]
-                known, outside = at >= 0, symbols >= first
-                rare, n = np.unique(own[~known], return_counts=True)
-                rare_words.append([words[k] for k in rare.tolist()])
-                rare_n.append(n)
-                logs = reader.log_count[at[known]]
-                documents.append(np.append(symbols, np.int32(lexicon.size - 1)))
-                n_tokens.append(len(at) + 1)
-                n_known.append(len(logs) + (lexicon.documents > 0))
-                base.append(float(logs.sum()) + end_count - log_total * (len(at) + 1))
-                extra.append(float(logs[outside[known]].sum() - log_others[symbols[outside] - first].sum()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    batch.column(2),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(n_known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(extra, pa.float64()),
-                    packed(documents),
-                    pa.array(rare_words, pa.list_(pa.binary())),
-                    pa.array(rare_n, pa.list_(pa.int32())),
-                ],
-                ["id", "row_key", "held_out", "n_tokens", "n_known", "base_score", "extra", "symbols", "rare", "rare_n"],
-            )
+        return _read(batches, lexicon_shared.value)
 
     schema = f"id {kind}, row_key long, held_out boolean, n_tokens long, n_known long, base_score double"
     # The rounds, the scores and the join of the rare words use it, so it is written.
     known = cut(
-        coded.select("id", "row_key", "held_out", "codes", "words").mapInArrow(read, f"{schema}, extra double, symbols binary, rare array<binary>, rare_n array<int>")
+        coded.select("id", "row_key", "held_out", "codes", "words", "others").mapInArrow(read, f"{schema}, extra double, symbols binary, rare array<binary>, rare_n array<int>")
     )
     model_shared = context.broadcast(train(known.where("not held_out").select("id", "symbols"), lexicon, hidden, rounds, share))
 

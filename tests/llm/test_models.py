@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pytest
 import zstandard
 
 from corpusloom.llm import langid, lm_scoring, toxicity
-from corpusloom.llm.gru import Gru
+from corpusloom.llm.gru import Gru, class_bounds
 
 SYLLABLES = {
     "en": ["th", "ing", "ou", "ea", "sh", "er", "and", "the"],
@@ -208,6 +209,53 @@ def test_words_of_documents_are_numbers_within_chunks(monkeypatch):
     assert +counts == Counter(w.encode() for t, o in zip(texts, out, strict=True) if not o for w in t.lower().split())
 
 
+def test_words_are_split_and_get_symbols_as_in_python():
+    texts = [f"Aa{chr(c)}bC.{chr(c)}{chr(c)}D!?" for c in range(128)] + ["", None, " ", "\n x\t", "\x85a\xa0É \u3000", ".,;:!?", "...a"]
+    words, sizes = lm_scoring._split(pa.array(texts))
+    expected = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(e) for e in expected]
+    assert words.to_pylist() == [w for e in expected for w in e]
+    assert lm_scoring._others(words.dictionary).tolist() == [lm_scoring.other(w) for w in words.dictionary.to_pylist()]
+
+
+def test_rows_are_read_by_chunk_across_batches():
+    texts = ["the cat sat on the mat", "", "a the rare rare thing", "the end", "the mat: odd", "a b c the"]
+    frequent = {b"the": 9, b"a": 5, b"cat": 4, b"mat": 2}
+    others = np.linspace(1, 5, lm_scoring.OTHERS)
+    lexicon = lm_scoring.Lexicon({b"the": 0, b"a": 1}, frequent, others, 7, 50, 20)
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(6)]), pa.array([*range(6)]), pa.array([False] * 6), pa.array(texts)], ["id", "row_key", "held_out", "text"])
+    coded = [*lm_scoring._code(iter([batch.slice(0, 4)])), *lm_scoring._code(iter([batch.slice(4)]))]
+    coded = pa.Table.from_batches(coded).combine_chunks().to_batches()[0].select([0, 1, 2, 3, 4, 5])
+    got = [r for b in lm_scoring._read(iter([coded.slice(0, 2), coded.slice(2, 3), coded.slice(5)]), lexicon) for r in b.to_pylist()]
+    assert [r["id"] for r in got] == [*range(6)]
+    for r, text in zip(got, texts, strict=True):
+        words = [w.encode() for w in text.split()]
+        logs = [math.log10(frequent[w] + 0.1) for w in words if w in frequent]
+        extra = sum((math.log10(frequent[w] + 0.1) if w in frequent else 0) - math.log10(others[lm_scoring.other(w)]) for w in words if w not in lexicon.symbols)
+        assert (r["n_tokens"], r["n_known"]) == (len(words) + 1, len(logs) + 1)
+        assert r["base_score"] == pytest.approx(sum(logs) + math.log10(7.1) - lexicon.log_total() * (len(words) + 1))
+        assert r["extra"] == pytest.approx(extra)
+        assert dict(zip(r["rare"], r["rare_n"], strict=True)) == Counter(w for w in words if w not in frequent)
+        symbols = next(lm_scoring.gathered(pa.array([r["symbols"]])))[0]
+        assert symbols.tolist() == [lexicon.symbols.get(w, 2 + lm_scoring.other(w)) for w in words] + [lexicon.size - 1]
+
+
+def test_classes_have_the_fewest_logits():
+    def logits(weights, bounds):
+        return len(bounds) - 1 + sum(weights[a:b].sum() * (b - a) for a, b in pairwise(bounds)) / weights.sum()
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7):
+        weights = rng.random(n) + 0.01
+        every = [[0, *inner, n] for k in range(n) for inner in combinations(range(1, n), k)]
+        assert logits(weights, class_bounds(weights)) == pytest.approx(min(logits(weights, bounds) for bounds in every))
+    weights = 1 / np.arange(1, 2049)
+    assert logits(weights, class_bounds(weights)) < 0.7 * logits(weights, np.arange(0, 2049, 64))
+    model = Gru(weights)
+    assert (np.diff(model.bounds) > 0).all() and model.bounds[-1] == 2048
+    assert np.exp(model.log_probs(np.zeros((2048, 16), np.float32), np.arange(2048))) == pytest.approx(weights / weights.sum(), rel=1e-4)
+
+
 def test_documents_of_a_stream_start_anew():
     model, rng = small_model(), np.random.default_rng(5)
     documents = [np.append(rng.integers(0, 149, n), 149) for n in (700, 1, 40, 90, 3, 33, 64)]
