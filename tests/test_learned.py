@@ -162,6 +162,55 @@ def test_one_round_of_translations_is_that_of_a_loop(spark):
     assert {(x.s, x.t): x.p for x in got.collect()} == pytest.approx(want)
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_word_pairs_are_not_shuffled(spark):
+    r = random.Random(8)
+    words = lambda: " ".join(r.sample([f"word{k}" for k in range(3000)], 60))
+    df = spark.createDataFrame([(k, words(), words()) for k in range(150)], "k int, s string, t string").repartition(3)
+    before = shuffled(spark)
+    assert learned.learn_translations(df, "s", "t", rounds=3)[0].count() > 500_000
+    learnt = shuffled(spark)
+    assert learnt - before < 4 * 150 * 61 * 60
+    table = spark.createDataFrame([(f"word{k}", f"word{k}", 0.5) for k in range(3000)], "s string, t string, p double")
+    assert learned.adequacy(df, "s", "t", table).where("adequacy > 0").count() > 100
+    assert shuffled(spark) - learnt < 150 * 61 * 60
+
+
+def test_parts_and_pieces_change_no_translation(spark, monkeypatch):
+    rows = [*translated(random.Random(9), 60), ("w1 w1 only", "x1 x1 x2"), ("", "x3 \u00fc"), ("w\u00fc  W2", "\u00dc x2"), ("w1", ""), (None, "x1"), ("w1", None), ("w4 " * 90, "x4 x5 x4")]
+    df = spark.createDataFrame([(k, s, t) for k, (s, t) in enumerate(rows)], "k int, s string, t string").repartition(3)
+    found = []
+    for pairs, targets, words in ((10**6, 10**6, 10**6), (400, 30, 40), (150, 10**6, 7)):
+        monkeypatch.setattr(learned, "PART_TARGETS", targets)
+        monkeypatch.setattr(learned, "PART_WORDS", words)
+        table, likelihoods = learned.learn_translations(df, "s", "t", rounds=3, most_pairs=pairs)
+        entries = {(x.s, x.t): x.p for x in table.collect()}
+        assert len(entries) == table.count()
+        want = {}
+        for k, (s, t) in enumerate(rows):
+            sources, targets_of = (s or "").lower().split(), (t or "").lower().split()
+            want[k] = sum(max((entries.get((a, b), 0.0) for a in sources), default=0.0) for b in targets_of) / len(targets_of) if targets_of else None
+        got = {x.k: x.adequacy for x in learned.adequacy(df, "s", "t", table).collect()}
+        assert got == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+        found.append((entries, likelihoods))
+    for entries, likelihoods in found[1:]:
+        assert entries == pytest.approx(found[0][0]) and likelihoods == pytest.approx(found[0][1])
+
+
+def test_parts_are_few_until_their_rows_are_many():
+    assert [learned.parts_for(n, n // 30, 16_000_000) for n in (0, 10**6, 40_000_000, 160_000_000)] == [1, 1, 3, 11]
+    for n in (10**8, 10**9, 10**10, 10**11):
+        parts = learned.parts_for(n, n // 30, 16_000_000)
+        assert n // parts <= 16_000_000 and n // 30 * (1 - (1 - 1 / parts) ** 30) <= 1.01 * learned.PART_TARGETS
+
+
 def test_grams_as_numbers_are_those_of_the_loop():
     for text in ("", "12 _", "a", "Ein Satz, zwei!", "ünï \U00010400x 日本 x-y a", "a b a ab"):
         for longest in (1, 2, 3):
